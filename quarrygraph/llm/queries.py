@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import documents, pages
 
@@ -16,18 +15,61 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import secrets
+
+    return secrets.scan(documents(spark, sf_dir)).filter("is_secret")
+
+
+def op2_htmlcut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import htmlcut
+
+    return htmlcut.main_text(pages(spark, sf_dir))
+
+
+def op3_chunkdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import chunkdedup
+
+    return chunkdedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrygraph.llm import sentencepieces
 
     return sentencepieces.round_trip(documents(spark, sf_dir), tokenizer_file())
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import media
+
+    return media.text_media(documents(spark, sf_dir))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrygraph.llm import langid
 
     return langid.identify(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import mixing
+
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import quality
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.assess(documents(spark, sf_dir), quality.trusted_documents(labels))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import neardup
+
+    return neardup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrygraph.llm import licenses
 
@@ -35,9 +77,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_sentencepiece": op4_sentencepiece,
-    "op6_langid": op6_langid,
-    "op10_licenses": op10_licenses,
+    f.__name__: f for f in (op1_secrets, op2_htmlcut, op3_chunkdedup, op4_sentencepiece, op5_media, op6_langid, op7_mixing, op8_quality, op9_neardup, op10_licenses)
 }
 
 #: No SQL expresses these operators' rows; tests hold them against brute force, exact round trips or held-out accuracy.
