@@ -14,7 +14,7 @@ from quarrygraph.llm.common import stored
 #: Buckets of the n-gram multinomials: the two tables are arrays of this length, whatever the corpus.
 BUCKETS = 16384
 #: Added to each bucket's count, as a share of the mean count. Texts with a lower mean log ratio go.
-SMOOTH, THRESHOLD = 0.01, -1.0
+SMOOTH, THRESHOLD = 0.01, -0.1
 #: Log ratios are held to this range: it bounds what one n-gram adds to a score.
 CLIP = 8.0
 
