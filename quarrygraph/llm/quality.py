@@ -87,12 +87,13 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def multinomials(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Counts (bucket, raw, trusted) over all documents and over those whose doc_id is in trusted. All n-grams of the corpus are counted, each row before any shuffle.
+    """Counts (bucket, raw, trusted) over all documents and over those whose doc_id is in trusted; docs: doc_id, text. All n-grams of the corpus are counted.
 
-    A third of all rows may be copies, or one word: buckets are summed in each task first.
+    The join moves texts, which are smaller than their hashes. A third of all rows may be copies, or one word: buckets are summed in each task
+    before they are shuffled.
     """
     good = trusted.select(F.col("doc_id").alias("t_id")).filter("t_id is not null").distinct()
-    marked = docs.select("doc_id", "h").join(good, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(grams(F.col("h"))).alias("bucket"))
+    marked = docs.join(good, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(grams(word_hashes(F.col("text")))).alias("bucket"))
     return marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
 
 
@@ -122,8 +123,7 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     counts as empty; without any trusted document every score is 0; repeated rows give equal rows; an empty table none; other columns aren't read.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = plain.withColumn("h", word_hashes(F.col("text")))
-    table = stored(ratios(multinomials(hashed, trusted)), "ratios")
+    table = stored(ratios(multinomials(plain, trusted)), "ratios")
     # one row of fixed size: a literal array for each task
     ratio = table.first()["ratio"]
     values = F.lit(ratio) if ratio else F.array().cast("array<double>")
@@ -131,7 +131,7 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     def score(g: Column) -> Column:
         return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(values, x)) / F.size(g)).otherwise(0.0)
 
-    out = base(hashed).withColumn("score", F.round(_let(grams(F.col("h")), score), 9)).drop("h")
+    out = base(plain.withColumn("h", word_hashes(F.col("text")))).withColumn("score", F.round(_let(grams(F.col("h")), score), 9)).drop("h")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
