@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrygraph.llm import langid, mixing, neardup, secrets, sentencepieces
-from quarrygraph.llm.common import documents, ship, stored
+from quarrygraph.llm.common import documents, stored
 from quarrygraph.llm.queries import tokenizer_file
+from quarrygraph.runtime import ship
 
 #: Words of a near-duplicate shingle and the least similarity in per cent; epochs of the most repeated source for one of the least repeated.
 SHINGLE_WORDS, PERCENT, MAX_REPEATS = 5, 80, 2.0
