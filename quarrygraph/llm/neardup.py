@@ -4,9 +4,11 @@
    are one class from here on, known by their smallest doc_id.
 2. Multi-index join: signatures are split into CHUNKS chunks. Two signatures that differ in at most 2 * CHUNKS - 1 symbols differ in at most one
    symbol of some chunk (pigeonhole), so each chunk is entered once for each of its symbols left out: all such pairs meet in a bucket.
-3. In each bucket every class is first paired with the bucket's least id. Pairs within MOST_DIFFERENT symbols are confirmed on full sets.
-4. What these links leave apart is compared exactly: in buckets that still hold several components, classes of different components are compared by
-   signature in blocks of bounded size, and pairs within MOST_DIFFERENT are confirmed on full sets as well. Nothing is capped.
+3. In each bucket every class is paired with the bucket's least id; pairs within MOST_DIFFERENT symbols make neighbourhoods (connected components).
+   The full sets of a neighbourhood meet in blocks of bounded size, each pair of blocks in a task, which returns a spanning forest of
+   the confirmed links: no pairs are emitted.
+4. Buckets that hold several neighbourhoods are compared by signature across them, again by pairs of bounded blocks, and pairs within MOST_DIFFERENT
+   are confirmed on full sets as well. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from quarrygraph.llm.components import components
 SYMBOLS, CHUNKS = 64, 16
 #: At similarity 0.8 a symbol differs with probability 0.2 (and 2 ** -16 less): 64 of them differ in more than 28 places for about 3 pairs of a million.
 MOST_DIFFERENT = 28
-#: Classes of a bucket that are compared at once; pairs of a hub in one task.
-BLOCK, SLOT = 1024, 256
+#: Classes of a block and their shingles, about; columns of the matrix by which a task intersects sets; pairs of a hub in one task.
+BLOCK, BLOCK_SHINGLES, COLUMNS, SLOT = 1024, 2_000_000, 8192, 256
 
 _MULTIPLY = random64(SYMBOLS, 101) | np.uint64(1)
 _ADD = random64(SYMBOLS, 102)
@@ -155,22 +157,96 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return stored(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs of one bucket, of different components, within MOST_DIFFERENT symbols. mixed: key, rep, comp, sig, blocks (of the key). Sorted groups are streamed; each is of two blocks at most."""
+def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Of the links among sorted sets (100 * intersection >= percent * union) a spanning forest, as pairs of places."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    owner = np.repeat(np.arange(n), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # only shingles of two sets or more can be in an intersection
+    index = np.cumsum(times > 1) - 1
+    some = times[column] > 1
+    owner, column = owner[some], index[column[some]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (first, first + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[owner[i:j], column[i:j] - first] = 1
+        shared += part @ part.T
+    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+    rest, out = np.ones(n, bool), []
+    for start in range(n):
+        if rest[start]:
+            rest[start] = False
+            queue = [start]
+            for u in queue:
+                new = np.flatnonzero(linked[u] & rest)
+                rest[new] = False
+                queue += new.tolist()
+                out += [(u, v) for v in new.tolist()]
+    return out
+
+
+def _within(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links inside neighbourhoods. members: rep, nc, n_shingles. Pairs of blocks are sorted groups that tasks stream."""
+    whole = members.groupBy("nc").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    sized = whole.select("nc", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    own = members.join(sized, "nc").join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    # each two blocks meet once; a block alone meets itself
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    dealt = own.withColumn("other", F.explode(others)).select("nc", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "rep", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, reps, sets = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            return [(reps[x], reps[y]) for x, y in _forest(sets, percent)] if len(sets) > 1 else []
+
+        def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            ids = batch.column(3).to_pylist()
+            for i, j, data, at in text_slices(batch.column(4)):
+                h, counts = shingles(data, at, size)
+                end = np.cumsum(counts)
+                for k in range(i, j):
+                    if names[k] != group:
+                        out += links()
+                        group, reps, sets = names[k], [], []
+                    if not reps or ids[k] != reps[-1]:
+                        reps.append(ids[k])
+                        sets.append(h[end[k - i] - counts[k - i] : end[k - i]].copy())
+            yield batch_of(out)
+        yield batch_of(links())
+
+    return stored(dealt.repartition("nc", "g1", "g2").sortWithinPartitions("nc", "g1", "g2", "rep").mapInArrow(run, "a long, b long"), "within")
+
+
+def _across(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket, of different neighbourhoods, within MOST_DIFFERENT symbols and of sizes that allow a link.
+
+    mixed: key, rep, nc, n_shingles, sig, blocks (of the key). Sorted groups are streamed; each is of two blocks at most.
+    """
     own = F.pmod(F.xxhash64("rep"), "blocks")
     dealt = mixed.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "comp", "sig")
+    dealt = dealt.select("key", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "block", "rep", "nc", "n_shingles", "sig")
 
     def pairs(group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        rep, comp, block = (np.array([x[k] for x in group], np.int64) for k in (4, 5, 3))
-        sig = np.frombuffer(b"".join([x[6] for x in group]), np.uint16).reshape(-1, SYMBOLS)
+        block, rep, nc, size = (np.array([x[k] for x in group], np.int64) for k in (3, 4, 5, 6))
+        sig = np.frombuffer(b"".join([x[7] for x in group]), np.uint16).reshape(-1, SYMBOLS)
         a, b = [], []
         split = group[0][1] != group[0][2]
         for i in range(len(rep) - 1):
-            ok = (comp[i + 1 :] != comp[i]) & ((sig[i + 1 :] != sig[i]).sum(1) <= MOST_DIFFERENT)
+            ok = (nc[i + 1 :] != nc[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
             if split:
                 ok &= block[i + 1 :] != block[i]
             hit = np.flatnonzero(ok) + i + 1
+            hit = hit[(sig[hit] != sig[i]).sum(1) <= MOST_DIFFERENT]
             a.append(np.minimum(rep[i], rep[hit]))
             b.append(np.maximum(rep[i], rep[hit]))
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -227,14 +303,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = stored(texts.join(candidates, "id", "left_semi"), "texts")
 
-    star = stored(buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = _confirm(_near(star, classes), texts, size, percent)
-    first = stored(components(links), "first")
+    star = buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    around = stored(components(_near(star, classes)), "around").select(F.col("id").alias("rep"), F.col("component").alias("nc"))
+    links = _within(around.join(classes.select("rep", "n_shingles"), "rep"), texts, size, percent)
 
-    labelled = buckets.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    several = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    mixed = labelled.join(several, "key", "left_semi").join(classes.select("rep", "sig"), "rep")
-    apart = _across(mixed.select("key", "rep", "comp", "sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))).distinct().join(star, ["a", "b"], "left_anti")
+    labelled = buckets.join(around, "rep", "left").select("key", "rep", "n", F.coalesce("nc", "rep").alias("nc"))
+    several = labelled.groupBy("key").agg(F.min("nc").alias("x"), F.max("nc").alias("y")).filter("x <> y").select("key")
+    mixed = labelled.join(several, "key", "left_semi").join(classes.select("rep", "n_shingles", "sig"), "rep")
+    apart = _across(mixed.select("key", "rep", "nc", "n_shingles", "sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), percent).distinct()
     more = _confirm(apart, texts, size, percent)
     final = components(links.union(more))
 
