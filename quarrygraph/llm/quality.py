@@ -89,11 +89,11 @@ def base(docs: DataFrame) -> DataFrame:
 def multinomials(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """Counts (bucket, raw, trusted) over all documents and over those whose doc_id is in trusted; docs: doc_id, text. All n-grams of the corpus are counted.
 
-    The join moves texts, which are smaller than their hashes. A third of all rows may be copies, or one word: buckets are summed in each task
+    The join moves texts, which are smaller than their hashes, and is a merge at every size. A third of all rows may be copies, or one word: buckets are summed in each task
     before they are shuffled.
     """
     good = trusted.select(F.col("doc_id").alias("t_id")).filter("t_id is not null").distinct()
-    marked = docs.join(good, F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(grams(word_hashes(F.col("text")))).alias("bucket"))
+    marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(grams(word_hashes(F.col("text")))).alias("bucket"))
     return marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
 
 
