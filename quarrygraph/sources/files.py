@@ -3,21 +3,64 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrygraph import params as P
 from quarrygraph.functions import globs, paths
 
 
+RAW = "path string, abs_path string, length long, modificationTime timestamp, content binary"
+#: Bytes of one reading task, about.
+TASK_BYTES = 32 << 20
+
+
+def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    """A file system that also sees names with a leading dot or underscore, which Spark's own sources skip; and the root in it."""
+    if "://" in root or root.startswith("file:"):
+        return pafs.FileSystem.from_uri(root)
+    return pafs.LocalFileSystem(), root
+
+
+def listing(root: str) -> list[tuple[str, str, int, datetime | None]]:
+    """(path, absolute path, bytes, time) of every file under root, blocked directories not entered."""
+    fs, base = _file_system(root.rstrip("/"))
+    out, folders = [], [base]
+    while folders:
+        for info in fs.get_file_info(pafs.FileSelector(folders.pop())):
+            if info.type == pafs.FileType.Directory:
+                if info.base_name not in P.BLOCKED_DIRS:
+                    folders.append(info.path)
+            elif info.type == pafs.FileType.File:
+                out.append((info.path[len(base) :].lstrip("/"), info.path, info.size, info.mtime.replace(tzinfo=None) if info.mtime else None))
+    return sorted(out)
+
+
 def read_raw(spark: SparkSession, root: str, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
-    """Every file under root that is small enough: path (relative), abs_path, length, modificationTime, content. Larger files are skipped before they are opened."""
-    root = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes)
-    plain = F.regexp_replace(F.col("path"), r"^[a-z]+:/*(?=/)", "")
-    inside = F.lit(re.sub(r"^[a-z]+:/*(?=/)", "", root))
-    return found.select(F.substring(plain, F.length(inside) + 2, F.length(plain)).alias("path"), plain.alias("abs_path"), "length", "modificationTime", "content")
+    """Every file under root that is small enough. The driver lists; tasks read. root: a path that the executors see too, or a URI."""
+    found = [x for x in listing(root) if x[2] <= max_bytes]
+    names = spark.createDataFrame(found, "path string, abs_path string, length long, modificationTime timestamp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = _file_system(root)
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                content = []
+                for path in part.column(1).to_pylist():
+                    with fs.open_input_stream(path) as f:
+                        content.append(f.read())
+                yield pa.record_batch([*part.columns, pa.array(content, pa.binary())], schema.names)
+
+    schema = T._parse_datatype_string(RAW)
+    tasks = max(1, min(len(found), sum(x[2] for x in found) // TASK_BYTES + spark.sparkContext.defaultParallelism))
+    return names.repartition(tasks).mapInArrow(run, schema)
 
 
 def language_of(path: Column) -> Column:
@@ -102,9 +145,9 @@ def ignore_file(spark: SparkSession, root: str) -> list[str]:
 
 def read_small(spark: SparkSession, path: str) -> str:
     """Text of one small configuration file; empty if it isn't there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    folder, _, name = path.rpartition("/")
+    fs, base = _file_system(folder)
+    if fs.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
         return ""
-    row = spark.read.format("binaryFile").load(path).select("content").first()
-    return bytes(row[0]).decode("utf-8", "replace") if row else ""
+    with fs.open_input_stream(f"{base}/{name}") as f:
+        return f.read().decode("utf-8", "replace")

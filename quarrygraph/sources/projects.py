@@ -26,6 +26,13 @@ def relaxed_json(text: str) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+def extended(path: str, config: dict) -> list[str]:
+    """Paths of the files that a configuration extends; '.json' is added to names without an extension."""
+    above = config.get("extends") or []
+    found = [posixpath.normpath(posixpath.join(posixpath.dirname(path), x)) for x in ([above] if isinstance(above, str) else above) if isinstance(x, str)]
+    return [x if posixpath.splitext(x)[1] else x + ".json" for x in found]
+
+
 def _options(path: str, configs: dict[str, dict], depth: int = 0) -> tuple[dict, str]:
     """Compiler options that define paths, along the chain of extended files (five at most), and the directory they count from."""
     here = posixpath.dirname(path)
@@ -34,11 +41,7 @@ def _options(path: str, configs: dict[str, dict], depth: int = 0) -> tuple[dict,
     own = configs[path].get("compilerOptions") or {}
     if "paths" in own:
         return own, here
-    above = configs[path].get("extends") or []
-    for base in [above] if isinstance(above, str) else above:
-        at = posixpath.normpath(posixpath.join(here, base))
-        if not posixpath.splitext(at)[1]:
-            at += ".json"
+    for at in extended(path, configs[path]):
         options, where = _options(at, configs, depth + 1)
         if "paths" in options:
             return ({**options, "baseUrl": own["baseUrl"]}, here) if "baseUrl" in own else (options, where)
@@ -65,10 +68,17 @@ def aliases(spark: SparkSession, raw: DataFrame, override: str | None = None) ->
 
     Configurations are a few small files, read on the driver; the result joins as a table.
     """
-    names = F.lower(paths.name(F.col("path")))
-    wanted = raw.filter(names.endswith(".json") & (names.rlike("^(?:ts|js)config") | F.col("path").rlike("(?:^|/)[^/]*config[^/]*\\.json$")))
-    wanted = wanted.filter(~F.arrays_overlap(F.split(paths.parent(F.col("path")), "/"), F.array(*(F.lit(d) for d in P.TSCONFIG_SKIP_DIRS))))
-    configs = {r["path"]: relaxed_json(bytes(r["content"]).decode("utf-8", "replace")) for r in wanted.select("path", "content").collect()}
+    skipped = F.arrays_overlap(F.split(paths.parent(F.col("path")), "/"), F.array(*(F.lit(d) for d in P.TSCONFIG_SKIP_DIRS)))
+    own = F.col("path") == override if override is not None else paths.name(F.col("path")).isin("tsconfig.json", "jsconfig.json") & ~skipped
+    configs: dict[str, dict] = {}
+    wanted = raw.filter(own)
+    for _ in range(7):  # a chain of extended files is five long at most
+        fresh = {r["path"]: relaxed_json(bytes(r["content"]).decode("utf-8", "replace")) for r in wanted.select("path", "content").collect()}
+        configs.update(fresh)
+        above = {x for path, c in fresh.items() for x in extended(path, c)} - set(configs)
+        if not above:
+            break
+        wanted = raw.filter(F.col("path").isin(sorted(above)))
     rows: list[tuple[str, str, str]] = []
     if override is not None:
         rows = [("", a, t) for a, t in aliases_of(override, configs)]

@@ -27,7 +27,7 @@ class Store:
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _current(self, name: str) -> str | None:
-        pointer = self._path(name, "_current")
+        pointer = self._path(name, "CURRENT")
         fs = self._fs()
         if not fs.exists(pointer):
             return None
@@ -42,11 +42,11 @@ class Store:
         df.write.parquet(f"{self.path}/{name}/{version}")
         before = self._current(name)
         fs = self._fs()
-        stream = fs.create(self._path(name, "_next"), True)
+        stream = fs.create(self._path(name, "NEXT"), True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        fs.delete(self._path(name, "_current"), False)
-        fs.rename(self._path(name, "_next"), self._path(name, "_current"))
+        fs.delete(self._path(name, "CURRENT"), False)
+        fs.rename(self._path(name, "NEXT"), self._path(name, "CURRENT"))
         if before:
             fs.delete(self._path(name, before), True)
 
