@@ -4,7 +4,7 @@ A gear hash rolls over the words of a text (MEMORY words deep). A word is a cut
 depend on the words around them only, so an insertion moves no cut beyond its own neighbourhood, and any SPREAD places in a row hold
 one. Chunks, the words between two cuts, are deduplicated by digest. A passage of MIN_WORDS words or more that two documents share holds
 at least one whole chunk in common (MEMORY - 1 + 2 * SPREAD words at most are needed). Around shared chunks, every window of MIN_WORDS words is
-then held against the other documents by a 96-bit digest, and shared windows that touch become one span.
+then held against the other documents by a 64-bit digest (independent of the chunks'), and shared windows that touch become one span.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import mix64, random64, stored, text_slices, word_hashes
+from quarrygraph.llm.common import mix64, random64, released, stored, text_slices, word_hashes
 
 #: Words that a repeated passage has at least; words that the gear hash remembers; places of which the least hash is a cut.
 MIN_WORDS, MEMORY, SPREAD = 51, 4, 20
@@ -84,27 +84,43 @@ def spans_hash(prefix: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarr
     return mix64((total[b] - total[a]) * back[a])
 
 
+def profile(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, words for each row: two digests of all its words, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, at in text_slices(batch.column(1)):
+                words, counts = word_hashes(data, at, lower=False)
+                end = np.cumsum(counts)
+                k1, k2 = (spans_hash(_prefix(words, k), end - counts, end) for k in (1, 2))
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(counts)], ["doc_id", "k1", "k2", "words"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, words long")
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, start, n: every chunk between two cuts of a text, in words."""
+    """doc_id, k1 (digest of all its words), digest, start, n: every chunk between two cuts of a text, in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, _j, data, at in text_slices(batch.column(1)):
                 words, counts = word_hashes(data, at, lower=False)
+                end = np.cumsum(counts)
                 c = cuts(words, counts)
-                row = np.searchsorted(np.cumsum(counts), c, "right")
+                row = np.searchsorted(end, c, "right")
                 inner = np.flatnonzero(row[1:] == row[:-1])
                 a, b, r = c[:-1][inner], c[1:][inner], row[:-1][inner]
+                k1 = spans_hash(_prefix(words, 1), end - counts, end)[r]
                 digest = spans_hash(_prefix(words, 0), a, b)
-                first = (np.cumsum(counts) - counts)[r]
-                yield pa.record_batch([pa.array(ids[i + r].astype(np.int64)), pa.array(digest.view(np.int64)), pa.array((a - first).astype(np.int32)), pa.array((b - a).astype(np.int32))], ["doc_id", "digest", "start", "n"])
+                columns = [ids[i + r].astype(np.int64), k1.view(np.int64), digest.view(np.int64), (a - (end - counts)[r]).astype(np.int32), (b - a).astype(np.int32)]
+                yield pa.record_batch([pa.array(x) for x in columns], ["doc_id", "k1", "digest", "start", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, digest long, start int, n int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, digest long, start int, n int")
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """doc_id, h, g, start for every window of MIN_WORDS words that holds one of the row's chunks (at: array<struct<start,n>>)."""
+    """doc_id, h, start for every window of MIN_WORDS words that holds one of the row's chunks (at: array<struct<start,n>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +140,10 @@ def _windows(texts: DataFrame) -> DataFrame:
                         np.add.at(held, first[r] + high[fits], -1)
                 a = np.flatnonzero(np.cumsum(held)[:-1] > 0)
                 row = np.searchsorted(np.cumsum(counts), a, "right")
-                h, g = spans_hash(_prefix(words, 1), a, a + MIN_WORDS), spans_hash(_prefix(words, 2), a, a + MIN_WORDS)
-                yield pa.record_batch([pa.array(ids[i + row].astype(np.int64)), pa.array(h.view(np.int64)), pa.array((g >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((a - first[row]).astype(np.int32))], ["doc_id", "h", "g", "start"])
+                h = spans_hash(_prefix(words, 1), a, a + MIN_WORDS)
+                yield pa.record_batch([pa.array(ids[i + row].astype(np.int64)), pa.array(h.view(np.int64)), pa.array((a - first[row]).astype(np.int32))], ["doc_id", "h", "start"])
 
-    return texts.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, h long, g int, start int")
+    return texts.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, h long, start int")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -139,18 +155,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     that share a doc_id only are one document; other columns are not read.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
-    # Equal texts become one class before anything is cut.
-    sha = F.sha2(F.col("text"), 256)
-    members = stored(plain.select("doc_id", F.xxhash64("text").alias("k1"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("long").alias("k2"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("words")).filter(f"words >= {MIN_WORDS}"), "members")
-    classes = stored(members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min("words").alias("words")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    texts = plain.join(reps, "doc_id", "left_semi")
-    found = stored(chunks(texts), "chunks")
-    shared = found.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("digest")
-    where = stored(found.join(shared, "digest", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("at")), "where")
-    windows = stored(_windows(plain.join(where, "doc_id")), "windows")
-    twice = windows.groupBy("h", "g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h", "g")
-    hits = windows.join(twice, ["h", "g"], "left_semi").select("doc_id", "start").distinct()
+    # Texts with equal words are one class, which its least doc_id stands for; between them nothing is compared.
+    members = stored(profile(plain).filter(f"words >= {MIN_WORDS}"), "members")
+    classes = stored(members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
+    found = stored(chunks(plain), "chunks")
+    shared = found.groupBy("digest").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a <> b").select("digest")
+    where = found.join(shared, "digest", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("at"))
+    where = stored(where.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "where")
+    released(found)
+    texts = stored(plain.join(where, "doc_id"), "texts")
+    released(where)
+    twice = stored(_windows(texts).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h"), "twice")
+    released()
+    hits = _windows(texts).join(twice, "h", "left_semi").select("doc_id", "start")
     order = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") > F.lag("start").over(order) + MIN_WORDS, 1).otherwise(F.when(F.lag("start").over(order).isNull(), 1).otherwise(0))
     spans = hits.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order)).groupBy("doc_id", "span").agg(F.min("start").alias("start_word"), (F.max("start") - F.min("start") + MIN_WORDS).alias("n_words"))

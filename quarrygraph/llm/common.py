@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrygraph.runtime import ship as ship
+
 #: Bytes of text that a Python worker hashes at once; a single longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -40,23 +41,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_clear)
     _made.append((spark, path))
+    # shuffle files of the plan just run are removed when the driver collects its garbage
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
+def released(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and that nothing reads any more, and let the driver's cleaner remove the shuffle files of finished plans."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        spark._jvm.System.gc()
+    time.sleep(CLEANER_SECONDS)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application (as --py-files would)."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="quarrygraph-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        context.addPyFile(str(to))
-        _shipped.add(context.applicationId)
+#: What the cleaner, a thread of its own, is given to act on a collection.
+CLEANER_SECONDS = 1.5
 
 
 def _clear() -> None:
@@ -98,6 +100,17 @@ def _grow(n: int) -> None:
             _powers[k] = np.multiply.accumulate(x)
 
 
+#: Rows whose texts a Python worker has as Python objects at once.
+PART_ROWS = 512
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of PART_ROWS rows, so that a worker's memory doesn't follow the batch size."""
+    for b in batches:
+        for i in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(i, PART_ROWS)
+
+
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Of a string column, in slices of about SLICE_BYTES: first and last row, the bytes, and the offset of each row in them. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

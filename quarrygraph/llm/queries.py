@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrygraph.llm.common import documents, pages, ship
+from quarrygraph.llm.common import documents, pages
+from quarrygraph.runtime import shipped
 
 
 def tokenizer_file() -> str:
@@ -77,17 +77,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("places")
 
 
-def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    @wraps(f)
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return f(spark, sf_dir)
-
-    return query
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: _shipped(f) for f in (op1_secrets, op2_htmlcut, op3_chunkdedup, op4_sentencepiece, op5_media, op6_langid, op7_mixing, op8_quality, op9_neardup, op10_licenses)
+    f.__name__: shipped(f) for f in (op1_secrets, op2_htmlcut, op3_chunkdedup, op4_sentencepiece, op5_media, op6_langid, op7_mixing, op8_quality, op9_neardup, op10_licenses)
 }
 
 #: No SQL expresses these operators' rows; tests hold them against brute force, exact round trips or held-out accuracy.
