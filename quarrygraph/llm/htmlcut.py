@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrygraph.llm.common import parts
+
 # Fixed values of HTML: elements whose text is no page text, elements without an end tag, elements that begin and end a block.
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math object select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -347,7 +349,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     weights = classifier()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = []
             for page in b.column(2).to_pylist():
                 found = blocks(page)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrygraph.llm.common import SLICE_BYTES, crc32_mod5
+from quarrygraph.llm.common import SLICE_BYTES, crc32_mod5, parts
 
 BUCKET_BITS, DIM, ORDERS = 16, 12, (1, 2, 3, 4)
 #: Bound of the training sample: documents of each language, the first by a hash of the id; and the number of languages learned at most.
@@ -103,7 +103,7 @@ class Model:
         i = 0
         while i < len(plain):
             j, size = i, 0
-            while j < len(plain) and (j == i or size + len(plain[j]) <= SLICE_BYTES // 4):
+            while j < len(plain) and (j == i or (size + len(plain[j])) * len(self.languages) <= 4 * SLICE_BYTES):
                 size += len(plain[j])
                 j += 1
             out[i:j] = self.raw(plain[i:j])
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             lang, score, rejected = held.value.predict(b.column(at).to_pylist())
             yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, *fresh])
 
@@ -234,7 +234,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             _, _, rejected = held.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array(~rejected))
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrygraph.llm.common import parts
+
 # The contract's phrases and labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Further notice phrases and labels of this method.
@@ -135,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
-        for b in batches:
+        for b in parts(batches):
             cols: list[list] = [[] for _ in range(9)]
             for text in b.column(1).to_pylist():
                 n, places, tagged, met = scan_text(text, a)

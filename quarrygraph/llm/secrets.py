@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrygraph.llm.common import parts
+
 #: Bound of the training sample, in findings. Trees, depth, and the score from which a finding counts.
 MOST_FINDINGS, TREES, DEPTH, CONFIRMED = 6000, 24, 9, 0.5
 MASK = "[SECRET]"
@@ -299,7 +301,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") ->
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids = b.column(0).to_pylist()
             rows = [(i, f) for i, fs in zip(ids, _found(held.value, b.column(1).to_pylist(), b.column(2).to_pylist()), strict=True) for f in fs]
             yield pa.record_batch(
@@ -329,7 +331,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source")
     size_at = names.index("n_chars") if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(text_at).to_pylist()
             each = _found(held.value, texts, b.column(path_at).to_pylist() if path_at is not None else [None] * len(texts))
             if any(f.score >= CONFIRMED for fs in each for f in fs):

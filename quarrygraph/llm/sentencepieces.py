@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrygraph.llm.common import parts
+
 MARK = "▁"
 #: Marked words that a worker's table holds, and the characters of the longest one that it keeps.
-TABLE_WORDS, TABLE_CHARS = 200_000, 64
+TABLE_WORDS, TABLE_CHARS = 100_000, 64
 
 
 class Segmenter:
@@ -61,10 +63,10 @@ class Segmenter:
         return [int(i) for p in self.parts(text) for i in p[1].split(",")]
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        parts = self.parts(text or "")
-        ids = ",".join([p[1] for p in parts])
-        decoded = "".join([p[2] for p in parts])[1:]
-        return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        found = self.parts(text or "")
+        ids = ",".join([p[1] for p in found])
+        decoded = "".join([p[2] for p in found])[1:]
+        return sum([p[0] for p in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 _loaded: dict[str, Segmenter] = {}
@@ -81,7 +83,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = segmenter(model_file)
-        for b in batches:
+        for b in parts(batches):
             yield pa.record_batch([b.column(0), pa.array([s.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -92,7 +94,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = segmenter(model_file)
-        for b in batches:
+        for b in parts(batches):
             yield pa.record_batch([b.column(0), pa.array([s.lib.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
@@ -107,7 +109,7 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = segmenter(model_file)
-        for b in batches:
+        for b in parts(batches):
             rows = [s.digest(t) for t in b.column(1).to_pylist()]
             n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
