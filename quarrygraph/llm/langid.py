@@ -177,8 +177,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0,
         model.temperature = float(min(loss, key=loss.get))
         whole = [normal(texts[i]) for i in kept]
         p = softmax(model.raw(whole) / model.temperature).max(1)[[bool(w) for w in whole]]
-        # no higher than what an even guess between two languages has
-        model.threshold = float(min(0.5, np.quantile(p, WRONG_REJECTIONS) * 0.9)) if len(p) else 0.0
+        # no higher than one and a half times what an even guess between all languages has
+        model.threshold = float(min(1.5 / len(names), np.quantile(p, WRONG_REJECTIONS) * 0.9)) if len(p) else 0.0
     return model
 
 
