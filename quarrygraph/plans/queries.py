@@ -13,7 +13,7 @@ from quarrygraph.functions import globs, paths
 from quarrygraph.operators import communities, deadcode, flows, graph, history, impact, incremental, refactor, resolve, search
 from quarrygraph.plans import adapters as A
 from quarrygraph.runtime import once, shipped
-from quarrygraph.sources import documents, files
+from quarrygraph.sources import documents, files, parser, projects
 from quarrygraph.sources import history as git_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,3 +581,130 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     from quarrygraph.streaming.activity import hourly, run_once
 
     return run_once(spark, f"{d}/events.parquet", A.table(spark, d, "events").schema, hourly).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", *_six("total"))
+
+
+# ---- parsing and resolution on generated sources
+
+_SOURCE = "SELECT p_partkey AS k, 'src/p' || p_partkey || '.py' AS path FROM part"
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """A Python file for each part: two imports, a class with a method, a function."""
+    k = F.col("p_partkey")
+    lines = ["import os.path", F.format_string("from pkg.m%d import a%d as b, c", k % 7, k), "", F.format_string("class C%d:", k), "    def _hidden(self):", "        return 1", "", F.format_string("async def f%d(x, y=2):", k), "    return x"]
+    text = F.array_join(F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines)), "\n")
+    return A.table(spark, d, "part").select(F.concat(F.lit("src/p"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.sha2(text, 256).alias("content_hash"), text.alias("text"))
+
+
+@query(f"""
+, s AS ({_SOURCE})
+SELECT path, 'C' || k AS name, 'class' AS kind, 4 AS start_line, 6 AS end_line, 'public' AS visibility, NULL AS parent_name, 'src.p' || k || '.C' || k AS qualified_name, 'class C' || k AS signature FROM s
+UNION ALL SELECT path, '_hidden', 'method', 5, 6, 'private', 'C' || k, 'src.p' || k || '.C' || k || '._hidden', 'def _hidden(self)' FROM s
+UNION ALL SELECT path, 'f' || k, 'function', 8, 9, 'public', NULL, 'src.p' || k || '.f' || k, 'async def f' || k || '(x, y=2)' FROM s""")
+def p1_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return parser.symbols(parser.parse(_sources(spark, d))).select("path", "name", "kind", "start_line", "end_line", "visibility", "parent_name", "qualified_name", "signature")
+
+
+@query(f"""
+, s AS ({_SOURCE}) SELECT path, 'os.path' AS module_path, 'path' AS names, false AS is_relative FROM s UNION ALL SELECT path, 'pkg.m' || (k % 7), 'm' || (k % 7) || ',a' || k || ',c', false FROM s""")
+def p3_imports(spark: SparkSession, d: str) -> DataFrame:
+    return parser.imports(parser.parse(_sources(spark, d))).select("path", "module_path", F.array_join("imported_names", ",").alias("names"), "is_relative")
+
+
+@query(f", s AS ({_SOURCE}) SELECT path, 'C' || k || ',f' || k AS exports FROM s")
+def p5_exports(spark: SparkSession, d: str) -> DataFrame:
+    return parser.parse(_sources(spark, d)).select("path", F.array_join("exports", ",").alias("exports"))
+
+
+def _script_files(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    stem = F.format_string("src/d%d/c%d", k % 10, k)
+    return A.table(spark, d, "part").select("p_partkey", F.when(k % 3 == 0, F.concat(stem, F.lit(".ts"))).when(k % 3 == 1, F.concat(stem, F.lit(".tsx"))).otherwise(F.concat(stem, F.lit("/index.js"))).alias("path"))
+
+
+@query("""
+, n AS (SELECT count(*) AS n FROM part), f AS (SELECT p_partkey AS k, 'src/d' || (p_partkey % 10) || '/c' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END AS path FROM part),
+i AS (SELECT 'src/d' || (k % 10) || '/m' || k || '.ts' AS path, k, (k * 7) % (SELECT n FROM n) AS m FROM f)
+SELECT i.path, CASE i.k % 4 WHEN 0 THEN '../d' || (m % 10) || '/c' || m WHEN 1 THEN '@/d' || (m % 10) || '/c' || m WHEN 2 THEN './gone' || i.k ELSE 'lib' || (i.k % 9) END AS module_path, CASE WHEN i.k % 4 < 2 THEN t.path WHEN i.k % 4 = 3 THEN 'external:lib' || (i.k % 9) END AS resolved
+FROM i LEFT JOIN f t ON t.k = i.m""")
+def r3_resolve_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Relative paths, an alias, packages, and relative paths to nothing."""
+    found = _script_files(spark, d)
+    n = found.count()
+    k, m = F.col("p_partkey"), (F.col("p_partkey") * 7) % n
+    target = F.format_string("d%d/c%d", m % 10, m)
+    module = F.when(k % 4 == 0, F.concat(F.lit("../"), target)).when(k % 4 == 1, F.concat(F.lit("@/"), target)).when(k % 4 == 2, F.concat(F.lit("./gone"), k)).otherwise(F.concat(F.lit("lib"), k % 9))
+    imports = found.select(F.format_string("src/d%d/m%d.ts", k % 10, k).alias("path"), F.lit("typescript").alias("language"), module.alias("module_path"), F.array().cast("array<string>").alias("imported_names"))
+    aliases = spark.createDataFrame([("", "@/", "src/"), ("", "@", "nowhere/")], "dir string, prefix string, target string")
+    return resolve.resolve(imports, found.select("path"), aliases).select("path", "module_path", "resolved")
+
+
+@query(f"""
+ SELECT path, {SECURITY_SQL.format("path")} AS sensitive, regexp_matches(path, '{_regex([globs.path_match(p) for p in P.NEVER_FLAG])}') AS never_flagged,
+  regexp_matches({STEM_SQL.format("path")}, '{_regex([globs.name_match(p) for p in P.DYNAMIC_NAMES])}') AS is_dynamic, regexp_matches(lower(path), '(?:^|/)(?:{"|".join(P.FIXTURE_SEGMENTS)})/') AS is_fixture FROM nodes""")
+def q12_path_flags(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("path")
+    return A.nodes(spark, d).select("path", impact.security_sensitive(p).alias("sensitive"), deadcode.never_flagged(p).alias("never_flagged"), deadcode.is_dynamic(p).alias("is_dynamic"), deadcode.is_fixture(p).alias("is_fixture"))
+
+
+@query(f" SELECT path FROM nodes WHERE regexp_matches(path, '{_regex([globs.directory_glob(p) for p in ('**/m1/**/*.py', 'scripts/*.py', '**/main.py', 'n1/*.py')])}')")
+def s24_entry_files(spark: SparkSession, d: str) -> DataFrame:
+    return projects.entry_files(A.nodes(spark, d), ["**/m1/**/*.py", "scripts/*.py", "**/main.py", "n1/*.py"])
+
+
+def _local_pagerank_sql(rounds: int) -> str:
+    out = """
+, ie AS (SELECT DISTINCT e.source, e.target FROM edges e JOIN members a ON a.path = e.source JOIN members b ON b.path = e.target AND a.community_id = b.community_id), outs AS (SELECT source, count(*) AS n FROM ie GROUP BY 1),
+sizes AS (SELECT community_id, count(*)::DOUBLE AS n FROM members GROUP BY 1), r0 AS (SELECT path, community_id, n, 1.0 / n AS p FROM members JOIN sizes USING (community_id))"""
+    for k in range(rounds):
+        out += f""",
+l{k} AS (SELECT community_id, sum(p) AS x FROM r{k} WHERE path NOT IN (SELECT source FROM outs) GROUP BY 1),
+r{k + 1} AS (SELECT r.path, r.community_id, r.n, 0.85 * (coalesce(g.x, 0) + coalesce(l.x, 0) / r.n) + 0.15 / r.n AS p FROM r{k} r LEFT JOIN l{k} l ON l.community_id = r.community_id
+  LEFT JOIN (SELECT ie.target, sum(s.p / outs.n) AS x FROM ie JOIN r{k} s ON s.path = ie.source JOIN outs ON outs.source = ie.source GROUP BY 1) g ON g.target = r.path)"""
+    return out + f" SELECT path, community_id, round(p, 6) AS pagerank FROM r{rounds}"
+
+
+@query(_local_pagerank_sql(4))
+def g6_community_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank inside each community, four rounds, so that SQL can say the same."""
+    m, e = A.members(spark, d), A.edges(spark, d)
+    c1, c2 = m.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), m.select(F.col("path").alias("target"), F.col("community_id").alias("c2"))
+    inner = e.join(c1, "source").join(c2, "target").filter("c1 = c2").select("source", "target")
+    return communities.pagerank_by(m, inner, rounds=4, tolerance=0.0).select("path", "community_id", *_six("pagerank"))
+
+
+@query("""
+, words AS (SELECT id AS doc, unnest(regexp_extract_all(lower(concat_ws(' ', name, signature)), '[\\p{L}\\p{N}]+')) AS term FROM symbols) SELECT term, doc, count(*) AS tf FROM words GROUP BY 1, 2""".replace("\\\\", "\\"))
+def k6_postings(spark: SparkSession, d: str) -> DataFrame:
+    return search.postings(A.symbols(spark, d), "id", ("name", "signature"), stemmed=False)
+
+
+@query("""
+, wanted AS (SELECT path FROM nodes WHERE k % 2 = 0), h AS (SELECT * FROM history_counts WHERE file_path IN (SELECT path FROM wanted))
+SELECT file_path, round((row_number() OVER (ORDER BY hotspot_score, commit_count_90d, file_path) - 1) / (count(*) OVER ())::DOUBLE, 6) AS churn_percentile FROM h""")
+def h11_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of some files: percentiles count among these."""
+    only = A.nodes(spark, d).filter("k % 2 = 0").select("path")
+    return history.metadata(A.commits(spark, d), A.AS_OF, only).select("file_path", *_six("churn_percentile"))
+
+
+@query("""
+, top AS (SELECT path, row_number() OVER (ORDER BY pagerank DESC, path) - 1 AS i FROM nodes QUALIFY i < 20)
+SELECT 'flowchart LR' AS line UNION ALL SELECT '    n' || i || '["' || CASE WHEN length(path) <= 40 THEN path ELSE '...' || right(path, 37) END || '"]' FROM top
+UNION ALL SELECT '    n' || a.i || ' --> n' || b.i FROM edges e JOIN top a ON a.path = e.source JOIN top b ON b.path = e.target""")
+def k14_mermaid(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in render.mermaid(A.nodes(spark, d), A.edges(spark, d), 20).splitlines()], "line string")
+
+
+@query()
+def q25_wiki(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of the given communities, by name and length (text is for people)."""
+    m, e = A.members(spark, d), A.edges(spark, d)
+    found, _ = flows.trace(A.nodes(spark, d), e)
+    pages = render.wiki(communities.summary(m, e), m, found, {"repo_name": "data", "file_count": m.count()})
+    return spark.createDataFrame([(k, len(v)) for k, v in sorted(pages.items())], "page string, n_chars long")
+
+
+@query()
+def k17_node_link(spark: SparkSession, d: str) -> DataFrame:
+    return graph.node_link(A.nodes(spark, d), A.edges(spark, d))
