@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarrygraph.llm.common import mix64, random64, released, stored, text_slices, word_hashes
 
 #: Words that a repeated passage has at least; words that the gear hash remembers; places of which the least hash is a cut.
-MIN_WORDS, MEMORY, SPREAD = 51, 4, 20
+MIN_WORDS, MEMORY, SPREAD = 51, 4, 24
 _ROLL = [np.uint64(x | 1) for x in random64(3, 77).tolist()]
 
 
