@@ -14,8 +14,14 @@ _shipped: set[str] = set()
 _derived: dict[tuple[str, str, str], DataFrame] = {}
 
 
+#: Rows of an Arrow batch between the JVM and Python, where the session has Spark's own default: texts are long, and both sides hold a batch.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application (as --py-files would)."""
+    """Send this package to the executors' Python workers, once for each application (as --py-files would), and bound the batches they get."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
