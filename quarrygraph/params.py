@@ -5,7 +5,7 @@ from __future__ import annotations
 # ---- files (fixed values)
 BLOCKED_DIRS = (
     ".git .hg .svn node_modules .venv venv __pycache__ .pytest_cache .mypy_cache .ruff_cache .tox dist build .next target .gradle vendor coverage htmlcov .eggs "
-    "site-packages .cache .idea .vscode .claude .codestats"
+    "site-packages .cache .idea .vscode .claude .quarrygraph"
 ).split()
 BLOCKED_EXTENSIONS = [".pyc", ".pyo", ".pyd", ".so", ".dll", ".dylib", ".exe", ".o", ".a", ".wasm"]
 BLOCKED_NAMES = ["*.min.js", "*.min.css", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "go.sum", "Cargo.lock", "poetry.lock", "uv.lock", "*.lock"]
@@ -31,7 +31,7 @@ EXTERNAL = "external:"
 IMPORTS, TESTED_BY = "IMPORTS_FROM", "TESTED_BY"
 PAGERANK_ALPHA, PAGERANK_ROUNDS, PAGERANK_TOLERANCE = 0.85, 100, 1e-6
 BETWEENNESS_EXACT_BELOW, BETWEENNESS_SAMPLE = 30_000, 500
-TSCONFIG_SKIP_DIRS = ["node_modules", "dist", "build", ".next", ".nuxt", ".output", "__pycache__", ".git", ".codestats", ".turbo", ".vercel"]
+TSCONFIG_SKIP_DIRS = ["node_modules", "dist", "build", ".next", ".nuxt", ".output", "__pycache__", ".git", ".quarrygraph", ".turbo", ".vercel"]
 SCRIPT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx"]
 SCRIPT_INDEXES = ["/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
