@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from quarrygraph import params as P
 from quarrygraph.functions import paths
+from quarrygraph.operators import graph
 from quarrygraph.operators.tables import pinned
 
 RESOLUTION, GAIN = 1.0, 1e-7
 #: Edges of a component up to which Louvain runs in one task; larger components are coarsened by distributed moves first.
 TASK_EDGES = 2_000_000
+#: Edges of a whole graph up to which its components aren't told apart.
+SMALL_EDGES = 100_000
 
 
 def undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,7 +116,8 @@ def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = nodes.select("path").distinct()
     pairs = pinned(undirected(nodes, edges))
     total = float(pairs.count())
-    part = _components(pairs, nodes)
+    # few edges: all components in one task, with the same result
+    part = nodes.select("path", F.lit("").alias("part")) if total <= min(SMALL_EDGES, TASK_EDGES) else _components(pairs, nodes)
     sized = pairs.join(part.withColumnRenamed("path", "a"), "a")
     large = sized.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > TASK_EDGES).select("part")
     if not large.isEmpty():
@@ -205,10 +209,27 @@ def top_files(members: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     return best.groupBy("community_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "path"))), lambda x: x["path"]).alias("top_files"))
 
 
-def pagerank_by(members: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA, rounds: int = P.PAGERANK_ROUNDS, tolerance: float = P.PAGERANK_TOLERANCE) -> DataFrame:
-    """path, community_id, pagerank: PageRank of each community's own subgraph, all at once; teleport and dangling mass stay in the community."""
+def pagerank_by(members: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA, rounds: int = P.PAGERANK_ROUNDS, tolerance: float | None = P.PAGERANK_TOLERANCE) -> DataFrame:
+    """path, community_id, pagerank: PageRank of each community's own subgraph, all at once; teleport and dangling mass stay in the community.
+
+    Communities of at most TASK_EDGES edges and nodes are a group of a task each; beyond that all take their rounds together as joins.
+    """
     size = members.groupBy("community_id").agg(F.count("*").alias("n"))
     out = edges.select("source", "target").distinct()
+    own = out.join(members.select(F.col("path").alias("source"), "community_id"), "source")
+    most = own.groupBy("community_id").agg(F.count("*").alias("n")).unionByName(size).agg(F.max("n")).first()[0]
+    if (most or 0) <= graph.TASK_EDGES:
+        rows = members.select("community_id", F.col("path").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(own.select("community_id", F.col("source").alias("a"), F.col("target").alias("b")))
+
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            alone = pdf["b"].isna()
+            names = sorted(pdf.loc[alone, "a"])
+            index = {x: i for i, x in enumerate(names)}
+            pairs = np.array([(index[a], index[b]) for a, b in zip(pdf.loc[~alone, "a"], pdf.loc[~alone, "b"], strict=True) if b in index], np.int64).reshape(-1, 2)
+            rank = graph.pagerank_kernel(names, pairs, alpha, rounds, tolerance)
+            return pd.DataFrame({"path": names, "community_id": key[0], "pagerank": rank})
+
+        return rows.groupBy("community_id").applyInPandas(run, "path string, community_id int, pagerank double")
     weighted = pinned(out.join(out.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", (1.0 / F.col("out")).alias("w")))
     dangling = out.select(F.col("source").alias("path")).distinct().withColumn("leads", F.lit(True))
     rank = pinned(members.join(size, "community_id").join(dangling, "path", "left").select("path", "community_id", "n", F.col("leads").isNull().alias("dangles"), (1.0 / F.col("n")).alias("pagerank")))
@@ -217,8 +238,10 @@ def pagerank_by(members: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_
         sent = weighted.join(rank.select(F.col("path").alias("source"), "pagerank"), "source").groupBy(F.col("target").alias("path")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
         fresh = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n")) + (1 - alpha) / F.col("n")
         step = pinned(rank.join(sent, "path", "left").join(lost, "community_id", "left").select("path", "community_id", "n", "dangles", fresh.alias("pagerank"), F.abs(fresh - F.col("pagerank")).alias("change")))
-        moving = step.groupBy("community_id", "n").agg(F.sum("change").alias("change")).filter(F.col("change") >= F.col("n") * tolerance)
         rank = step.drop("change")
+        if tolerance is None:
+            continue
+        moving = step.groupBy("community_id", "n").agg(F.sum("change").alias("change")).filter(F.col("change") >= F.col("n") * tolerance)
         if moving.isEmpty():
             break
     return rank.select("path", "community_id", "pagerank")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,13 +82,16 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | N
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA, rounds: int = P.PAGERANK_ROUNDS, tolerance: float | None = P.PAGERANK_TOLERANCE) -> DataFrame:
     """path, pagerank: power iteration with uniform teleport, dangling mass spread evenly, until the L1 change is below n * tolerance.
 
-    tolerance None: exactly so many rounds. If the rounds don't suffice, every node gets 1 / n. The edge table is partitioned by source once; each round is
-    a join and an aggregation. The dangling mass is one number, fetched with the change.
+    tolerance None: exactly so many rounds. If the rounds don't suffice, every node gets 1 / n. A graph of at most TASK_EDGES edges and nodes is one
+    task. Beyond that the edge table is partitioned by source once, and each round is a join and an aggregation; the dangling mass is one
+    number, fetched with the change.
     """
     n = nodes.count()
     if n == 0:
         return nodes.select("path", F.lit(0.0).alias("pagerank"))
     out = edges.select("source", "target").distinct()
+    if n <= TASK_EDGES and out.count() <= TASK_EDGES:
+        return in_one_task(nodes, out, lambda names, pairs: pagerank_kernel(names, pairs, alpha, rounds, tolerance), "path string, pagerank double", ["path", "pagerank"])
     weighted = pinned(out.join(out.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", (1.0 / F.col("out")).alias("w")))
     dangling = nodes.select("path").join(out.select(F.col("source").alias("path")).distinct(), "path", "left_anti").withColumn("dangles", F.lit(True))
     base = nodes.select("path").distinct().join(dangling, "path", "left").select("path", F.coalesce("dangles", F.lit(False)).alias("dangles"))
@@ -106,6 +110,85 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA
     return rank.select("path", "pagerank")
 
 
+#: Edges, and nodes, of a graph that one task may hold.
+TASK_EDGES = 1_000_000
+
+
+def in_one_task(nodes: DataFrame, edges: DataFrame, kernel: Callable, schema: str, columns: list[str]) -> DataFrame:
+    """kernel(names, pairs) -> a column of values for the names, over a graph whose size the caller has checked."""
+    rows = nodes.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("b")).distinct().unionByName(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        alone = pdf["b"].isna()
+        names = sorted(pdf.loc[alone, "a"])
+        index = {x: i for i, x in enumerate(names)}
+        pairs = np.array([(index[a], index[b]) for a, b in zip(pdf.loc[~alone, "a"], pdf.loc[~alone, "b"], strict=True) if a in index and b in index], np.int64).reshape(-1, 2)
+        return pd.DataFrame({columns[0]: names, columns[1]: kernel(names, pairs)})
+
+    return rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, schema)
+
+
+def pagerank_kernel(names: list[str], pairs: np.ndarray, alpha: float, rounds: int, tolerance: float | None) -> np.ndarray:
+    """Power iteration over an edge array without repeats."""
+    n = len(names)
+    out = np.bincount(pairs[:, 0], minlength=n)
+    rank = np.full(n, 1.0 / n)
+    for _ in range(rounds):
+        share = np.divide(rank, out, out=np.zeros(n), where=out > 0)
+        fresh = alpha * (np.bincount(pairs[:, 1], weights=share[pairs[:, 0]], minlength=n) + rank[out == 0].sum() / n) + (1 - alpha) / n
+        change, rank = np.abs(fresh - rank).sum(), fresh
+        if tolerance is not None and change < n * tolerance:
+            return rank
+    return rank if tolerance is None else np.full(n, 1.0 / n)
+
+
+def components_kernel(names: list[str], pairs: np.ndarray) -> list[str]:
+    """Least member of each node's strongly connected component, by depth-first search with an explicit stack."""
+    n = len(names)
+    order = np.argsort(pairs[:, 0], kind="stable")
+    to = pairs[order, 1]
+    start = np.searchsorted(pairs[order, 0], np.arange(n + 1))
+    number, low, on = [-1] * n, [0] * n, [False] * n
+    component, stack, count = [0] * n, [], 0
+    for root in range(n):
+        if number[root] >= 0:
+            continue
+        work = [(root, start[root])]
+        number[root] = low[root] = count
+        count += 1
+        stack.append(root)
+        on[root] = True
+        while work:
+            u, at = work.pop()
+            if at < start[u + 1]:
+                work.append((u, at + 1))
+                v = int(to[at])
+                if number[v] < 0:
+                    number[v] = low[v] = count
+                    count += 1
+                    stack.append(v)
+                    on[v] = True
+                    work.append((v, start[v]))
+                elif on[v]:
+                    low[u] = min(low[u], number[v])
+                continue
+            if low[u] == number[u]:
+                members = []
+                while True:
+                    v = stack.pop()
+                    on[v] = False
+                    members.append(v)
+                    if v == u:
+                        break
+                least = min(members)  # names are sorted
+                for v in members:
+                    component[v] = least
+            if work:
+                p = work[-1][0]
+                low[p] = min(low[p], low[u])
+    return [names[c] for c in component]
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None, slices: int | None = None) -> DataFrame:
     """path, betweenness: normalised shortest-path betweenness of a directed graph.
 
@@ -196,12 +279,17 @@ def _betweenness_joins(names: DataFrame, edges: DataFrame, sources: DataFrame, s
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, component (its least member): strongly connected components, by colouring.
+    """path, component (its least member): strongly connected components.
+
+    A graph of at most TASK_EDGES edges and nodes is one task's depth-first search. Larger ones are coloured:
 
     Rounds: nodes without an edge in or out of what is left are components alone; every other node takes the greatest path that reaches it as
     its colour; those that reach the colour's own node inside the colour are its component. Each round removes at least one component of each colour.
     """
     left_nodes = pinned(nodes.select("path").distinct())
+    plain = edges.select("source", "target").filter("source <> target").distinct()
+    if left_nodes.count() <= TASK_EDGES and plain.count() <= TASK_EDGES:
+        return in_one_task(left_nodes, plain, components_kernel, "path string, component string", ["path", "component"])
     left = pinned(edges.select("source", "target").filter("source <> target").distinct())
     found = []
     while True:

@@ -670,7 +670,7 @@ def g6_community_pagerank(spark: SparkSession, d: str) -> DataFrame:
     m, e = A.members(spark, d), A.edges(spark, d)
     c1, c2 = m.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), m.select(F.col("path").alias("target"), F.col("community_id").alias("c2"))
     inner = e.join(c1, "source").join(c2, "target").filter("c1 = c2").select("source", "target")
-    return communities.pagerank_by(m, inner, rounds=4, tolerance=0.0).select("path", "community_id", *_six("pagerank"))
+    return communities.pagerank_by(m, inner, rounds=4, tolerance=None).select("path", "community_id", *_six("pagerank"))
 
 
 @query("""

@@ -57,7 +57,9 @@ def test_shortest_path(spark, wild):
     assert graph.shortest_path(e, names[0], names[0]).first().hops == 0
 
 
-def test_pagerank(spark, wild):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_pagerank(spark, wild, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)  # in one task, and as joins
     names, pairs, n, e = wild
     got = {r.path: r.pagerank for r in graph.pagerank(n, e).collect()}
     size = len(names)
@@ -106,7 +108,9 @@ def test_betweenness(spark, wild, monkeypatch):
     assert all(abs(got[v] - expected[v] / k) < 1e-9 for v in names)
 
 
-def test_strong_components_and_cycles(spark, wild):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_strong_components_and_cycles(spark, wild, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_EDGES", most)
     names, pairs, n, e = wild
     d = {s: distances(pairs, s) for s in names}
     expected = {u: min(v for v in names if v in d[u] and u in d[v]) for u in names}
@@ -126,7 +130,9 @@ def test_degrees(spark, wild):
     assert {r.path: (r.in_degree, r.out_degree) for r in graph.degrees(n, e).collect()} == {u: (sum(b == u for _, b in pairs), sum(a == u for a, _ in pairs)) for u in names}
 
 
-def test_louvain(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_louvain(spark, monkeypatch, small):
+    monkeypatch.setattr(communities, "SMALL_EDGES", small)
     clique = lambda p: [(f"{p}{i}", f"{p}{j}") for i in range(5) for j in range(i)]
     pairs = clique("a/x") + clique("b/y") + [("a/x0", "b/y0")]
     names = sorted({x for p in pairs for x in p}) + ["lone"]
@@ -148,6 +154,16 @@ def test_louvain_after_distributed_moves(spark, monkeypatch):
     assert got.count() == 12 and communities.modularity(got, e).first().modularity > 0.3
 
 
+def test_community_pagerank_both_ways(spark, wild, monkeypatch):
+    names, pairs, _, e = wild
+    m = spark.createDataFrame([(n, int(n[1])) for n in names], "path string, community_id int")
+    inner = e.filter(F.substring("source", 1, 2) == F.substring("target", 1, 2)).select("source", "target")
+    one = {r.path: r.pagerank for r in communities.pagerank_by(m, inner, rounds=5, tolerance=None).collect()}
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    two = {r.path: r.pagerank for r in communities.pagerank_by(m, inner, rounds=5, tolerance=None).collect()}
+    assert set(one) == set(names) and all(abs(one[n] - two[n]) < 1e-12 for n in names) and abs(sum(one.values()) - 3) < 1e-9
+
+
 def test_cohesion_half(spark):
     m = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1)], "path string, community_id int")
     got = {r.community_id: r.cohesion for r in communities.cohesion(m, edges_of(spark, [("a", "b"), ("b", "c")])).collect()}
