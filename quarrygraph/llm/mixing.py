@@ -70,6 +70,23 @@ def exponent(sources: DataFrame, max_repeats: float | None = None, target_entrop
     return _bisect(spread, lambda s: s <= limit)
 
 
+#: Sources up to which a table of one row for each source is broadcast.
+BROADCAST_SOURCES, SALTS = 100_000, 32
+
+
+def _with_source(rows: DataFrame, small: DataFrame, n_sources: int) -> DataFrame:
+    """rows (key, source, ...) with the row of small (s, ...) for their source, null included.
+
+    A source may hold a third of all rows, so rows aren't dealt by source: small is broadcast up to BROADCAST_SOURCES rows; beyond that it is
+    repeated SALTS times and rows are dealt by source and a hash of their key.
+    """
+    if n_sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    spread = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s_salt"))
+    salted = rows.withColumn("r_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, F.col("source").eqNullSafe(F.col("s")) & (F.col("r_salt") == F.col("s_salt"))).drop("s", "s_salt", "r_salt")
+
+
 def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
     """For rows (key, source, n_tokens): source, weight, full (whole epochs), cut (in the partial epoch, rows whose order is below cut are taken).
 
@@ -94,8 +111,8 @@ def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     )
     # Blocks of the partial epoch are ranges of a hash of the key: their order is a permutation of the rows.
     spot = position("key", F.col("full") + 1)
-    placed = rows.join(dealt.filter("left > 0").select(F.col("source").alias("s"), "full", "left", "blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.select("source", "left", "n_tokens", spot.alias("spot"), F.floor(spot * F.col("blocks")).cast("long").alias("block"))
+    placed = _with_source(rows, dealt.filter("left > 0").select(F.col("source").alias("s"), "full", "left", "blocks"), dealt.count())
+    placed = placed.select("key", "source", "left", "n_tokens", spot.alias("spot"), F.floor(spot * F.col("blocks")).cast("long").alias("block"))
     sums = stored(placed.groupBy("source", "left", "block").agg(F.sum("n_tokens").alias("t")), "blocks")
     # prefix sums in two steps, so that no task holds all blocks of a source
     groups = sums.groupBy("source", F.floor(F.col("block") / GROUP).alias("g")).agg(F.sum("t").alias("gt"))
@@ -103,7 +120,7 @@ def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
     sums = sums.withColumn("g", F.floor(F.col("block") / GROUP)).alias("x").join(groups.alias("y"), F.expr("x.source <=> y.source AND x.g = y.g")).select("x.source", "x.left", "x.block", "x.t", "x.g", "y.g_before")
     sums = sums.withColumn("before", F.col("g_before") + F.sum("t").over(Window.partitionBy("source", "g").orderBy("block")) - F.col("t"))
     edge = sums.filter("before < left AND before + t >= left").select(F.col("source").alias("s"), F.col("block").alias("e"), "before")
-    inside = placed.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("e"))).select("source", "left", "before", "n_tokens", "spot")
+    inside = _with_source(placed, edge, dealt.count()).filter(F.col("block") == F.col("e")).select("source", "left", "before", "n_tokens", "spot")
     running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("spot").rangeBetween(Window.unboundedPreceding, 0))
     # the first row that spends the rest is the last one taken
     cut = inside.withColumn("after", F.col("before") + running).filter("after >= left").groupBy("source").agg(F.min("spot").alias("last"))
@@ -130,9 +147,9 @@ def mix(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
 
 
 def _taken(rows: DataFrame, planned: DataFrame, names: list[str]) -> DataFrame:
-    p = planned.select(F.col("source").alias("p_source"), F.col("full").alias("p_full"), F.col("cut").alias("p_cut"))
+    p = stored(planned.select(F.col("source").alias("s"), F.col("full").alias("p_full"), F.col("cut").alias("p_cut")), "plan")
     last = F.when(position("key", F.col("p_full") + 1) < F.col("p_cut"), 1).otherwise(0)
-    joined = rows.join(p, F.col("source").eqNullSafe(F.col("p_source")))
+    joined = _with_source(rows, p, p.count())
     times = F.when(F.col("p_full") + last > 0, F.sequence(F.lit(1).cast("long"), F.col("p_full") + last)).otherwise(F.array().cast("array<long>"))
     return joined.select(*names, F.explode(times).alias("epoch"))
 
