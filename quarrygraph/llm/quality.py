@@ -48,10 +48,16 @@ def grams(hashes: Column) -> Column:
 def repeated_words(hashes: Column, window: int = 5) -> Column:
     """Words that lie in windows of `window` words found twice or more in the text."""
 
+    if window != 5:
+        raise ValueError("windows are of five words")
+
     def windows(h: Column) -> Column:
-        n = F.size(h) - (window - 1)
-        one = lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(window)))
-        return F.when(n > 1, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), one)).otherwise(F.array().cast("array<long>"))
+        # two words, twice two, and one: each step runs over two arrays side by side
+        n = F.size(h)
+        two = lambda x: F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), lambda a, b: F.xxhash64(a, b))
+        four = lambda x: F.zip_with(F.slice(x, 1, n - 3), F.slice(x, 3, n - 3), lambda a, b: F.xxhash64(a, b))
+        five = lambda x: F.zip_with(F.slice(x, 1, n - 4), F.slice(h, 5, n - 4), lambda a, b: F.xxhash64(a, b))
+        return F.when(n > 4, _let(_let(two(h), four), five)).otherwise(F.array().cast("array<long>"))
 
     def covered(w: Column) -> Column:
         def starts(s: Column) -> Column:
