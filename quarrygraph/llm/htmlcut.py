@@ -63,6 +63,8 @@ class Node:
                     self.hidden = True
                 elif name in ("class", "id", "role"):
                     words = set(_WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower()))
+                    if self.good or words & GOOD_WORDS:
+                        words.discard("header")  # an article's own heading
                     self.bad += bool(words & BAD_WORDS)
                     self.good += bool(words & GOOD_WORDS and not words & BAD_WORDS)
         if tag == "header" and not (parent and any(p.tag in ("article", "main") for p in _up(parent))):

@@ -20,6 +20,7 @@ from quarrygraph.runtime import ship
         ("<article><p>a<br>b</p><pre>x\n  y</pre></article>", "a b\n\nx y"),
         ("<div id=menu><a href=1>x</a></div><div class=content><p>Unquoted attributes work fine.</p></div><div class=footer>f</div>", "Unquoted attributes work fine."),
         ("<article><p>5 < 6 and 7 > 3 &nbsp; end.</p></article>", "5 < 6 and 7 > 3 end."),
+        ("<article><header class='entry-header'><h1>Own title</h1></header><p>Body stands here.</p><section id=comments><p>Nice!</p></section></article>", "Own title\n\nBody stands here."),
         ("", ""), (None, ""), ("<p></p>", ""), ("<nav>only menu</nav>", ""), ("<article><p>unclosed", "unclosed"),
     ],
 )
