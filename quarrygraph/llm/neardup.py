@@ -27,7 +27,10 @@ SYMBOLS, CHUNKS = 64, 16
 #: At similarity 0.8 a symbol differs with probability 0.2 (and 2 ** -16 less): 64 of them differ in more than 28 places for about 3 pairs of a million.
 MOST_DIFFERENT = 28
 #: Classes of a block and their shingles, about; columns of the matrix by which a task intersects sets; pairs of a hub in one task.
-BLOCK, BLOCK_SHINGLES, COLUMNS, SLOT = 1024, 2_000_000, 8192, 256
+BLOCK, BLOCK_SHINGLES, COLUMNS, SLOT = 1024, 2_000_000, 4096, 256
+
+#: Ids up to which a set of them is broadcast against the texts; beyond that the texts are dealt by id.
+BROADCAST_IDS = 1_000_000
 
 _MULTIPLY = random64(SYMBOLS, 101) | np.uint64(1)
 _ADD = random64(SYMBOLS, 102)
@@ -175,14 +178,14 @@ def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part = np.zeros((n, COLUMNS), np.float32)
         part[owner[i:j], column[i:j] - first] = 1
         shared += part @ part.T
-    linked = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
     rest, out = np.ones(n, bool), []
     for start in range(n):
         if rest[start]:
             rest[start] = False
             queue = [start]
             for u in queue:
-                new = np.flatnonzero(linked[u] & rest)
+                both = shared[u].astype(np.int64)
+                new = np.flatnonzero((100 * both >= percent * (size[u] + size - both)) & rest)
                 rest[new] = False
                 queue += new.tolist()
                 out += [(u, v) for v in new.tolist()]
@@ -282,8 +285,13 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(run, "a long, b long")
 
 
+def _by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """docs semi- or anti-joined with a stored table of ids, whose size decides whether texts have to move."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each doc_id.
+    """doc_id, n_shingles, component_id, kept, n_rows: one row for each doc_id; n_rows is how many rows of docs have it.
 
     Words are runs of characters other than 9-13 and 32, letters A-Z in lower case; a document's set holds its distinct shingles of `size` words,
     the whole sequence if it has fewer. Documents with 100 * intersection >= percent * union are linked; component_id is the smallest doc_id that
@@ -292,7 +300,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     and it is kept. Repeated rows give one; an empty table gives none; other columns are not read.
     """
     rows = stored(profile(docs, size), "profile")
-    one = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "sig")).alias("x")).select("doc_id", "x.*")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "sig")).alias("x"), F.count("*").alias("n_rows")).select("doc_id", "n_rows", "x.*")
     full = one.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
@@ -301,7 +309,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     buckets = stored(entries.join(shared.select("key", "hub", "n"), "key"), "buckets")
     candidates = stored(buckets.select(F.col("rep").alias("id")).distinct(), "candidates")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(candidates, "id", "left_semi"), "texts")
+    texts = stored(_by_ids(texts, candidates, "id", "left_semi"), "texts")
 
     star = buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     around = stored(components(_near(star, classes)), "around").select(F.col("id").alias("rep"), F.col("component").alias("nc"))
@@ -314,10 +322,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     more = _confirm(apart, texts, size, percent)
     final = components(links.union(more))
 
-    member = full.select("doc_id", "d1", "d2", "n_shingles").join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"])
-    member = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    rest = one.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return member.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    member = full.select("doc_id", "n_rows", "d1", "d2", "n_shingles").join(classes.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"])
+    member = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_rows", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    rest = one.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_rows", "n_shingles", F.col("doc_id").alias("component_id"))
+    return member.union(rest).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_rows")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -325,9 +333,15 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     Rows whose doc_id is null are all kept.
     """
-    kept = near_duplicates(docs, size, percent).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    found = stored(near_duplicates(docs, size, percent).filter("doc_id is not null"), "found")
+    # what stays as it is doesn't move: rows of ids that go, or that several rows share, are left out
+    gone = stored(found.filter("not kept or n_rows > 1").select("doc_id"), "gone")
+    shared = stored(found.filter("kept and n_rows > 1").select("doc_id"), "shared")
+    rest = _by_ids(docs, gone, "doc_id", "left_anti")
+    if shared.isEmpty():
+        return rest
     names = docs.columns
     mark = next(n for n in (f"_row{i or ''}" for i in range(len(names) + 1)) if n not in names)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text")), "text")
-    one = docs.join(kept, "doc_id", "left_semi").withColumn(mark, F.row_number().over(order)).filter(F.col(mark) == 1).select(*names)
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()).select(*names))
+    one = _by_ids(docs, shared, "doc_id", "left_semi").withColumn(mark, F.row_number().over(order)).filter(F.col(mark) == 1)
+    return rest.select(*names).unionByName(one.select(*names))
