@@ -91,7 +91,9 @@ def test_odd_rows(odd):
     assert got[None].kept and got[1].n_shingles == got[2].n_shingles == got[3].n_shingles == 0 and got[4].n_shingles == 1 and not got[6].kept
 
 
-def test_keep_one(docs_of, odd, clashing):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_keep_one(docs_of, odd, clashing, monkeypatch, most):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", most)
     kept = neardup.keep_one(odd, 4)
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 9] and kept.columns == odd.columns
     assert neardup.keep_one(clashing).columns == clashing.columns and neardup.keep_one(clashing).count() == 2
@@ -118,7 +120,9 @@ def test_shingles_of_rows():
     assert n.tolist() == [2, 0, 2, 1, 4] and (h[:2] == h[2:4]).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "TASK_EDGES", most)
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 80)] + [(7, 7)]
     up = {}
