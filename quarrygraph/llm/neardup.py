@@ -24,7 +24,7 @@ from quarrygraph.llm.common import mix64, random64, stored, text_slices, word_ha
 from quarrygraph.llm.components import components
 
 SYMBOLS, CHUNKS = 64, 16
-#: At similarity 0.8 a symbol differs with probability 0.2 (and 2 ** -16 less): 64 of them differ in more than 28 places for about 3 pairs of a million.
+#: At similarity 0.8 a symbol differs with probability 0.2 (and 2 ** -16 less): 64 of them differ in more than 28 places for about 4 pairs of a million.
 MOST_DIFFERENT = 28
 #: Classes of a block and their shingles, about; columns of the matrix by which a task intersects sets; pairs of a hub in one task.
 BLOCK, BLOCK_SHINGLES, COLUMNS, SLOT = 1024, 2_000_000, 4096, 256
