@@ -30,8 +30,10 @@ MOST_FINDINGS, TREES, DEPTH, CONFIRMED = 6000, 24, 9, 0.5
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,}")
-_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-z0-9_]*[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;<>|]{6,200})")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]{20,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----")
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-z0-9_]*[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;<>|]{6,})")
+_MARKER = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
+#: Characters that a key block has between its markers at least.
+BLOCK_CHARS = 20
 _KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
@@ -62,20 +64,34 @@ class Finding:
     score: float = field(default=0.0, compare=False)
 
 
+def blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each key block: an END marker and the BEGIN marker next before it, however far."""
+    begin = None
+    for m in _MARKER.finditer(text):
+        if m[1] == "END" and begin is not None and m.start() - begin.end() >= BLOCK_CHARS:
+            yield begin.start(), m.end()
+        begin = m if m[1] == "BEGIN" else None
+
+
 def candidates(text: str | None, path: str | None = None) -> list[Finding]:
-    """Candidates of a whole text that don't overlap, by place: key blocks, named values, and runs of 16 or more characters with a digit."""
+    """Candidates of a whole text that don't overlap, by place: key blocks, named values, and runs of 16 or more characters with a digit. Of those with one start the longest."""
     if not text:
         return []
     spans: dict[int, tuple[int, str]] = {}
+
+    def add(start: int, end: int, kind: str) -> None:
+        if end > spans.get(start, (start, ""))[0]:
+            spans[start] = (end, kind)
+
     if "-----BEGIN" in text:
-        for m in _BLOCK.finditer(text):
-            spans[m.start()] = (m.end(), "block")
+        for start, end in blocks(text):
+            add(start, end, "block")
     if "=" in text or ":" in text:
         for m in _NAMED.finditer(text):
-            spans.setdefault(m.start(1), (m.end(1), "named"))
+            add(*m.span(1), "named")
     for m in _RUN.finditer(text):
         if any(c.isdigit() for c in m[0]):
-            spans.setdefault(m.start(), (m.end(), "run"))
+            add(*m.span(), "run")
     out, end = [], 0
     for s, (e, kind) in sorted(spans.items()):
         if s >= end:
@@ -112,7 +128,7 @@ def coverage(text: str) -> float:
 
 
 def features(f: Finding) -> list[float]:
-    t = f.text[:512]
+    t = f.text
     n = len(t)
     counts = Counter(t)
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values())

@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import random
 
 from quarrygraph.llm import secrets
@@ -60,3 +62,24 @@ def test_findings_do_not_overlap():
 
 def test_no_text():
     assert secrets.candidates(None) == [] and secrets.candidates("") == [] and odd_rows()
+
+
+def test_long_secrets_are_whole(docs_of):
+    rng = random.Random(4)
+    key = base64.b64encode(rng.randbytes(300)).decode()
+    jwt = "eyJ" + ".".join(base64.urlsafe_b64encode(rng.randbytes(n)).decode() for n in (27, 300, 180))
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(rng.randbytes(9000)).decode() + "-----END RSA PRIVATE KEY-----"
+    huge = base64.b64encode(rng.randbytes(30_000)).decode()
+    rows = [(0, f'here token = "{key}" there'), (1, f"api_key: {jwt} and so on"), (2, f"keep {pem} this"), (3, f'client_secret = "{huge}" there')]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(rows)).filter("is_secret").collect()}
+    assert [got[i].n_chars for i in range(4)] == [len(key), len(jwt), len(pem), len(huge)] and got[2].kind == "block"
+    assert got[0].value_sha256 == hashlib.sha256(key.encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(rows)).collect()}
+    assert clean == {0: f'here token = "{secrets.MASK}" there', 1: f"api_key: {secrets.MASK} and so on", 2: f"keep {secrets.MASK} this", 3: f'client_secret = "{secrets.MASK}" there'}
+
+
+def test_blocks_pair_the_nearest_markers():
+    lone = "-----BEGIN RSA PRIVATE KEY----- opens such a block. "
+    block = f"-----BEGIN PRIVATE KEY-----\n{HEX}\n-----END PRIVATE KEY-----"
+    assert list(secrets.blocks(lone + block + " and " + block)) == [(len(lone), len(lone + block)), (len(lone + block) + 5, len(lone + block + block) + 5)]
+    assert list(secrets.blocks(lone)) == [] and list(secrets.blocks("-----END PRIVATE KEY-----" + lone)) == []
