@@ -12,6 +12,7 @@ import hashlib
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,11 +31,13 @@ MOST_FINDINGS, TREES, DEPTH, CONFIRMED = 6000, 24, 9, 0.5
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,}")
-_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-z0-9_]*[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;<>|]{6,})")
+_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-z0-9_]*[\"']?[ \t]{0,3}[:=][ \t]{0,3}(?:[\"']([^\s\"',;<>|]{6,})|((?:[^\s\"',;<>|&]|&(?![\w.\-]+=)){6,}))")
 _MARKER = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
 #: Characters that a key block has between its markers at least.
 BLOCK_CHARS = 20
-_KNOWN = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+#: Characters of a named value and of a run at least.
+NAMED_CHARS, RUN_CHARS = 6, 16
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _WORD = re.compile(r"[a-z]+")
@@ -74,30 +77,44 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str | None, path: str | None = None) -> list[Finding]:
-    """Candidates of a whole text that don't overlap, by place: key blocks, named values, and runs of 16 or more characters with a digit. Of those with one start the longest."""
+    """Candidates of a whole text that don't overlap, by place: key blocks, then named values, then what these leave of runs of 16 or more characters with a digit.
+
+    An unquoted named value ends before the next parameter of a query string. A run is cut where a known format begins inside it.
+    """
     if not text:
         return []
-    spans: dict[int, tuple[int, str]] = {}
-
-    def add(start: int, end: int, kind: str) -> None:
-        if end > spans.get(start, (start, ""))[0]:
-            spans[start] = (end, kind)
-
-    if "-----BEGIN" in text:
-        for start, end in blocks(text):
-            add(start, end, "block")
+    spans: list[tuple[int, int, str]] = [(*x, "block") for x in blocks(text)] if "-----BEGIN" in text else []
     if "=" in text or ":" in text:
-        for m in _NAMED.finditer(text):
-            add(*m.span(1), "named")
+        named = [x for m in _NAMED.finditer(text) for x in _free(*m.span(m.lastindex), spans)]
+        spans = sorted(spans + [(s, e, "named") for s, e in named if e - s >= NAMED_CHARS])
+    runs = []
     for m in _RUN.finditer(text):
         if any(c.isdigit() for c in m[0]):
-            add(*m.span(), "run")
-    out, end = [], 0
-    for s, (e, kind) in sorted(spans.items()):
+            runs += _free(*m.span(), spans)
+    pieces = []
+    for s, e in runs:
+        known = None if _KNOWN.match(text, s) else _KNOWN.search(text, s, e)
+        pieces += [(s, known.start()), (known.start(), e)] if known else [(s, e)]
+    spans += [(s, e, "run") for s, e in pieces if e - s >= RUN_CHARS and any(c.isdigit() for c in text[s:e])]
+    out = []
+    for s, e, kind in sorted(spans):
+        value = text[s:e] if kind == "block" else text[s:e].rstrip(".-")
+        out.append(Finding(value, text[max(0, s - 48) : s], text[e : e + 24], path or "", kind, s))
+    return out
+
+
+def _free(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the taken spans, ordered by place, leave of start to end."""
+    out = []
+    for s, e, _ in taken[max(0, bisect_left(taken, (start,)) - 1) :]:
         if s >= end:
-            value = text[s:e] if kind == "block" else text[s:e].rstrip(".-")
-            out.append(Finding(value, text[max(0, s - 48) : s], text[e : e + 24], path or "", kind, s))
-            end = e
+            break
+        if e > start:
+            if s > start:
+                out.append((start, s))
+            start = e
+    if start < end:
+        out.append((start, end))
     return out
 
 
