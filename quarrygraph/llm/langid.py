@@ -3,14 +3,15 @@
 Subwords are the 1- to 4-byte sequences of the lower-cased text in which a run of characters other than letters is one space. Since the
 softmax is linear in the averaged embedding, embedding times weights is folded into one table of logits per bucket, which scores
 whole texts. A temperature, fitted on training documents kept back, calibrates the probabilities; a text is rejected if
-it has no letter or its calibrated probability is below the threshold that the same documents give.
+it has no letter, if its calibrated probability is below the threshold that the same documents give (with a cap, so that texts of several
+learned languages stay), or if too many of its 4-byte subwords are in no training document: unlearned languages and junk, for which the softmax may be as peaked.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ BUCKET_BITS, DIM, ORDERS = 16, 12, (1, 2, 3, 4)
 SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 400, 256
 #: Calibrated probability of a wrong rejection of a training document kept back.
 WRONG_REJECTIONS = 0.0005
+#: Subwords added to a text's when the share of unseen ones is taken, so that short texts are not judged by few; and the factor between the share
+#: that WRONG_REJECTIONS of the training documents exceed, each against all others, and the share from which a text is rejected.
+SHORT, UNSEEN_MARGIN = 40, 1.5
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -62,6 +66,32 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat[order], np.bincount(own, minlength=len(texts))
 
 
+def quads(text: bytes) -> np.ndarray:
+    """Hashes of the 4-byte subwords of a text, as Model.scan has them."""
+    b = np.frombuffer(text, np.uint8).astype(np.uint32)
+    size = max(0, len(b) - ORDERS[-1] + 1)
+    h = np.zeros(size, np.uint32)
+    for n in ORDERS:
+        h = (h ^ (b[n - 1 : n - 1 + size] + np.uint32(1))) * np.uint32(0x9E3779B1) + np.uint32(n)
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77)
+
+
+def novelty(texts: list[bytes]) -> tuple[np.ndarray, float]:
+    """Table of the 4-byte subwords of training texts, eight places or more for each up to 2**26, and the share of unseen ones from which a text is rejected."""
+    each = [np.unique(quads(t)) for t in texts if t]
+    if not each:
+        return np.ones(2, bool), 1.0
+    known, times = np.unique(np.concatenate(each), return_counts=True)
+    bits = int(np.clip(np.ceil(np.log2(8 * len(known) + 1)), 16, 26))
+    seen = np.zeros(1 << bits, bool)
+    seen[known >> np.uint32(32 - bits)] = True
+    # against all others, a document's unseen subwords are those that no other has
+    shares = [(times[np.searchsorted(known, q)] == 1).sum() / (len(q) + SHORT) for q in map(quads, texts) if len(q)]
+    if not shares:
+        return seen, 1.0
+    return seen, float(UNSEEN_MARGIN * np.quantile(shares, 1 - WRONG_REJECTIONS))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -69,14 +99,20 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    seen: np.ndarray = field(default_factory=lambda: np.ones(2, bool))  # 4-byte subwords of the training documents, by the upper bits of their hash
+    most_unseen: float = 1.0
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
         """Logits of each text (zeros without subwords)."""
+        return self.scan(texts)[0]
+
+    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each text (zeros without subwords), and the share of its 4-byte subwords that no training document has, SHORT more of them counted as seen."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = np.zeros((len(texts), len(self.languages)))
+        out, unseen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         some = np.flatnonzero(lengths)
         if not len(some):
-            return out
+            return out, unseen
         b = np.frombuffer(b"".join([texts[i] for i in some]), np.uint8).astype(np.uint32)
         end = np.cumsum(lengths[some])
         start = end - lengths[some]
@@ -92,28 +128,31 @@ class Model:
             got = self.logits[x >> np.uint32(32 - BUCKET_BITS)]
             got[where + n > text_end] = 0
             total += np.add.reduceat(got, start, axis=0, dtype=np.float64)
+        new = ~self.seen[x >> np.uint32(33 - len(self.seen).bit_length())]
+        new[where + n > text_end] = False
+        unseen[some] = np.add.reduceat(new, start, dtype=np.int64) / (np.maximum(0, lengths[some] - n + 1) + SHORT)
         size = sum(np.maximum(0, lengths[some] - n + 1) for n in ORDERS)
         out[some] = total / size[:, None] + self.bias
-        return out
+        return out, unseen
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, calibrated probability, rejected."""
         plain = [normal(t) for t in texts]
-        out = np.zeros((len(plain), len(self.languages)))
+        out, unseen = np.zeros((len(plain), len(self.languages))), np.zeros(len(plain))
         i = 0
         while i < len(plain):
             j, size = i, 0
             while j < len(plain) and (j == i or (size + len(plain[j])) * len(self.languages) <= 4 * SLICE_BYTES):
                 size += len(plain[j])
                 j += 1
-            out[i:j] = self.raw(plain[i:j])
+            out[i:j], unseen[i:j] = self.scan(plain[i:j])
             i = j
         p = softmax(out / self.temperature)
         best = p.argmax(1)
         score = p[np.arange(len(p)), best]
         some = np.array([bool(x) for x in plain], bool)
         score = np.where(some, score, 0.0)
-        return [self.languages[k] if s else UNDETERMINED for k, s in zip(best, some, strict=True)], score, ~some | (score < self.threshold)
+        return [self.languages[k] if s else UNDETERMINED for k, s in zip(best, some, strict=True)], score, ~some | (score < self.threshold) | (unseen > self.most_unseen)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -170,6 +209,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0,
             np.add.at(embed, idx, np.repeat((-lr * back).astype(np.float32), n, axis=0))
             step += 1
     model = Model(names, (embed @ weight).astype(np.float32), bias.astype(np.float64))
+    model.seen, model.most_unseen = novelty([normal(t) for t in texts])
     vx, vy = pieces([texts[i] for i in kept], [code[langs[i]] for i in kept], rng, 5)
     if len(vx):
         raw = model.raw(vx)

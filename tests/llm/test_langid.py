@@ -51,3 +51,29 @@ def test_one_document_scores_alone_as_in_a_batch():
     texts = [t for _, t, *_ in small()][:9] + ["", None, "le"]
     together = m.predict(texts)[1]
     assert all(abs(m.predict([t])[1][0] - s) < 1e-9 for t, s in zip(texts, together, strict=True))
+
+
+JUNK = ["xkqjzvwpgt" * 6, "asdf jkl qwer zxcv", "bcdfgh qrstvw zxkljp mnbvcx qwrtpl", "привет как дела сегодня хорошо", "日本語の文章です。これは試験です", "tämä on suomenkielinen lause jota malli ei ole nähnyt aikaisemmin"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("left_out", ["fr", "es", "en"])
+def test_unlearned_languages_and_junk_go_and_mixed_texts_stay(spark, left_out):
+    rows = sorted((r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect())
+    learned = [r for r in rows if r[2] != left_out]
+    m = langid.fit([t for i, t, _ in learned if i % 5], [x for i, _, x in learned if i % 5])
+    foreign = m.predict([t for _, t, x in rows if x == left_out])[2]
+    assert foreign.mean() > 0.9 and m.predict(JUNK)[2].all()
+    held = [t for i, t, _ in learned if i % 5 == 0]
+    mixed = [f"{a[:700]} {b[:700]}" for a, b in zip(held, held[7:], strict=False)]
+    assert m.predict(held)[2].mean() < 0.01 and m.predict(mixed)[2].mean() < 0.01
+
+
+def test_unseen_subwords_are_counted_alike():
+    texts = [langid.normal(t) for _, t, *_ in small()]
+    m = langid.fit([t for _, t, *_ in small()], [x[2] for x in small()])
+    one = langid.normal("the cat zzzz und der Hund of the street")
+    known = set(langid.np.concatenate([langid.quads(t) for t in texts]).tolist())
+    q = langid.quads(one)
+    assert abs(m.scan([texts[0], b"", one])[1][2] - sum(int(x) not in known for x in q) / (len(q) + langid.SHORT)) < 0.03
+    assert list(m.scan([texts[0], b""])[1]) == [0, 0]
