@@ -6,6 +6,10 @@ conversations for texts. CTES says the same in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +57,26 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(outside)
 
 
-@once
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMPORTS_FROM edges: the three times as many most frequent ordered pairs of suppliers in an order as there are suppliers, and external packages."""
+#: Whether imports and edges hold every ordered pair; otherwise the most frequent ones, as CTES has them.
+_ALL_PAIRS: ContextVar[bool] = ContextVar("all_pairs", default=False)
+
+
+@contextmanager
+def all_pairs() -> Iterator[None]:
+    """Within it, imports and edges hold every ordered pair of suppliers in an order."""
+    before = _ALL_PAIRS.set(True)
+    try:
+        yield
+    finally:
+        _ALL_PAIRS.reset(before)
+
+
+def _imports(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
     p = _paths(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
     a, b = lines.toDF("o", "s", "x"), lines.toDF("o", "d", "y")
     pairs = a.join(b, "o").filter("x < y AND s <> d").groupBy("s", "d").agg(F.count("*").alias("n"))
-    best = pairs.orderBy(F.col("n").desc(), "s", "d").limit(3 * table(spark, sf_dir, "supplier").count())
+    best = pairs if most is None else pairs.orderBy(F.col("n").desc(), "s", "d").limit(most)
     named = best.join(p.select(F.col("k").alias("s"), F.col("path").alias("source")), "s").join(p.select(F.col("k").alias("d"), F.col("path").alias("target")), "d")
     names = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("sym"), F.col("s") % 7), F.concat(F.lit("sym"), F.col("d") % 5))))
     inside = named.select("source", "target", names.alias("imported_names"))
@@ -69,8 +85,33 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @once
+def frequent_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMPORTS_FROM edges: the three times as many most frequent ordered pairs of suppliers in an order as there are suppliers, and external packages."""
+    return _imports(spark, sf_dir, 3 * table(spark, sf_dir, "supplier").count())
+
+
+@once
+def all_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMPORTS_FROM edges: every ordered pair of suppliers in an order, and external packages."""
+    return _imports(spark, sf_dir, None)
+
+
+@once
+def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tested_by(frequent_imports(spark, sf_dir), nodes(spark, sf_dir))
+
+
+@once
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tested_by(all_imports(spark, sf_dir), nodes(spark, sf_dir))
+
+
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (all_imports if _ALL_PAIRS.get() else frequent_imports)(spark, sf_dir)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tested_by(imports(spark, sf_dir), nodes(spark, sf_dir))
+    return (all_edges if _ALL_PAIRS.get() else frequent_edges)(spark, sf_dir)
 
 
 @once
