@@ -151,6 +151,12 @@ def g1_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(A.nodes(spark, d), A.edges(spark, d), rounds=6, tolerance=None).select("path", *_six("pagerank"))
 
 
+@query()
+def g1_pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Until the change is below the production tolerance."""
+    return graph.pagerank(A.nodes(spark, d), A.edges(spark, d)).select("path", *_six("pagerank"))
+
+
 @query()
 def g2_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return graph.betweenness(A.nodes(spark, d), A.edges(spark, d)).select("path", *_six("betweenness"))
@@ -665,13 +671,23 @@ r{k + 1} AS (SELECT r.path, r.community_id, r.n, 0.85 * (coalesce(g.x, 0) + coal
     return out + f" SELECT path, community_id, round(p, 6) AS pagerank FROM r{rounds}"
 
 
+def _inner(spark: SparkSession, d: str) -> DataFrame:
+    """Edges inside a community."""
+    m, e = A.members(spark, d), A.edges(spark, d)
+    c1, c2 = m.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), m.select(F.col("path").alias("target"), F.col("community_id").alias("c2"))
+    return e.join(c1, "source").join(c2, "target").filter("c1 = c2").select("source", "target")
+
+
 @query(_local_pagerank_sql(4))
 def g6_community_pagerank(spark: SparkSession, d: str) -> DataFrame:
     """PageRank inside each community, four rounds, so that SQL can say the same."""
-    m, e = A.members(spark, d), A.edges(spark, d)
-    c1, c2 = m.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), m.select(F.col("path").alias("target"), F.col("community_id").alias("c2"))
-    inner = e.join(c1, "source").join(c2, "target").filter("c1 = c2").select("source", "target")
-    return communities.pagerank_by(m, inner, rounds=4, tolerance=None).select("path", "community_id", *_six("pagerank"))
+    return communities.pagerank_by(A.members(spark, d), _inner(spark, d), rounds=4, tolerance=None).select("path", "community_id", *_six("pagerank"))
+
+
+@query()
+def g6_community_pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """PageRank inside each community until the change is below the production tolerance."""
+    return communities.pagerank_by(A.members(spark, d), _inner(spark, d)).select("path", "community_id", *_six("pagerank"))
 
 
 @query("""
@@ -728,6 +744,6 @@ def _over_all_pairs(f: Query) -> Query:
 EDGE_QUERIES = """
 r2_resolve_python r9_edge_merge r10_tested_by g2_betweenness g3_strong_components g5_communities g7_cohesion g9_coupling g10_shortest_path g11_k_hops g13_dependents g14_degrees q1_impact q2_risk_scores
 q3_impact_summary q4_file_report q5_entry_points q6_flows q6_flow_members q9_flow_detail q13_zombie_packages q16_dead_code_report q19_rename_file q19_rename_symbol q22_cycles
-q23_diagram_edges q24_status q25_wiki q26_changes k10_delete_nodes k14_mermaid k17_node_link g1_pagerank g6_community_pagerank""".split()
+q23_diagram_edges q24_status q25_wiki q26_changes k10_delete_nodes k14_mermaid k17_node_link g1_pagerank g1_pagerank_converged g6_community_pagerank g6_community_pagerank_converged""".split()
 for _name in EDGE_QUERIES:
     QUERIES[f"{_name}_all_pairs" if _name in ORACLE_SQL else _name] = _over_all_pairs(QUERIES[_name])

@@ -30,3 +30,35 @@ def test_every_pair_is_an_edge(spark):
 
 def test_every_edge_query_has_a_whole_one():
     assert all((f"{n}_all_pairs" if n in ORACLE_SQL else n) in QUERIES for n in EDGE_QUERIES) and not any(n.endswith("_all_pairs") for n in ORACLE_SQL)
+
+
+def ranks(names, pairs, rounds=1000):
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    r = dict.fromkeys(names, 1 / len(names))
+    for _ in range(rounds):
+        lost = sum(v for k, v in r.items() if not out[k])
+        new = dict.fromkeys(names, (0.85 * lost + 0.15) / len(names))
+        for a, v in r.items():
+            for b in out[a]:
+                new[b] += 0.85 * v / len(out[a])
+        r = new
+    return r
+
+
+def test_pagerank_is_converged(spark):
+    edges = [(r.source, r.target) for r in A.all_edges(spark, DATA).collect()]
+    names = [r.path for r in A.nodes(spark, DATA).collect()]
+    got = {r.path: r.pagerank for r in QUERIES["g1_pagerank_converged"](spark, DATA).collect()}
+    want = ranks(names, edges)
+    # production stops at a change of 1e-6 * n
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 2e-5 for k, v in want.items())
+    groups = defaultdict(list)
+    for r in A.members(spark, DATA).collect():
+        groups[r.community_id].append(r.path)
+    local = {(r.community_id, r.path): r.pagerank for r in QUERIES["g6_community_pagerank_converged"](spark, DATA).collect()}
+    for c, paths in groups.items():
+        want = ranks(paths, [(a, b) for a, b in edges if a in paths and b in paths])
+        assert all(abs(local[c, k] - v) < 2e-5 for k, v in want.items())
+    assert "g1_pagerank_converged" not in ORACLE_SQL and "g6_community_pagerank_converged" not in ORACLE_SQL
