@@ -404,9 +404,19 @@ def h8_hotspots(spark: SparkSession, d: str) -> DataFrame:
 , raw AS (SELECT l_orderkey AS k, CASE l_linenumber % 4 WHEN 0 THEN 'src/{old => new}/f' || l_suppkey || '.py' WHEN 1 THEN 'a' || l_partkey || '.py => b/c' || l_partkey || '.py' WHEN 2 THEN 'src/{ => sub}/g.py' ELSE 'plain/p' || l_suppkey || '.go' END AS p FROM lineitem WHERE l_linenumber <= 4)
 SELECT DISTINCT p, replace(regexp_replace(regexp_replace(p, '\{(.*?) => (.*?)\}', '\2'), '^.* => ', ''), '//', '/') AS new_path FROM raw""")
 def h9_rename_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first four lines of an order, as its SQL has them."""
+    return _renames(A.table(spark, d, "lineitem").filter("l_linenumber <= 4"))
+
+
+@query()
+def h9_rename_paths_all_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _renames(A.table(spark, d, "lineitem"))
+
+
+def _renames(lines: DataFrame) -> DataFrame:
     n, s, p = F.col("l_linenumber") % 4, F.col("l_suppkey"), F.col("l_partkey")
     raw = F.when(n == 0, F.concat(F.lit("src/{old => new}/f"), s, F.lit(".py"))).when(n == 1, F.concat(F.lit("a"), p, F.lit(".py => b/c"), p, F.lit(".py"))).when(n == 2, F.lit("src/{ => sub}/g.py")).otherwise(F.concat(F.lit("plain/p"), s, F.lit(".go")))
-    return A.table(spark, d, "lineitem").filter("l_linenumber <= 4").select(raw.alias("p")).distinct().select("p", git_log.new_path(F.col("p")).alias("new_path"))
+    return lines.select(raw.alias("p")).distinct().select("p", git_log.new_path(F.col("p")).alias("new_path"))
 
 
 @query("""

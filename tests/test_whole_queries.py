@@ -62,3 +62,13 @@ def test_pagerank_is_converged(spark):
         want = ranks(paths, [(a, b) for a, b in edges if a in paths and b in paths])
         assert all(abs(local[c, k] - v) < 2e-5 for k, v in want.items())
     assert "g1_pagerank_converged" not in ORACLE_SQL and "g6_community_pagerank_converged" not in ORACLE_SQL
+
+
+def test_renames_of_all_lines(spark):
+    want = set()
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_linenumber", "l_suppkey", "l_partkey").collect():
+        s, p = r.l_suppkey, r.l_partkey
+        want.add([(f"src/{{old => new}}/f{s}.py", f"src/new/f{s}.py"), (f"a{p}.py => b/c{p}.py", f"b/c{p}.py"), ("src/{ => sub}/g.py", "src/sub/g.py"), (f"plain/p{s}.go", f"plain/p{s}.go")][r.l_linenumber % 4])
+    got = [(r.p, r.new_path) for r in QUERIES["h9_rename_paths_all_lines"](spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want and "h9_rename_paths_all_lines" not in ORACLE_SQL
+    assert QUERIES["h9_rename_paths"](spark, DATA).count() < len(got)
