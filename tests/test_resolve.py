@@ -18,7 +18,7 @@ def test_rules(spark):
     assert got == {
         ("pkg/sub/b.py", "..a"): "pkg/a.py", ("pkg/sub/b.py", "."): None, ("pkg/a.py", ".sub"): "pkg/sub/__init__.py", ("pkg/a.py", "pkg.sub.b"): "pkg/sub/b.py", ("pkg/a.py", "pkg.sub"): "pkg/sub/__init__.py", ("pkg/a.py", "nowhere.a"): "pkg/a.py", ("pkg/a.py", "os"): None,
         ("src/x.ts", "./u"): "src/u/index.tsx", ("src/u/index.tsx", "../x"): "src/x.ts", ("src/x.ts", "./y.js"): "src/y.js", ("src/x.ts", "./gone"): None, ("src/x.ts", "@/q"): "lib/q.ts", ("web/app/p.ts", "#/k"): "web/app/ui/k.ts", ("web/app/p.ts", "react"): "external:react",
-        ("go/main.go", "example.com/srv/server"): "go/srv/server.go", ("c/m.c", "inc/h.h"): "c/inc/h.h", ("c/m.c", "<h.h>"): "c/inc/h.h", ("Main.java", "z/foo"): "Foo.java", ("Main.java", "q.foo"): None,
+        ("go/main.go", "example.com/srv/server"): "go/srv/server.go", ("c/m.c", "inc/h.h"): "c/inc/h.h", ("c/m.c", "<h.h>"): "c/inc/h.h", ("Main.java", "z/foo"): "Foo.java", ("Main.java", "q.foo"): "lib/q.ts",
     }
 
 
