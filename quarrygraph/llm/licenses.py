@@ -22,11 +22,12 @@ MORE_PHRASES = {
     "eclipse public license": "epl", "boost software license": "bsl", "the unlicense": "unlicense", "creative commons": "cc", "cc by": "cc-by",
     "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc0 1 0": "cc0", "all rights reserved": "proprietary",
 }
-# identifiers' beginnings (lower case) and labels; the longest that fits counts.
-IDENTIFIERS = {
-    "mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl", "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "epl": "epl", "bsl": "bsl",
-    "unlicense": "unlicense", "cc0": "cc0", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "zlib": "zlib",
-}
+# Identifier families whose label is another word.
+FAMILIES = {"0bsd": "bsd", "bsl": "bsl", "gfdl": "gfdl", "x11": "mit", "expat": "mit"}
+# Identifiers without a digit or a hyphen.
+PLAIN = frozenset("mit isc unlicense zlib postgresql curl wtfpl beerware ruby vim ncsa openssl libpng intel ipa ftl fair x11".split())
+#: Characters of the longest identifier.
+IDENTIFIER_CHARS = 64
 PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "unlicense", "cc0", "cc-by", "zlib"}
 TAG = "spdx license identifier"
 
@@ -36,10 +37,20 @@ _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+_FAMILY = re.compile(r"([a-z0-9]*[a-z][a-z0-9.]*(?:-[a-z][a-z0-9.]*)*?)(?:-(?:v?\d[\w.]*|only|or-later|clause|patent|variant)\b.*)?", re.DOTALL)
+
+
 def label_of(identifier: str) -> str:
+    """The label of a public licence identifier: its family in lower case, which is what stands before its version (MPL-2.0: mpl, CC-BY-SA-4.0: cc-by-sa).
+
+    Words that aren't identifiers (neither in PLAIN nor with a digit or a hyphen) have none, nor have NONE, NOASSERTION
+    and a document's own LicenseRef- names.
+    """
     name = identifier.lower().rstrip("+")
-    fits = [k for k in IDENTIFIERS if name == k or name.startswith(k + "-")]
-    return IDENTIFIERS[max(fits, key=len)] if fits else ""
+    m = _FAMILY.fullmatch(name) if len(name) <= IDENTIFIER_CHARS and not name.startswith("licenseref-") else None
+    if m is None or name not in PLAIN and name not in FAMILIES and not re.search(r"[0-9-]", name):
+        return ""
+    return FAMILIES.get(m[1], m[1])
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -89,7 +100,11 @@ def evaluate(expression: str, allowed: set[str] | frozenset[str] = frozenset(PER
     for token in tokens:
         if token in _RANK:
             (right, b), (left, a) = stack.pop(), stack.pop()
-            stack.append((left, a) if token == "with" else (left | right, a and b if token == "and" else a or b))
+            if token != "with":
+                # the smaller set goes into the larger one
+                left, right = (left, right) if len(left) >= len(right) else (right, left)
+                left |= right
+            stack.append((left, a if token == "with" else a and b if token == "and" else a or b))
         else:
             label = label_of(token)
             stack.append(({label} if label else set(), label in allowed))
@@ -110,12 +125,15 @@ def scan_text(text: str | None, a: ahocorasick.Automaton) -> tuple[int, list[tup
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.translate(_TABLE).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    places, tagged, met = [], [], True
+    places, tagged, met = [], False, True
+    words_before = at = 0  # words that end before the place `at`, counted on from one match's end to the next
     for end, (phrase, label) in a.iter(line):
+        words_before += line.count(" ", at, end)
+        at = end
         if label:
-            places.append((line.count(" ", 0, end - len(phrase) - 1), phrase, label))
+            places.append((words_before - 1 - phrase.count(" "), phrase, label))
         else:
-            tagged.append(phrase)
+            tagged = True
     labels: set[str] = set()
     if tagged:
         for m in _TAG_TEXT.finditer(text):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -42,3 +43,21 @@ def test_tags(docs_of, clashing):
     r = licenses.scan(docs_of([(1, text), (2, "Licensed under CC BY-NC 4.0.")])).orderBy("doc_id").collect()
     assert r[0].labels == "apache,gpl,isc,mit" and not r[0].permissive and r[0].n_base == 0 and "cc-by-nc" in r[1].labels
     assert licenses.scan(clashing).count() == 2
+
+
+@pytest.mark.parametrize(
+    ("identifier", "label"),
+    [("MPL-2.0", "mpl"), ("CC-BY-SA-4.0", "cc-by-sa"), ("BSD-2-Clause-Patent", "bsd"), ("0BSD", "bsd"), ("EUPL-1.2", "eupl"), ("AGPL-3.0-or-later", "agpl"), ("Zlib", "zlib"), ("CC0-1.0", "cc0"), ("see", ""), ("NOASSERTION", ""), ("2024", ""), ("a" * 5000 + "-1", "")],
+)
+def test_labels_of_public_identifiers(identifier, label):
+    assert licenses.label_of(identifier) == label
+
+
+def test_long_texts_take_linear_time():
+    a = licenses.automaton()
+    texts = ["mit license " * 90_000, "SPDX-License-Identifier: " + " OR ".join(f"X{i}-1.0" for i in range(60_000)), "SPDX-License-Identifier: " + "(" * 900_000, "spdx license identifier " * 40_000]
+    for text in texts:
+        began = time.process_time()
+        n, places, *_ = licenses.scan_text(text, a)
+        assert time.process_time() - began < 3
+    assert licenses.scan_text(texts[0], a)[1][-1][0] == 2 * 90_000 - 2
