@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,13 +32,16 @@ MOST_FINDINGS, TREES, DEPTH, CONFIRMED = 6000, 24, 9, 0.5
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,}")
-_NAMED = re.compile(r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[a-z0-9_]*[\"']?[ \t]{0,3}[:=][ \t]{0,3}(?:[\"']([^\s\"',;<>|]{6,})|((?:[^\s\"',;<>|&]|&(?![\w.\-]+=)){6,}))")
+_NAME = re.compile(r"(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]++)[\"']?[ \t]{0,3}[:=][ \t]{0,3}")
+_NAMES = re.compile(r"passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential", re.IGNORECASE)
+_VALUE = re.compile(r"[\"']([^\s\"',;<>|]++)|((?:[^\s\"',;<>|&]|&(?![\w.\-]+=))++)")
+_USER = re.compile(r"[^\s/:@\"'<>]*+:([^\s/@\"'<>]++)@")
 _MARKER = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
 #: Characters that a key block has between its markers at least.
 BLOCK_CHARS = 20
 #: Characters of a named value and of a run at least.
 NAMED_CHARS, RUN_CHARS = 6, 16
-_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")
+_KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,400}\.[A-Za-z0-9_-]{8,})")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _WORD = re.compile(r"[a-z]+")
@@ -77,15 +81,16 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 def candidates(text: str | None, path: str | None = None) -> list[Finding]:
-    """Candidates of a whole text that don't overlap, by place: key blocks, then named values, then what these leave of runs of 16 or more characters with a digit.
+    """Candidates of a whole text that don't overlap, by place: key blocks, then named values and passwords in addresses, then what these leave of runs of 16 or more characters with a digit.
 
-    An unquoted named value ends before the next parameter of a query string. A run is cut where a known format begins inside it.
+    An unquoted named value ends before the next parameter of a query string. A run is cut where a known format begins inside it. Every pattern
+    moves forward only: time is in proportion to the text.
     """
     if not text:
         return []
     spans: list[tuple[int, int, str]] = [(*x, "block") for x in blocks(text)] if "-----BEGIN" in text else []
     if "=" in text or ":" in text:
-        named = [x for m in _NAMED.finditer(text) for x in _free(*m.span(m.lastindex), spans)]
+        named = [x for m in _named(text) for x in _free(*m, spans)]
         spans = sorted(spans + [(s, e, "named") for s, e in named if e - s >= NAMED_CHARS])
     runs = []
     for m in _RUN.finditer(text):
@@ -103,6 +108,26 @@ def candidates(text: str | None, path: str | None = None) -> list[Finding]:
     return out
 
 
+def _named(text: str) -> list[tuple[int, int]]:
+    """Where values stand that follow a name such as api_key, and passwords between a user's name and the host of an address; by place, without overlaps."""
+    found, at = [], 0
+    while m := _NAME.search(text, at):
+        at = m.end()
+        if _NAMES.search(m[1]) and (value := _VALUE.match(text, at)):
+            found.append(value.span(value.lastindex))
+            at = value.end()
+    at = text.find("://")
+    while at >= 0:
+        if m := _USER.match(text, at + 3):
+            found.append(m.span(1))
+        at = text.find("://", m.end() if m else at + 3)
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if not out or s >= out[-1][1]:
+            out.append((s, e))
+    return out
+
+
 def _free(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """What the taken spans, ordered by place, leave of start to end."""
     out = []
@@ -123,52 +148,57 @@ def _class(c: str) -> int:
 
 
 @lru_cache(maxsize=1)
-def _pairs() -> dict[str, float]:
-    """Logarithm of the frequency of each letter pair in the dictionary."""
+def _pairs() -> np.ndarray:
+    """Logarithm of the frequency of each pair of letters a-z in the dictionary (-9 if there is none); row and column 26 are all other letters."""
     seen = Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
-    total = sum(seen.values())
-    return {k: math.log(v / total) for k, v in seen.items()}
+    total, out = sum(seen.values()), np.full((27, 27), -9.0)
+    for (a, b), v in seen.items():
+        out[ord(a) - 97, ord(b) - 97] = math.log(v / total)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _dictionary() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in DICTIONARY:
+        a.add_word(w, len(w))
+    a.make_automaton()
+    return a
 
 
 def coverage(text: str) -> float:
     """Share of the characters that the longest dictionary words cover, from the left."""
-    low, i, got = text.lower(), 0, 0
-    while i < len(low):
-        for n in range(min(9, len(low) - i), 2, -1):
-            if low[i : i + n] in DICTIONARY:
-                got += n
-                i += n
-                break
-        else:
-            i += 1
-    return got / max(1, len(low))
+    return sum(n for _, n in _dictionary().iter_long(text.lower())) / max(1, len(text))
 
 
 def features(f: Finding) -> list[float]:
+    """All features see the whole candidate; neighbouring words are those of the 48 characters before it and the 24 after it."""
     t = f.text
     n = len(t)
-    counts = Counter(t)
-    entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
-    kinds = [_class(c) for c in t]
+    # what a character is, is found once for each different one
+    each, place, counts = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
+    share = counts / n
+    chars = [chr(c) for c in each.tolist()]
+    kinds = np.array([_class(c) for c in chars])[place]
+    letter = np.array([ord(c.lower()) - 97 if c.isascii() and c.isalpha() else 26 if c.isalpha() else -1 for c in chars])[place]
+    both = (letter[1:] >= 0) & (letter[:-1] >= 0)
     low = t.lower()
-    pairs = _pairs()
-    letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
     near = _WORD.findall(f.before.lower())[-4:]
     following = _WORD.findall(f.after.lower())[:2]
     # a name such as api_key counts through its parts
     path = _WORD.findall(f.path.lower())
     return [
-        min(len(f.text), 2000),
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
-        sum(pairs.get(p, -9.0) for p in letters) / max(1, len(letters)),
+        min(n, 2000),
+        float((kinds[1:] != kinds[:-1]).sum()) / max(1, n - 1),
+        float(_pairs()[letter[:-1][both], letter[1:][both]].sum()) / max(1, int(both.sum())),
         coverage(t),
-        entropy,
-        kinds.count(2) / n,
-        kinds.count(1) / n,
-        kinds.count(3) / n,
+        float(-(share * np.log2(share)).sum()),
+        float((kinds == 2).mean()),
+        float((kinds == 1).mean()),
+        float((kinds == 3).mean()),
         float(bool(_HEX.fullmatch(t))),
         float(bool(_UUID.search(t))),
-        len(counts) / n,
+        len(each) / n,
         float(bool(_KNOWN.match(t)) or f.kind == "block"),
         float(sum(w in FOR for w in near)),
         float(sum(w in AGAINST for w in near + following) + sum(w in low for w in ("example", "changeme", "placeholder", "your", "xxxx", "1234567890", "sha256", "sha512"))),
@@ -247,6 +277,15 @@ def labelled(findings: DataFrame, bound: int = MOST_FINDINGS) -> tuple[list[Find
     return [Finding(r.value, r.before or "", r.after or "", r.path or "", r.kind or "run") for r in rows], [bool(r.is_secret) for r in rows]
 
 
+# Words of the generated findings. They are others than the lists that features look words up in, but for the names that secrets go by.
+SECRET_NAMES = "token api_key secret password auth_token access_key client_secret API_KEY passphrase signing_secret webhook_secret DB_PASSWORD SERVICE_TOKEN smtp_pass session_secret".split()
+NOUNS = (
+    "garden river window market bridge mountain kitchen library station museum harvest journal lantern meadow pillar quarry saddle temple valley willow anchor barrel candle desert engine falcon glacier hammer island "
+    "jacket kettle ladder magnet needle orchard pepper quartz ribbon silver timber velvet walnut yellow zephyr render widget deploy cluster worker queue bucket parser loader router handler model view layer sprint"
+).split()
+LOOKALIKE_LEADS = ["commit ", "sha1 ", "checksum: ", "digest = ", "md5: ", "revision ", "build ", "snapshot ", "trace: ", "fingerprint: ", "tree ", "object = ", "parent "]
+
+
 def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
     """Labelled findings made up from known formats and look-alikes."""
     rng = np.random.default_rng(seed)
@@ -258,17 +297,18 @@ def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
     def chars(k: int, among: str = alphabet) -> str:
         return "".join(among[i] for i in rng.integers(0, len(among), k))
 
-    words = sorted(DICTIONARY)
+    words = NOUNS
 
     def prose(k: int) -> str:
-        return " ".join(pick(*words) for _ in range(k))
+        return " ".join(pick(*words) if rng.random() < 0.5 else chars(int(rng.integers(2, 9)), "aaabcdeeefghiiklmnooprstuu") for _ in range(k))
 
-    def made(value: str, lead: str, kind: str = "run", path: str | None = None) -> Finding:
-        return Finding(value, f"{prose(3)} {lead}", f"{pick('', chr(34), '.')} {prose(2)}", pick("src/app.py", "src12", "config/settings.yml", "web", "") if path is None else path, kind)
+    def made(value: str, lead: str, kind: str = "run", path: str | None = None, after: str | None = None) -> Finding:
+        after = f"{pick('', chr(34), '.')} {prose(2)}" if after is None else after
+        return Finding(value, f"{prose(3)} {lead}", after, pick("src/app.py", "src12", "config/settings.yml", "web", "") if path is None else path, kind)
 
     out: list[tuple[Finding, bool]] = []
     for _ in range(n):
-        name = pick("token", "api_key", "secret", "password", "auth_token", "access_key", "client_secret", "API_KEY", "bearer token")
+        name = pick(*SECRET_NAMES)
         sep = pick(' = "', "=", ": ", ': "', " = '")
         k = int(rng.integers(20, 65))
         value, kind = [
@@ -285,10 +325,14 @@ def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
         ][rng.integers(10)]
         known = bool(_KNOWN.match(value)) or kind == "block"
         lead = pick("", f"{name}{sep}", "use ") if known and rng.random() < 0.5 else f"{name}{sep}"
-        out.append((made(value, lead, kind), True))
+        if rng.random() < 0.08:
+            value = chars(int(rng.integers(10, 24)))
+            out.append((made(value, f"{pick('postgres', 'mysql', 'redis', 'amqp', 'https')}://{pick(*words)}:", "named", after=f"@{pick(*words)}.example.net/{pick(*words)}"), True))
+        else:
+            out.append((made(value, lead, kind), True))
         hexed = chars(int(rng.choice([32, 40, 64])), "0123456789abcdef")
         value, lead, kind = [
-            (hexed, pick("commit ", "sha1 ", "checksum: ", "digest = ", "md5: ", "revision "), "run"),
+            (hexed, pick(*LOOKALIKE_LEADS), "run"),
             (hexed, "", "run"),
             (str(uuid.UUID(bytes=rng.bytes(16))), pick("id = ", "uuid: ", "", "request id "), "run"),
             ("sha256-" + base64.b64encode(rng.bytes(32)).decode(), 'integrity="', "run"),

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 from quarrygraph.llm import secrets
 from tests.llm.conftest import odd_rows
@@ -97,3 +98,63 @@ def test_what_a_named_value_leaves_of_a_run_stays_a_candidate():
     first = "ghp_" + "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"
     got = secrets.candidates(f"{first}.token={HEX} secret: -----BEGIN PRIVATE KEY-----\n{HEX}\n-----END PRIVATE KEY-----")
     assert [(f.kind, f.text) for f in got[:2]] == [("run", f"{first}.token="), ("named", HEX)] and [f.kind for f in got[2:]] == ["block"]
+
+
+def brute_score(forest, x):
+    """One row at a time, one node at a time."""
+    total = 0.0
+    for f, t, left, right, v in zip(forest.feature, forest.threshold, forest.left, forest.right, forest.value, strict=True):
+        at = 0
+        while f[at] >= 0:
+            at = left[at] if x[f[at]] <= t[at] else right[at]
+        total += v[at]
+    return total / len(forest.feature)
+
+
+def test_scores_and_redaction_against_brute_force():
+    forest = secrets.default_forest()
+    x, _ = secrets.generated(60, seed=41)
+    got = forest.score(secrets.np.array([secrets.features(f) for f in x]))
+    assert all(abs(g - brute_score(forest, secrets.features(f))) < 1e-9 for g, f in zip(got, x, strict=True))
+    rng = random.Random(6)
+    for _ in range(30):
+        bits = [rng.choice([*REAL, *FALSE]) for _ in range(20)]
+        text = " | ".join(bits)
+        found = secrets._found(forest, [text], [None])[0]
+        plain = list(text)
+        for f in found:
+            if f.score >= secrets.CONFIRMED:
+                plain[f.start : f.start + len(f.text)] = [secrets.MASK] + [""] * (len(f.text) - 1)
+        assert secrets.redact_text(text, found) == "".join(plain)
+
+
+def test_features_against_plain_definitions():
+    for f in [*secrets.generated(80, seed=17)[0], secrets.Finding("aéÉ9ßxY12_--token"), secrets.Finding("x")]:
+        t, n = f.text, len(f.text)
+        kinds = [secrets._class(c) for c in t]
+        x = secrets.features(f)
+        assert abs(x[1] - sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1)) < 1e-12
+        assert abs(x[4] + sum(t.count(c) / n * secrets.math.log2(t.count(c) / n) for c in set(t))) < 1e-9
+        assert x[5:8] == [kinds.count(k) / n for k in (2, 1, 3)] and x[10] == len(set(t)) / n
+        pairs = [(a, b) for a, b in zip(t, t[1:], strict=False) if a.isalpha() and b.isalpha()]
+        letter = lambda c: ord(c.lower()) - 97 if c.isascii() else 26
+        assert abs(x[2] - sum(secrets._pairs()[letter(a), letter(b)] for a, b in pairs) / max(1, len(pairs))) < 1e-9
+
+
+def test_coverage_takes_the_longest_words_from_the_left():
+    assert secrets.coverage("tokenpassword") == 1.0 and secrets.coverage("xxtokenyy") == 5 / 9 and secrets.coverage("") == 0.0
+
+
+def test_hostile_texts_take_linear_time():
+    forest = secrets.default_forest()
+    for part in ("password", "token:", "password=a ", "token1", "://a:", "api_key &a=1", "&", "a=", "secret=&a=&", "-----BEGIN RSA PRIVATE KEY-----", "-eyJabcdefgh1", "ghp_x1", "deadbeef", 'secret="'):
+        text = part * (1_000_000 // len(part))
+        began = time.process_time()
+        secrets._found(forest, [text], [None])
+        assert time.process_time() - began < (8 if "secret=" in part else 2), part  # that text is 125,000 candidates
+
+
+def test_passwords_in_addresses(docs_of):
+    rows = [(0, "DB=postgres://user:hunter2Xq9Lm2@host.org/db next"), (1, "see https://example.com:8080/a@b next"), (2, "mail me at ftp://h.org/x:y now")]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs_of(rows)).collect()}
+    assert clean == {0: f"DB=postgres://user:{secrets.MASK}@host.org/db next", 1: rows[1][1], 2: rows[2][1]}
