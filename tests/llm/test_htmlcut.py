@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -21,6 +22,17 @@ from quarrygraph.runtime import ship
         ("<div id=menu><a href=1>x</a></div><div class=content><p>Unquoted attributes work fine.</p></div><div class=footer>f</div>", "Unquoted attributes work fine."),
         ("<article><p>5 < 6 and 7 > 3 &nbsp; end.</p></article>", "5 < 6 and 7 > 3 end."),
         ("<article><header class='entry-header'><h1>Own title</h1></header><p>Body stands here.</p><section id=comments><p>Nice!</p></section></article>", "Own title\n\nBody stands here."),
+        ("<body class='has-sidebar'><nav><a href=1>x</a></nav><article><p>Words stand here.</p></article></body>", "Words stand here."),
+        ("<article class='post category-legal tag-search'><p>Words stand here.</p></article>", "Words stand here."),
+        ("<article><div class='overflow-hidden'><p>Words stand here.</p></div></article>", "Words stand here."),
+        ("<article data-id='ad' data-class='footer' data-hidden='no'><p>Words stand here.</p></article>", "Words stand here."),
+        ("<div id='article'><header><h1>Own title</h1></header><p>Body stands here, and more of it.</p></div>", "Own title\n\nBody stands here, and more of it."),
+        ("<article><p>So <math><mi>x</mi></math> and <svg><text>y</text></svg> and <object>z</object> stay.</p></article>", "So x and y and z stay."),
+        ("<article><h1>T</h1><p>A text, then a list.</p><ul><li><a href=1>First source</a></li><li><a href=2>Second source</a></li></ul><div class='comments'><article class='comment'><p>I disagree with this.</p></article></div></article>", "T\n\nA text, then a list.\n\nFirst source\n\nSecond source"),
+        ("<body><form id='aspnet'><div class='menu'><a href=1>a</a></div><article><p>A page that is one form.</p></article><label>Name</label></form></body>", "A page that is one form."),
+        ("<table><tr><td class='sidebar'><a href=1>One</a> <a href=2>Two</a></td><td><p>A long sentence stands in this cell of a table. Another one follows it.</p></td></tr></table>", "A long sentence stands in this cell of a table. Another one follows it."),
+        ("<article><p class='advert'>Buy this now, it is cheap.</p><p>A true sentence.</p></article>", "A true sentence."),
+        ("<article><script>if (a<b && c>'d) x</script><p>After it.</p></article>", "After it."),
         ("", ""), (None, ""), ("<p></p>", ""), ("<nav>only menu</nav>", ""), ("<article><p>unclosed", "unclosed"),
     ],
 )
@@ -31,8 +43,8 @@ def test_pages(page, expected):
 def test_generated_pages_not_trained_on():
     right = wrong = 0
     for page, wanted in htmlcut.generated_pages(80, seed=1234):
-        found = htmlcut.blocks(page)
-        for b, ok in zip(found, htmlcut.label(found), strict=True):
+        found, boxes = htmlcut.parse(page)
+        for b, ok in zip(found, htmlcut.label(found, boxes), strict=True):
             right += ok == (b.text in wanted)
             wrong += ok != (b.text in wanted)
     assert right / (right + wrong) > 0.99
@@ -68,5 +80,43 @@ def test_operator(spark):
 
 
 def test_deep_and_broken_markup():
-    for page in ("<div>" * 3000 + "x", "</div>" * 50 + "<p>y", "<" * 100, "<p <p <p>z", "<a href='", "<!--", "<![CDATA[ x", "<script>", "&#xD800; &#0; &bogus;"):
+    for page in ("<div>" * 3000 + "x", "</div>" * 50 + "<p>y", "<" * 100, "<p <p <p>z", "<a href='", "<!--", "<![CDATA[ x", "<script>", "&#xD800; &#0; &bogus;", "<p>a<a href='x>b</a><p>c"):
         htmlcut.extract(page)
+    assert htmlcut.extract("<article><p>Whole sentence.</p><p>One <a title='x>two</a> three.</p></article>") == "Whole sentence.\n\nOne two three."
+
+
+def test_hostile_pages_take_linear_time():
+    weights = htmlcut.classifier()
+    for part in ("<a href='", '<a title="', "<b>", "<b><div>", "</b>", "<p>", "<div>", "<li>", "<table><tr><td>", "<svg/>", "<script>", "<!--", "<", "<a ", "</p>", "<b x='>'", "<p class='ad'>a", "<div class=x>a</div>", "<p>a b. ", "<ul><li>x"):
+        page = "<article><p>Start.</p>" + part * (1_000_000 // len(part))
+        began = time.process_time()
+        htmlcut.extract(page, weights)
+        assert time.process_time() - began < 60, part
+        took = time.process_time() - began
+        began = time.process_time()
+        htmlcut.extract(page[:250_000], weights)
+        assert took < 12 * (time.process_time() - began) + 1, part  # four times as long: sixteen times the time would be quadratic
+
+
+def test_the_cut_decides():
+    """Texts alone would label these blocks otherwise, a link of an article among them."""
+    found, boxes = htmlcut.parse("<nav><a href=1>a</a></nav><article><h1>T</h1><p>A sentence stands here, and it is long enough to be read.</p><p><a href=2>Source</a></p></article><div class='ad'><p>A sentence that sells, and it is long enough to be read.</p></div>")
+    odds, edges = htmlcut.network(found, boxes, htmlcut.classifier())
+    alone, cut = (odds[: len(found)] > 0).tolist(), htmlcut.minimum_cut(odds, edges)[: len(found)].tolist()
+    assert cut == [False, True, True, True, False] and alone != cut
+    assert alone[3] is False
+
+
+def test_labels_against_every_labelling():
+    """Small pages: the operator's labels are those of a cheapest labelling of blocks and containers."""
+    weights = htmlcut.classifier()
+    pages = ["<nav><a href=1>x</a></nav><article><h1>T</h1><p>One sentence.</p></article>", "<div><p>Some words here.</p><ul><li><a href=1>x</a></ul></div><p>Two.</p>", "<main><p>Alpha beta.</p></main><footer>c</footer><p>d e f.</p>"]
+    for page in pages:
+        found, boxes = htmlcut.parse(page)
+        odds, edges = htmlcut.network(found, boxes, weights)
+
+        def cost(label):
+            return sum(abs(o) for o, x in zip(odds, label, strict=True) if (o > 0) != x) + sum(c for i, j, c in edges if label[i] != label[j])
+
+        best = min(cost(x) for x in itertools.product([False, True], repeat=len(odds)))
+        assert abs(cost(htmlcut.minimum_cut(odds, edges).tolist()) - best) < 1e-6
