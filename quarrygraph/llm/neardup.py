@@ -4,11 +4,15 @@
    are one class from here on, known by their smallest doc_id.
 2. Multi-index join: signatures are split into CHUNKS chunks. Two signatures that differ in at most 2 * CHUNKS - 1 symbols differ in at most one
    symbol of some chunk (pigeonhole), so each chunk is entered once for each of its symbols left out: all such pairs meet in a bucket.
-3. In each bucket every class is paired with the bucket's least id; pairs within MOST_DIFFERENT symbols make neighbourhoods (connected components).
-   The full sets of a neighbourhood meet in blocks of bounded size, each pair of blocks in a task, which returns a spanning forest of
-   the confirmed links: no pairs are emitted.
-4. Buckets that hold several neighbourhoods are compared by signature across them, again by pairs of bounded blocks, and pairs within MOST_DIFFERENT
+3. In each bucket every class is paired with the bucket's least id; pairs within MOST_DIFFERENT symbols make neighbourhoods (connected components). Each class
+   is first held against the one of these hubs that its signature is nearest to, on full sets: that is one pair a class, and joins nearly all that belongs together.
+4. A neighbourhood that these links leave in several pieces is compared whole, but for pairs within a piece: the classes outside its largest piece
+   are held in blocks of bounded size, and the sets of all its classes pass each block once, as arrays of shingle hashes. What comes out is a
+   forest between pieces: no pairs are emitted.
+5. Buckets that hold several neighbourhoods are compared by signature across them, by pairs of bounded blocks, and pairs within MOST_DIFFERENT
    are confirmed on full sets as well. Nothing is capped.
+
+Sets are sets of 64-bit hashes of shingles: two different shingles of a pair are taken for one with a probability of about 2 ** -64 for each two.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from quarrygraph.llm.components import components
 SYMBOLS, CHUNKS = 64, 16
 #: At similarity 0.8 a symbol differs with probability 0.2 (and 2 ** -16 less): 64 of them differ in more than 28 places for about 4 pairs of a million.
 MOST_DIFFERENT = 28
-#: Classes of a block and their shingles, about; columns of the matrix by which a task intersects sets; pairs of a hub in one task.
-BLOCK, BLOCK_SHINGLES, COLUMNS, SLOT = 1024, 2_000_000, 4096, 256
+#: Classes of a block and their shingles, about; signatures of a block; columns of the matrices by which a task intersects sets, and rows that pass a block at once; pairs of a hub in one task.
+BLOCK, BLOCK_SHINGLES, BLOCK_SIGNATURES, COLUMNS, PASSING, SLOT = 4096, 2_000_000, 8192, 1024, 512, 256
 
 #: Ids up to which a set of them is broadcast against the texts; beyond that the texts are dealt by id.
 BROADCAST_IDS = 1_000_000
@@ -85,8 +89,9 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return out.reshape(len(sig), -1)
 
 
-def profile(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1, d2 (digest of the set), sig; one row for each row of docs."""
+def profile(docs: DataFrame, size: int, text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, d1, d2 (digest of the set), sig; one row for each row of docs; its text too, if asked for."""
+    names = ["doc_id", "n_shingles", "d1", "d2", "sig"] + ["text"] * text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,9 +104,24 @@ def profile(docs: DataFrame, size: int) -> DataFrame:
                     np.cumsum(mix64(h ^ np.uint64(salt)), out=total[1:])
                     sums.append((total[end] - total[end - counts]).view(np.int64))
                 sig = signatures(h, counts)
-                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(counts, pa.int64()), *map(pa.array, sums), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                own = [b.column(1).slice(i, j - i)] * text
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array(counts, pa.int64()), *map(pa.array, sums), pa.array([x.tobytes() for x in sig], pa.binary()), *own], names)
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary" + ", text string" * text)
+
+
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """rep, set (its sorted shingle hashes, as bytes) of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, at in text_slices(b.column(1)):
+                h, counts = shingles(data, at, size)
+                end = np.cumsum(counts)
+                yield pa.record_batch([b.column(0).slice(i, j - i), pa.array([h[e - n : e].tobytes() for e, n in zip(end.tolist(), counts.tolist(), strict=True)], pa.binary())], ["rep", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return texts.select("id", "text").mapInArrow(run, "rep long, set binary")
 
 
 def _bucket_keys(classes: DataFrame) -> DataFrame:
@@ -116,22 +136,24 @@ def _bucket_keys(classes: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose signatures differ in at most MOST_DIFFERENT symbols."""
+    """Of pairs (a, b) those whose signatures differ in at most MOST_DIFFERENT symbols, and in how many they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-                yield b.filter(pa.array((x != y).sum(1) <= MOST_DIFFERENT)).select(["a", "b"])
+                apart = (x != y).sum(1)
+                near = pa.array(apart <= MOST_DIFFERENT)
+                yield pa.record_batch([b.column(0).filter(near), b.column(1).filter(near), pa.array(apart, pa.int64()).filter(near)], ["a", "b", "apart"])
 
     sigs = classes.select("rep", "sig")
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, apart long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. A hub a with many pairs is dealt to several tasks, with its text."""
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs.select("a", "b"), "pairs")
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLOT).cast("long").alias("slots"))
     hubs = slots.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot")).join(texts.withColumnRenamed("id", "a"), "a").select("a", "slot", F.lit(None).cast("long").alias("b"), "text")
     rest = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), "slots").alias("slot"), "b").join(texts.withColumnRenamed("id", "b"), "b").select("a", "slot", "b", "text")
@@ -160,74 +182,118 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return stored(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def _forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Of the links among sorted sets (100 * intersection >= percent * union) a spanning forest, as pairs of places."""
-    n = len(sets)
-    size = np.fromiter(map(len, sets), np.int64, n)
-    owner = np.repeat(np.arange(n), size)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # only shingles of two sets or more can be in an intersection
-    index = np.cumsum(times > 1) - 1
-    some = times[column] > 1
-    owner, column = owner[some], index[column[some]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    shared = np.zeros((n, n), np.float32)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        i, j = np.searchsorted(column, (first, first + COLUMNS))
-        part = np.zeros((n, COLUMNS), np.float32)
-        part[owner[i:j], column[i:j] - first] = 1
-        shared += part @ part.T
-    rest, out = np.ones(n, bool), []
-    for start in range(n):
-        if rest[start]:
-            rest[start] = False
-            queue = [start]
-            for u in queue:
-                both = shared[u].astype(np.int64)
-                new = np.flatnonzero((100 * both >= percent * (size[u] + size - both)) & rest)
-                rest[new] = False
-                queue += new.tolist()
-                out += [(u, v) for v in new.tolist()]
+def _shared(held: list[np.ndarray], passing: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, one row for each of held, one column for each of passing."""
+    out = np.zeros((len(held), len(passing)), np.float32)
+    sides = []
+    for sets in (held, passing):
+        flat = np.concatenate(sets)
+        sides.append((flat, np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    known = np.intersect1d(*(x for x, _ in sides))
+    entries = []
+    for flat, owner in sides:
+        # only shingles of both sides can be in an intersection
+        at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+        some = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+        order = np.argsort(at[some], kind="stable")
+        entries.append((at[some][order], owner[some][order]))
+    for first in range(0, len(known), COLUMNS):
+        parts = []
+        for (column, owner), n in zip(entries, out.shape, strict=True):
+            i, j = np.searchsorted(column, (first, first + COLUMNS))
+            part = np.zeros((n, COLUMNS), np.float32)
+            part[owner[i:j], column[i:j] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
     return out
 
 
+class _Block:
+    """Held sets of one neighbourhood, and the links that were found between its pieces."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.reps: list[int] = []
+        self.pieces: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.up: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        while self.up.setdefault(i, i) != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def meet(self, reps: list[int], pieces: list[int], sets: list[np.ndarray]) -> None:
+        """Link what passes to what is held, where that joins two pieces."""
+        for i in range(0, len(reps), PASSING):
+            some = sets[i : i + PASSING]
+            shared = _shared(self.sets, some).astype(np.int64)
+            sizes = np.array([len(x) for x in self.sets])[:, None] + np.array([len(x) for x in some])[None, :]
+            linked = 100 * shared >= self.percent * (sizes - shared)
+            linked &= np.array([self.root(p) for p in self.pieces])[:, None] != np.array([self.root(p) for p in pieces[i : i + PASSING]])[None, :]
+            for h, p in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                x, y = self.root(self.pieces[h]), self.root(pieces[i + p])
+                if x != y:
+                    self.up[max(x, y)] = min(x, y)
+                    self.links.append((self.reps[h], reps[i + p]))
+
+
 def _within(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links inside neighbourhoods. members: rep, nc, n_shingles. Pairs of blocks are sorted groups that tasks stream."""
-    whole = members.groupBy("nc").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    sized = whole.select("nc", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    own = members.join(sized, "nc").join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    # each two blocks meet once; a block alone meets itself
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    dealt = own.withColumn("other", F.explode(others)).select("nc", F.least("block", "other").alias("g1"), F.greatest("block", "other").alias("g2"), "rep", "text")
+    """Links between the pieces of neighbourhoods. members: rep, nc, piece, n_shingles.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, reps, sets = None, [], []
+    Sorted groups are streamed by tasks: a block's held sets, then the sets that pass it. Two held sets meet in the block of one of them.
+    """
+    pieces = members.groupBy("nc", "piece").agg(F.count("*").alias("n"))
+    largest = pieces.groupBy("nc").agg(F.count("*").alias("pieces"), F.max(F.struct("n", -F.col("piece"))).alias("top")).filter("pieces > 1").select("nc", (-F.col("top.col2")).alias("major"))
+    open_ = stored(members.join(largest, "nc").withColumn("minor", F.col("piece") != F.col("major")), "open")
+    if open_.isEmpty():
+        return open_.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sized = open_.filter("minor").groupBy("nc").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    placed = open_.join(sized, "nc").withColumn("block", F.when(F.col("minor"), F.pmod(F.xxhash64("rep"), "blocks")).otherwise(F.col("blocks")))
+    # what isn't held passes every block; what is held passes the blocks before its own
+    visits = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k < F.col("block")), lambda k: F.struct(k.alias("k"), F.lit(1).alias("passing")))
+    visits = F.when(F.col("minor"), F.concat(F.array(F.struct(F.col("block").alias("k"), F.lit(0).alias("passing"))), visits)).otherwise(visits)
+    found = _sets(_by_ids(texts, stored(open_.select(F.col("rep").alias("id")), "members"), "id", "left_semi"), size)
+    dealt = placed.select("rep", "nc", "piece", F.explode(visits).alias("v")).select("rep", "nc", "v.k", "v.passing", "piece").join(found, "rep")
 
-        def links() -> list[tuple[int, int]]:
-            return [(reps[x], reps[y]) for x, y in _forest(sets, percent)] if len(sets) > 1 else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block = None, _Block(percent)
+        waiting: tuple[list, list, list] = ([], [], [])
+        own = True  # held sets have not met each other yet
+
+        def settle() -> None:
+            nonlocal own
+            if own and block.reps:
+                block.meet(block.reps, block.pieces, block.sets)
+            own = False
+            if waiting[0] and block.reps:
+                block.meet(*waiting)
+            for x in waiting:
+                x.clear()
 
         def batch_of(rows: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.record_batch([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64())], ["a", "b"])
 
         for batch in batches:
             out: list[tuple[int, int]] = []
-            names = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            ids = batch.column(3).to_pylist()
-            for i, j, data, at in text_slices(batch.column(4)):
-                h, counts = shingles(data, at, size)
-                end = np.cumsum(counts)
-                for k in range(i, j):
-                    if names[k] != group:
-                        out += links()
-                        group, reps, sets = names[k], [], []
-                    if not reps or ids[k] != reps[-1]:
-                        reps.append(ids[k])
-                        sets.append(h[end[k - i] - counts[k - i] : end[k - i]].copy())
+            for nc, k, passing, rep, piece, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (nc, k) != group:
+                    settle()
+                    out += block.links
+                    group, block, own = (nc, k), _Block(percent), True
+                to = waiting if passing else (block.reps, block.pieces, block.sets)
+                for x, y in zip(to, (rep, piece, np.frombuffer(raw, np.uint64)), strict=True):
+                    x.append(y)
+                if len(waiting[0]) >= PASSING or sum(map(len, waiting[2][-1:])) > BLOCK_SHINGLES:
+                    settle()
             yield batch_of(out)
-        yield batch_of(links())
+        settle()
+        yield batch_of(block.links)
 
-    return stored(dealt.repartition("nc", "g1", "g2").sortWithinPartitions("nc", "g1", "g2", "rep").mapInArrow(run, "a long, b long"), "within")
+    dealt = dealt.select("nc", "k", "passing", "rep", "piece", "set").repartition("nc", "k").sortWithinPartitions("nc", "k", "passing", "rep")
+    return stored(dealt.mapInArrow(run, "a long, b long"), "within")
 
 
 def _across(mixed: DataFrame, percent: int) -> DataFrame:
@@ -290,6 +356,17 @@ def _by_ids(docs: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
+def _texts(docs: DataFrame, ids: DataFrame, one: DataFrame, size: int) -> DataFrame:
+    """id, text of the documents whose id is in ids (a stored table): for rows that share an id, the text of the set that counts."""
+    texts = _by_ids(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), ids, "id", "left_semi")
+    twice = stored(one.filter("n_rows > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id")), "twice")
+    if twice.isEmpty():
+        return texts
+    own = profile(_by_ids(texts, twice, "id", "left_semi").withColumnRenamed("id", "doc_id"), size, text=True)
+    chosen = own.groupBy(F.col("doc_id").alias("id")).agg(F.min_by("text", F.struct("d1", "d2", "n_shingles")).alias("text"))
+    return _by_ids(texts, twice, "id", "left_anti").union(chosen)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_rows: one row for each doc_id; n_rows is how many rows of docs have it.
 
@@ -307,18 +384,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     entries = _bucket_keys(classes)
     shared = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("n")).filter("hub <> last")
     buckets = stored(entries.join(shared.select("key", "hub", "n"), "key"), "buckets")
-    candidates = stored(buckets.select(F.col("rep").alias("id")).distinct(), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(_by_ids(texts, candidates, "id", "left_semi"), "texts")
+    texts = _texts(docs, stored(buckets.select(F.col("rep").alias("id")).distinct(), "candidates"), one, size)
 
     star = buckets.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    around = stored(components(_near(star, classes)), "around").select(F.col("id").alias("rep"), F.col("component").alias("nc"))
-    links = _within(around.join(classes.select("rep", "n_shingles"), "rep"), texts, size, percent)
+    near = stored(_near(star, classes), "near")
+    around = stored(components(near), "around").select(F.col("id").alias("rep"), F.col("component").alias("nc"))
+    first = _confirm(near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b"), texts, size, percent)
+    joined = components(first)
+    members = around.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "nc", F.coalesce("component", "rep").alias("piece")).join(classes.select("rep", "n_shingles"), "rep")
+    links = first.union(_within(members, texts, size, percent))
 
     labelled = buckets.join(around, "rep", "left").select("key", "rep", "n", F.coalesce("nc", "rep").alias("nc"))
     several = labelled.groupBy("key").agg(F.min("nc").alias("x"), F.max("nc").alias("y")).filter("x <> y").select("key")
     mixed = labelled.join(several, "key", "left_semi").join(classes.select("rep", "n_shingles", "sig"), "rep")
-    apart = _across(mixed.select("key", "rep", "nc", "n_shingles", "sig", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), percent).distinct()
+    apart = _across(mixed.select("key", "rep", "nc", "n_shingles", "sig", F.ceil(F.col("n") / BLOCK_SIGNATURES).cast("long").alias("blocks")), percent).distinct()
     more = _confirm(apart, texts, size, percent)
     final = components(links.union(more))
 

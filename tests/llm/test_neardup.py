@@ -73,18 +73,52 @@ def test_against_brute_force(docs_of, size):
 
 def test_small_blocks_give_the_same(docs_of, monkeypatch):
     rows = corpus(2)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
-    monkeypatch.setattr(neardup, "SLOT", 5)
+    for name, value in {"BLOCK": 7, "BLOCK_SIGNATURES": 7, "PASSING": 5, "COLUMNS": 16, "SLOT": 5}.items():
+        monkeypatch.setattr(neardup, name, value)
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(rows), 4, 80).collect()} == brute(rows, 4, 80)[0]
 
 
 def test_what_neighbourhoods_miss_is_compared_across(docs_of, monkeypatch):
     rows = corpus(3)
     # no neighbourhood forms, so every link must come from the comparison across
-    monkeypatch.setattr(neardup, "_near", lambda pairs, classes: pairs.filter("a < 0"))
+    monkeypatch.setattr(neardup, "_near", lambda pairs, classes: pairs.filter("a < 0").withColumn("apart", neardup.F.col("a")))
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(rows), 4, 80).collect()} == brute(rows, 4, 80)[0]
 
 
+def test_what_hubs_miss_is_compared_within(docs_of, monkeypatch):
+    rows = corpus(4)
+    # no class is linked to its hub, so every link must come from the blocks of its neighbourhood
+    confirm = neardup._confirm
+    calls = []
+
+    def none_at_first(pairs, *rest):
+        calls.append(1)
+        return confirm(pairs.filter("a < 0") if len(calls) == 1 else pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_confirm", none_at_first)
+    monkeypatch.setattr(neardup, "BLOCK", 9)
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(rows), 4, 80).collect()} == brute(rows, 4, 80)[0]
+    assert len(calls) == 2
+
+
+def test_sizes_of_intersections():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(20)]
+    got = neardup._shared(sets[:12], sets[12:])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[12:]] for x in sets[:12]]
+    assert neardup._shared([np.zeros(0, np.uint64)], [np.ones(3, np.uint64)]).tolist() == [[0]]
+
+
+def test_rows_of_one_id_count_by_the_least_digest(docs_of):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"q{rng.randrange(500)}" for _ in range(60))
+    a, b = text(), text()
+    rows = [(1, a), (2, a + " x"), (3, b + " y"), (9, a), (9, b)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(rows), 4, 80).collect()}
+    digest = {r.text: (r.d1, r.d2) for r in neardup.profile(docs_of([(9, a), (9, b)]), 4, text=True).collect()}
+    assert got == ({1: 1, 2: 1, 3: 3, 9: 1} if digest[a] < digest[b] else {1: 1, 2: 1, 3: 3, 9: 3})
+
+
 def test_odd_rows(odd):
     got = {r.doc_id: r for r in neardup.near_duplicates(odd, 4, 80).collect()}
     assert {i: r.component_id for i, r in got.items()} == {None: None, **brute(odd_rows(), 4, 80)[0]}
