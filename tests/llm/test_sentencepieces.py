@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from quarrygraph.llm import queries, sentencepieces
@@ -15,20 +16,34 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=FILE)
 
 
+def expected(library, text):
+    ids = library.encode(text)
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_random_texts(library):
     s, rng = sentencepieces.Segmenter(FILE), random.Random(3)
-    letters = " ▁  ab\n\t\x00é①ﬁ😀<s>　中the "
-    for _ in range(4000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(25)))
-        ids = library.encode(text)
-        n, a, b = s.digest(text)
-        assert s.encode(text) == ids and n == len(ids) and b == hashlib.sha256(library.decode(ids).encode()).hexdigest() and a == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-
-
-def test_a_full_table_is_begun_again(monkeypatch, library):
-    monkeypatch.setattr(sentencepieces, "TABLE_WORDS", 3)
-    text = "some words and some more words, " * 20
-    assert sentencepieces.Segmenter(FILE).encode(text) == library.encode(text)
+    letters = " ▁  ab\n\t\x00é①ﬁ😀<s>　中the "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    assert s.digests(pa.array(texts)) == [expected(library, t) for t in texts]
+    assert all(s.encode(t) == library.encode(t) for t in texts[:500])
+
+
+def test_each_distinct_word_is_segmented_once(library):
+    s = sentencepieces.Segmenter(FILE)
+    found = s.segmented(pa.array(["some words and some more words", "", "more  words", " "] * 30))
+    assert sorted(found.words) == sorted([" some", " words", " and", " more", "  words", "  "]) and found.counts.tolist() == [6, 0, 2, 1] * 30
+    assert len(found.place) == 30 * 9
+
+
+@pytest.mark.parametrize("most", [1, 50])
+def test_slices(monkeypatch, library, docs_of, most):
+    monkeypatch.setattr(sentencepieces, "TABLE_BYTES", most)
+    texts = ["some words", None, "", "and some more words " * 9, "é", "a"]
+    assert [x for part in sentencepieces.slices(pa.array(texts)) for x in part.to_pylist()] == [t or "" for t in texts]
+    batches = [pa.record_batch([pa.array([t], pa.string())], ["text"]) for t in texts]
+    assert [x for b in sentencepieces.together(iter(batches)) for x in b.column(0).to_pylist()] == texts
+    assert not list(sentencepieces.slices(pa.array([], pa.string())))
 
 
 def test_operators(odd, docs_of, clashing, library):
