@@ -1,25 +1,35 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio between two multinomials, with DataFrame functions only.
 
-Words and word pairs fall into BUCKETS buckets. Their counts over the trusted documents and over the whole corpus, smoothed, are two multinomials; a text's
+Words and word pairs fall into buckets, whose number grows with the square root of the corpus, about as its vocabulary does. Their counts over the trusted documents and over the whole corpus, smoothed, are two multinomials; a text's
 score is the mean over its n-grams of log(trusted / raw). Every document is kept or not by one fixed threshold.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import stored
 
-#: Buckets of the n-gram multinomials: the two tables are arrays of this length, whatever the corpus.
-BUCKETS = 16384
+#: Buckets of the n-gram multinomials at least; and characters of a word, about, with the space after it.
+BUCKETS, CHARS_PER_WORD = 16384, 6
 #: Added to each bucket's count, as a share of the mean count. Texts with a lower mean log ratio go.
 SMOOTH, THRESHOLD = 0.01, -0.1
 #: Log ratios are held to this range: it bounds what one n-gram adds to a score.
 CLIP = 8.0
 
 _SPACES = " \t\n\x0b\f\r"
-_SPLIT = r"[\x20\x09-\x0D]+"
+#: Ids up to which the trusted documents are broadcast; beyond that texts are dealt by id.
+BROADCAST_IDS = 500_000
+
+
+def _with_each(text: Column, chars: str, new: str) -> Column:
+    """text with each of the characters replaced (a byte search for each, which is faster than one translation by a map)."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(new))
+    return text
 
 
 def _let(value: Column, body) -> Column:
@@ -29,17 +39,23 @@ def _let(value: Column, body) -> Column:
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the words in order, array<long>; null or blank text: empty."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPLIT))
+    plain = _with_each(F.coalesce(text, F.lit("")), _SPACES[1:], " ")
+    words = F.array_remove(F.split(plain, " "), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def grams(hashes: Column) -> Column:
+def buckets(docs: DataFrame) -> int:
+    """The least power of two, BUCKETS or more, that is at least twice the square root of the number of n-grams in docs' texts, as its characters tell it."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(BUCKETS, 1 << math.ceil(math.log2(max(1.0, 2 * math.sqrt(2 * chars / CHARS_PER_WORD)))))
+
+
+def grams(hashes: Column, n_buckets: int = BUCKETS) -> Column:
     """Buckets of the words and of the pairs of neighbours, array<int>."""
 
     def pairs(h: Column) -> Column:
-        ones = F.transform(h, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-        twos = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
+        ones = F.transform(h, lambda x: F.pmod(x, F.lit(n_buckets)).cast("int"))
+        twos = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n_buckets)).cast("int"))
         return F.concat(ones, twos)
 
     return _let(hashes, pairs)
@@ -80,7 +96,7 @@ def base(docs: DataFrame) -> DataFrame:
     """docs' doc_id and text with the base counts and the word hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_SPACES)) != "")
-    drop = lambda chars: F.length(F.translate(text, chars, ""))
+    drop = lambda chars: F.length(_with_each(text, chars, ""))
     return docs.select(
         "doc_id",
         F.size("h").cast("long").alias("n_words"),
@@ -92,27 +108,29 @@ def base(docs: DataFrame) -> DataFrame:
     )
 
 
-def multinomials(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def multinomials(docs: DataFrame, trusted: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
     """Counts (bucket, raw, trusted) over all documents and over those whose doc_id is in trusted; docs: doc_id, text. All n-grams of the corpus are counted.
 
-    The join moves texts, which are smaller than their hashes, and is a merge at every size. A third of all rows may be copies, or one word: buckets are summed in each task
-    before they are shuffled.
+    Texts stay where they are: the ids of the trusted documents are broadcast, up to BROADCAST_IDS of them; beyond that a merge join deals texts by id. A third of all
+    rows may be copies, or one word: buckets are summed in each task before they are shuffled.
     """
     good = trusted.select(F.col("doc_id").alias("t_id")).filter("t_id is not null").distinct()
-    marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("t_id"), "left").select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(grams(word_hashes(F.col("text")))).alias("bucket"))
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    known = docs.join(F.broadcast(good) if few else good.hint("merge"), F.col("doc_id") == F.col("t_id"), "left")
+    marked = known.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(grams(word_hashes(F.col("text")), n_buckets)).alias("bucket"))
     return marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
 
 
-def ratios(counts: DataFrame) -> DataFrame:
-    """One row, one array of BUCKETS doubles: log(trusted / raw) of each bucket, within CLIP. Its size doesn't depend on the corpus."""
+def ratios(counts: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
+    """One row, one array of n_buckets doubles: log(trusted / raw) of each bucket, within CLIP."""
     spark = counts.sparkSession
-    all_buckets = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    all_buckets = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = all_buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).cast("double").alias("raw"), F.coalesce("trusted", F.lit(0)).cast("double").alias("trusted"))
     rows = filled.agg(F.sum("raw").alias("n_raw"), F.sum("trusted").alias("n_trusted"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("c"))
 
     def log_share(x: Column, total: Column) -> Column:
-        add = F.greatest(total, F.lit(1.0)) / BUCKETS * SMOOTH
-        return F.log((x + add) / (total + add * BUCKETS))
+        add = F.greatest(total, F.lit(1.0)) / n_buckets * SMOOTH
+        return F.log((x + add) / (total + add * n_buckets))
 
     def one(c: Column) -> Column:
         r = log_share(c["trusted"], F.col("n_trusted")) - log_share(c["raw"], F.col("n_raw"))
@@ -129,15 +147,16 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     counts as empty; without any trusted document every score is 0; repeated rows give equal rows; an empty table none; other columns aren't read.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stored(ratios(multinomials(plain, trusted)), "ratios")
-    # one row of fixed size: a literal array for each task
+    n_buckets = buckets(plain)
+    table = stored(ratios(multinomials(plain, trusted, n_buckets), n_buckets), "ratios")
+    # one row, 8 bytes for each bucket (2 MB at 30 GB of texts): a literal array for each task
     ratio = table.first()["ratio"]
     values = F.lit(ratio) if ratio else F.array().cast("array<double>")
 
     def score(g: Column) -> Column:
         return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(values, x)) / F.size(g)).otherwise(0.0)
 
-    out = base(plain.withColumn("h", word_hashes(F.col("text")))).withColumn("score", F.round(_let(grams(F.col("h")), score), 9)).drop("h")
+    out = base(plain.withColumn("h", word_hashes(F.col("text")))).withColumn("score", F.round(_let(grams(F.col("h"), n_buckets), score), 9)).drop("h")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 

@@ -107,3 +107,24 @@ def test_base_counts(docs_of, text):
 
     r = quality.base(docs_of([(1, text)]).withColumn("h", quality.word_hashes(F.col("text")))).first()
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base(text)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_trusted_ids_beyond_the_broadcast(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 31}" for k in range(30))) for i in range(40)]
+    check(docs_of(rows), rows, set(range(0, 40, 3)), spark)
+
+
+def test_buckets_grow_with_the_corpus(spark, docs_of):
+    assert quality.buckets(docs_of([])) == quality.buckets(docs_of([(1, None)])) == quality.BUCKETS
+    big = spark.range(4).selectExpr("id doc_id", "repeat('x', 100000000) text")
+    assert quality.buckets(big) == 32768
+
+
+def test_ties_at_the_threshold_stay(spark, docs_of):
+    rows = [(1, " ".join(f"a{k}" for k in range(20))), (2, " ".join(f"b{k}" for k in range(20)))]
+    trusted = spark.createDataFrame([(1,)], "doc_id long")
+    score = {r.doc_id: r.score for r in quality.assess(docs_of(rows), trusted).collect()}
+    kept = {r.doc_id: r.kept for r in quality.assess(docs_of(rows), trusted, threshold=score[2]).collect()}
+    assert kept == {1: True, 2: True} and score[2] < score[1]
