@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 from quarrygraph.llm.common import SLICE_BYTES, crc32_mod5, parts
 
 BUCKET_BITS, DIM, ORDERS = 16, 12, (1, 2, 3, 4)
-#: Bound of the training sample: documents of each language, the first by a hash of the id; and the number of languages learned at most.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 400, 256
+#: Bound of the training sample: documents of each language, the first by a hash of the id; the number of languages learned at most; and characters of a document.
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES, SAMPLE_CHARS = 400, 256, 20_000
 #: Calibrated probability of a wrong rejection of a training document kept back.
 WRONG_REJECTIONS = 0.0005
 #: Subwords added to a text's when the share of unseen ones is taken, so that short texts are not judged by few; and the factor between the share
@@ -31,13 +32,12 @@ WRONG_REJECTIONS = 0.0005
 SHORT, UNSEEN_MARGIN = 40, 1.5
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def normal(text: str | None) -> bytes:
-    """Lower-cased letters, runs of all else as one space; empty without a letter."""
-    if not text or not _LETTER.search(text):
+    """Lower-cased letters (and the signs of numbers that aren't decimal digits), runs of all else as one space; empty without a letter, i.e. a character of category L."""
+    if not text or not any(map(str.isalpha, text)):
         return b""
     return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-8", "replace")
 
@@ -223,20 +223,41 @@ def fit(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 4.0,
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on at most per_language documents of each of at most MOST_LANGUAGES languages, the first by a hash of their ids, of those with text and lang whose crc32(id) mod 5 isn't 0."""
+    """Fit on at most per_language documents of each of the MOST_LANGUAGES most frequent languages, the first by a hash of their ids, of those with text and lang whose
+    crc32(id) mod 5 isn't 0. Of a longer text, SAMPLE_CHARS characters from a hashed place are taken. Rows that share an id, lang and text count once.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod5(F.col("doc_id")) != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(17).cast("long"), "doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    ids = [r[0] for r in chosen.orderBy("k", "lang").limit(per_language * MOST_LANGUAGES).select("doc_id").collect()]
-    if not ids:
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit(17).cast("long"), "doc_id"), 11) * F.lit(2.0**-53)
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod5(F.col("doc_id")) != 0)).withColumn("spot", spot)
+    size = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    if not size:
         return fit([], [])
-    spark = docs.sparkSession
-    rows = usable.join(F.broadcast(spark.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")), "doc_id", "left_semi").limit(2 * per_language * MOST_LANGUAGES).collect()
+    # A document's place in the order of hashes is uniform: a share of it holds enough of a language's documents. No task gets all of a language's rows.
+    share, slack = {}, 2.0
+    missing = set(size)
+    while missing:
+        share |= {x: min(1.0, slack * per_language / size[x]) for x in missing}
+        within = usable.filter(F.col("spot") < _by_language(share))
+        found = {r["lang"]: r["n"] for r in within.groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect()}
+        missing = {x for x in missing if share[x] < 1 and found.get(x, 0) < per_language}
+        slack *= 4
+    order = Window.partitionBy("lang").orderBy("spot", "doc_id")
+    ranked = within.select("lang", "spot", "doc_id").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    last = {r["lang"]: r["spot"] for r in ranked.groupBy("lang").agg(F.max("spot").alias("spot")).collect()}
+    start = F.pmod(F.xxhash64(F.lit(18).cast("long"), "doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)).cast("int")
+    passage = F.when(F.length("text") > SAMPLE_CHARS, F.substring(F.col("text"), start + 1, F.lit(SAMPLE_CHARS))).otherwise(F.col("text"))
+    chosen = usable.filter(F.col("spot") <= _by_language(last)).select("doc_id", "lang", passage.alias("text")).distinct()
+    # ids that many texts share must not make the sample larger
+    rows = chosen.orderBy(F.xxhash64(F.lit(17).cast("long"), "doc_id"), "doc_id", "lang", "text").limit(2 * per_language * len(last)).collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
+def _by_language(values: dict[str, float]) -> F.Column:
+    """The value of the row's language; null for others."""
+    return F.create_map(*(F.lit(x) for pair in sorted(values.items()) for x in pair))[F.col("lang")]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Every column of docs, then lang_pred, lang_score (0 to 1) and lang_rejected, in place of columns so named before. Null text or no letter: 'und', 0, rejected."""
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -268,14 +289,22 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose language the model does not reject. text and lang are needed; clashing extra columns are kept as they are."""
+    """The rows of docs, all columns, whose language the model does not reject; a null lang becomes the predicted language.
+
+    text and lang are needed; clashing extra columns are kept as they are. Null text, or text without a letter, is rejected. Repeated rows stay or go together;
+    an empty table, or one without a labelled document, gives none.
+    """
     model = train(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    names = docs.columns
+    at, lang_at = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            _, _, rejected = held.value.predict(b.column(at).to_pylist())
+            lang, _, rejected = held.value.predict(b.column(at).to_pylist())
+            known = b.column(lang_at)
+            if known.null_count and pa.types.is_string(known.type):
+                b = b.set_column(lang_at, b.schema.field(lang_at), pc.coalesce(known, pa.array(lang, known.type)))
             yield b.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)

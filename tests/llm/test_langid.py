@@ -77,3 +77,37 @@ def test_unseen_subwords_are_counted_alike():
     q = langid.quads(one)
     assert abs(m.scan([texts[0], b"", one])[1][2] - sum(int(x) not in known for x in q) / (len(q) + langid.SHORT)) < 0.03
     assert list(m.scan([texts[0], b""])[1]) == [0, 0]
+
+
+def test_letters_are_of_category_l():
+    assert langid.normal("² ½ ④ 12 ٣ _ !") == b"" and langid.normal("a²") and langid.normal("ª") and langid.normal("日")
+
+
+def test_the_sample_is_the_first_of_each_language_by_hash(docs_of, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: seen.append((texts, langs)))
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 30)
+    rows = [(i, f"text of {i} " * (9 if i % 10 == 0 else 1), ["en", "fr", "de"][i % 3] if i % 50 else None, "s", 0) for i in range(600)] + [(7, "again", "fr", "s", 0), (7, "text of 7 ", "fr", "s", 0)]
+    langid.train(docs_of(rows), 20)
+    langid.train(docs_of(rows).repartition(1), 20)
+    assert seen[0] == seen[1] and all(len(t) <= 30 for t in seen[0][0])
+    from pyspark.sql import functions as F
+
+    frame = docs_of(rows).filter("lang is not null").filter(langid.crc32_mod5(F.col("doc_id")) != 0).select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64(F.lit(17).cast("long"), "doc_id"), 11).alias("h")).distinct().collect()
+    for lang in ("en", "fr", "de"):
+        first = sorted((r.h, r.doc_id) for r in frame if r.lang == lang)[:20]
+        texts = [t for t, x in zip(*seen[0], strict=True) if x == lang]
+        assert all(any(t in f"text of {i} " * 9 or i == 7 for _, i in first) for t in texts) and len(texts) in (20, 21)
+
+
+def test_unknown_languages_are_filled_in(docs_of):
+    rows = small() + [(200, "the cat and the street of the house that we have", None, "s", 0), (201, "la rue et le chat de la maison que nous avons", "xx", "s", 0)]
+    got = {r.doc_id: r.lang for r in langid.keep_identified(docs_of(rows)).collect()}
+    assert got[200] == "en" and got[201] == "xx" and got[0] == "en" and got[1] == "fr"
+
+
+def test_a_score_at_the_threshold_stays():
+    m = langid.fit([t for _, t, *_ in small()], [x[2] for x in small()])
+    text = small()[3][1]
+    m.threshold = float(m.predict([text])[1][0])
+    assert not m.predict([text])[2][0]
