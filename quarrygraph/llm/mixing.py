@@ -88,11 +88,11 @@ def _with_source(rows: DataFrame, small: DataFrame, n_sources: int) -> DataFrame
 
 
 def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """For rows (key, source, n_tokens): source, weight, full (whole epochs), cut (in the partial epoch, rows whose order is below cut are taken).
+    """For rows (key, source, n_tokens), a stored table: source, weight, blocks, full (whole epochs), and turn, block, place of the last row that the partial epoch
+    after them takes (turn is -1 if it takes none, 2 if it takes all).
 
     budget is the tokens of the mixture; by default, the least with which every source appears whole at least once.
     """
-    rows = stored(rows.select("key", "source", "n_tokens"), "rows")
     sources = stored(rows.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")), "sources")
     a = exponent(sources, max_repeats, target_entropy)
     power = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens").cast("double"), F.lit(a))).otherwise(0.0)
@@ -109,55 +109,81 @@ def plan(rows: DataFrame, max_repeats: float | None = 2.0, target_entropy: float
         ),
         "dealt",
     )
-    # Blocks of the partial epoch are ranges of a hash of the key: their order is a permutation of the rows.
-    spot = position("key", F.col("full") + 1)
-    placed = _with_source(rows, dealt.filter("left > 0").select(F.col("source").alias("s"), "full", "left", "blocks"), dealt.count())
-    placed = placed.select("key", "source", "left", "n_tokens", spot.alias("spot"), F.floor(spot * F.col("blocks")).cast("long").alias("block"))
-    sums = stored(placed.groupBy("source", "left", "block").agg(F.sum("n_tokens").alias("t")), "blocks")
-    # prefix sums in two steps, so that no task holds all blocks of a source
-    groups = sums.groupBy("source", F.floor(F.col("block") / GROUP).alias("g")).agg(F.sum("t").alias("gt"))
+    partial = dealt.filter("left > 0").select(F.col("source").alias("s"), "full", "left", "blocks")
+    placed = _with_source(rows, partial, dealt.count()).withColumn("block", home("key", F.col("blocks")))
+    epoch = F.col("full") + 1
+    sums = placed.groupBy("source", "left", "blocks", "full", "block").agg(F.sum("n_tokens").alias("t")).withColumn("turn", turn("source", epoch, F.col("block")))
+    sums = stored(sums.withColumn("g", F.floor(F.col("turn") * F.ceil(F.col("blocks") / GROUP)).cast("long")), "blocks")
+    # prefix sums in the order of turns in two steps, so that no task holds all blocks of a source
+    groups = sums.groupBy("source", "g").agg(F.sum("t").alias("gt"))
     groups = groups.withColumn("g_before", F.sum("gt").over(Window.partitionBy("source").orderBy("g")) - F.col("gt")).drop("gt")
-    sums = sums.withColumn("g", F.floor(F.col("block") / GROUP)).alias("x").join(groups.alias("y"), F.expr("x.source <=> y.source AND x.g = y.g")).select("x.source", "x.left", "x.block", "x.t", "x.g", "y.g_before")
-    sums = sums.withColumn("before", F.col("g_before") + F.sum("t").over(Window.partitionBy("source", "g").orderBy("block")) - F.col("t"))
-    edge = sums.filter("before < left AND before + t >= left").select(F.col("source").alias("s"), F.col("block").alias("e"), "before")
-    inside = _with_source(placed, edge, dealt.count()).filter(F.col("block") == F.col("e")).select("source", "left", "before", "n_tokens", "spot")
-    running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("spot").rangeBetween(Window.unboundedPreceding, 0))
+    sums = sums.alias("x").join(groups.alias("y"), F.expr("x.source <=> y.source AND x.g = y.g")).select("x.*", "y.g_before")
+    sums = sums.withColumn("before", F.col("g_before") + F.sum("t").over(Window.partitionBy("source", "g").orderBy("turn", "block")) - F.col("t"))
+    edge = sums.filter("before < left AND before + t >= left").select(F.col("source").alias("s"), F.col("block").alias("e"), "turn", "before")
+    inside = _with_source(placed, edge, dealt.count()).filter(F.col("block") == F.col("e")).select("source", "left", "before", "turn", "block", "n_tokens", position("key", epoch).alias("place"))
+    running = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place").rangeBetween(Window.unboundedPreceding, 0))
     # the first row that spends the rest is the last one taken
-    cut = inside.withColumn("after", F.col("before") + running).filter("after >= left").groupBy("source").agg(F.min("spot").alias("last"))
+    cut = inside.withColumn("after", F.col("before") + running).filter("after >= left").groupBy("source", "turn", "block").agg(F.min("place").alias("place"))
     out = dealt.alias("d").join(cut.alias("c"), F.expr("d.source <=> c.source"), "left")
-    return out.select("d.source", "weight", "full", F.coalesce(F.col("last") + F.lit(2.0**-52), F.when(F.col("left") > 0, 1.0).otherwise(0.0)).alias("cut"))
+    none = F.when(F.col("left") > 0, 2.0).otherwise(-1.0)
+    return out.select("d.source", "weight", "blocks", "full", F.coalesce("c.turn", none).alias("turn"), F.coalesce("c.block", F.lit(-1)).cast("long").alias("block"), F.coalesce("c.place", F.lit(-1.0)).alias("place"))
+
+
+def _unit(*values: Column) -> Column:
+    """A hash in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(2027).cast("long"), *values), 11) * F.lit(2.0**-53)
+
+
+def home(key: str, blocks: Column) -> Column:
+    """Block of a row, the same in every epoch."""
+    return F.floor(_unit(F.lit("home"), F.col(key)) * blocks).cast("long")
+
+
+def turn(source: str, epoch: Column, block: Column) -> Column:
+    """Place in [0, 1) of a block in an epoch's permutation of its source's blocks (ties go by block)."""
+    return _unit(F.lit("turn"), F.col(source), epoch.cast("long"), block.cast("long"))
 
 
 def position(key: str, epoch: Column) -> Column:
-    """Place in [0, 1) of a row in an epoch's permutation."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(2027).cast("long"), epoch.cast("long"), F.col(key)), 11) * F.lit(2.0**-53)
+    """Place in [0, 1) of a row in its block, in an epoch."""
+    return _unit(F.lit("place"), epoch.cast("long"), F.col(key))
 
 
 def mix(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, epoch, block, place: a row for each time that a document is taken.
+    """doc_id, source, n_tokens, epoch, block, turn, place: a row for each time that a document is taken.
 
-    Epochs of a source are permutations of blocks (ranges of place) and of rows within a block; read in the order of epoch and place, the sources' shares
-    are their weights. A null source is a source of its own; null or blank text has no tokens and, in a source of such texts only, one epoch.
+    block is one of the blocks that the budget is cut in, turn its place in the epoch's permutation of blocks, place that of the row in its block. Read in the order of
+    epoch, turn, block and place, the sources' shares are their weights. A null source is a source of its own; null or blank text has no tokens and, in a source of such texts only, one epoch.
     Rows that share a doc_id are taken together; an empty table gives none; other columns are not read.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("n_tokens")), "tokens")
+    rows = _tokens(docs)
     taken = _taken(rows, plan(rows, max_repeats, target_entropy, budget), ["key", "source", "n_tokens"])
-    place = position("key", F.col("epoch"))
-    return taken.select(F.col("key").alias("doc_id"), "source", "n_tokens", "epoch", F.floor(place * 4096).cast("long").alias("block"), place.alias("place"))
+    block = F.col("block")
+    return taken.select(F.col("key").alias("doc_id"), "source", "n_tokens", "epoch", "block", turn("source", F.col("epoch"), block).alias("turn"), position("key", F.col("epoch")).alias("place"))
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    return stored(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("n_tokens")), "tokens")
 
 
 def _taken(rows: DataFrame, planned: DataFrame, names: list[str]) -> DataFrame:
-    p = stored(planned.select(F.col("source").alias("s"), F.col("full").alias("p_full"), F.col("cut").alias("p_cut")), "plan")
-    last = F.when(position("key", F.col("p_full") + 1) < F.col("p_cut"), 1).otherwise(0)
-    joined = _with_source(rows, p, p.count())
+    """The named columns of rows (key, source, ...), epoch and block, a row for each time that it is taken."""
+    p = stored(planned.select(F.col("source").alias("s"), F.col("blocks").alias("p_blocks"), F.col("full").alias("p_full"), F.struct("turn", "block", "place").alias("p_cut")), "plan")
+    joined = _with_source(rows, p, p.count()).withColumn("p_block", home("key", F.col("p_blocks")))
+    epoch = F.col("p_full") + 1
+    here = F.struct(turn("source", epoch, F.col("p_block")).alias("turn"), F.col("p_block").alias("block"), position("key", epoch).alias("place"))
+    last = F.when(here <= F.col("p_cut"), 1).otherwise(0)
     times = F.when(F.col("p_full") + last > 0, F.sequence(F.lit(1).cast("long"), F.col("p_full") + last)).otherwise(F.array().cast("array<long>"))
-    return joined.select(*names, F.explode(times).alias("epoch"))
+    return joined.select(*names, F.col("p_block").alias("block"), F.explode(times).alias("epoch"))
 
 
 def mixture(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
-    """docs, all columns, each row as often as mix takes its document."""
+    """docs, all columns, each row as often as mix takes its document.
+
+    Null and blank texts stay (in a source with other texts, as often as its other rows); a null source is one of its own; a null doc_id is a key like any other;
+    rows that share a doc_id are taken together; an empty table gives none; clashing extra columns are kept as they are.
+    """
     names = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("source").cast("string").alias("source"), tokens(F.col("text")).alias("n_tokens"))
-    planned = plan(rows, max_repeats, target_entropy, budget)
+    planned = plan(_tokens(docs), max_repeats, target_entropy, budget)
     inner = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("source").cast("string").alias("source"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("whole"))
     return _taken(inner, planned, ["whole"]).select("whole.*")

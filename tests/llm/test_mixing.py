@@ -69,19 +69,44 @@ def test_budget(docs_of):
         assert abs(got - budget) <= 30 * 7
 
 
-def test_epochs_are_different_permutations(docs_of):
-    rows, docs = corpus(docs_of)
-    got = mixing.mix(docs, 2.0, budget=5 * sum(shares(rows).values())).filter("source = 's1'").collect()
-    order = {e: [r.doc_id for r in sorted(got, key=lambda r: r.place) if r.epoch == e] for e in (1, 2)}
-    assert sorted(order[1]) == sorted(order[2]) and order[1] != order[2] and all(0 <= r.place < 1 and r.block == int(r.place * 4096) for r in got)
+def order(r):
+    return r.epoch, r.turn, r.block, r.place
 
 
-def test_groups_of_the_prefix_sum(docs_of, monkeypatch):
-    rows, docs = corpus(docs_of)
-    whole = {(r.doc_id, r.epoch) for r in mixing.mix(docs, 2.0).collect()}
+def test_epochs_are_different_permutations_of_blocks(docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 8)
-    monkeypatch.setattr(mixing, "GROUP", 4)
-    assert {(r.doc_id, r.epoch) for r in mixing.mix(docs, 2.0).collect()} == whole
+    rows, docs = corpus(docs_of)
+    got = sorted(mixing.mix(docs, 2.0, budget=5 * sum(shares(rows).values())).filter("source = 's1'").collect(), key=order)
+    each = {e: [r.doc_id for r in got if r.epoch == e] for e in (1, 2)}
+    blocks = {e: list(dict.fromkeys(r.block for r in got if r.epoch == e)) for e in (1, 2)}
+    assert sorted(each[1]) == sorted(each[2]) and each[1] != each[2]
+    assert sorted(blocks[1]) == sorted(blocks[2]) and blocks[1] != blocks[2] and len(blocks[1]) > 5
+    assert all(len({r.block for r in got if r.doc_id == i}) == 1 for i in each[1])  # a row's block is the same in every epoch
+
+
+@pytest.mark.parametrize(("size", "group"), [(1024, 1024), (8, 4), (3, 2)])
+def test_taken_rows_against_brute_force(docs_of, monkeypatch, size, group):
+    """Rows of the partial epoch are the head of that epoch's whole order, up to the first row that spends the budget."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", size)
+    monkeypatch.setattr(mixing, "GROUP", group)
+    rows, docs = corpus(docs_of)
+    t = shares(rows)
+    got = mixing.mix(docs, 2.0).collect()
+    whole = mixing.mix(docs, 2.0, budget=9 * sum(t.values())).collect()
+    spread = max(t.values()) / min(t.values())
+    a = max(0.0, 1 - math.log(2) / math.log(spread))
+    expected = Counter()
+    for s in t:
+        epochs = (max(t.values()) / t[s]) ** (1 - a)
+        full = math.floor(epochs + 1e-6)
+        left = max(0.0, (epochs - full) * t[s])
+        for e in range(1, full + 2):
+            for r in sorted((r for r in whole if r.source == s and r.epoch == e), key=order):
+                if e <= full or left > 0.5:
+                    expected[r.doc_id, e] += 1
+                if e > full:
+                    left -= r.n_tokens
+    assert Counter((r.doc_id, r.epoch) for r in got) == expected
 
 
 def test_odd_rows(odd, docs_of, clashing):
