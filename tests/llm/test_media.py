@@ -1,5 +1,9 @@
 import hashlib
+import math
+import os
+import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -20,6 +24,22 @@ def test_png_round_trip():
         media.from_png(bytes(image))
 
 
+def brute_png(payload):
+    """The image's bytes put together by hand."""
+    lines = b"".join(b"\0" + payload[i : i + 192] for i in range(0, len(payload), 192))
+    part = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", (192).to_bytes(4, "big") + (len(payload) // 192).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + part(b"IDAT", zlib.compress(lines, 1)) + part(b"IEND", b"")
+
+
+def brute_feature(payload):
+    n = len(payload)
+    share = [c / n for c in Counter(payload).values()]
+    edge = [int(k * n / 65) for k in range(66)]
+    means = [sum(payload[a:b]) / (b - a) for a, b in zip(edge, edge[1:], strict=False)]
+    bits = "".join("1" if b > a else "0" for a, b in zip(means, means[1:], strict=False))
+    return f"{n // 192};{sum(payload) / n:.4f};{-sum(p * math.log2(p) for p in share):.4f};{int(bits, 2):016x}"
+
+
 def test_text_media(odd, docs_of, clashing):
     texts = dict(odd_rows())
     got = media.text_media(odd).collect()
@@ -28,12 +48,57 @@ def test_text_media(odd, docs_of, clashing):
         raw = (texts[r.doc_id] or "").encode()
         padded = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-        assert r.media_sha256 == hashlib.sha256(media.to_png(padded)).hexdigest() and r.media_bytes == len(media.to_png(padded)) and r.feature and r.position == 0 and str(len(raw)) in r.caption
+        assert r.media_sha256 == hashlib.sha256(brute_png(padded)).hexdigest() and r.media_bytes == len(brute_png(padded)) and r.feature == brute_feature(padded) and r.position == int(bool((texts[r.doc_id] or "").split("\n")[0].split())) and r.caption == f"{r.doc_id}: {len(raw)} bytes"
     same = [tuple(r)[1:8] for r in got if r.doc_id in (5, 6)]
     assert same[0] == same[1]
     assert media.text_media(docs_of([])).count() == 0 and media.text_media(clashing).count() == 2
 
 
+def test_captions_before_after_and_without_a_picture():
+    item = lambda page: [(x["kind"], x["text"] or x["ref"], x["caption"]) for x in media.sequence(page)]
+    assert item("<figure><figcaption>Before</figcaption><img src=a alt=x></figure>") == [("image", "a", "Before")]
+    assert item("<figure><img src=a><img src=b><figcaption>Both</figcaption></figure>t") == [("image", "a", "Both"), ("image", "b", "Both"), ("text", "t", None)]
+    assert item("<figure><figcaption>Alone</figcaption></figure>") == [("text", "Alone", None)]
+    assert item("<figure><img src=a><figcaption>Never closed") == [("image", "a", "Never closed")]
+    assert item("<figcaption>No figure</figcaption>") == [("text", "No figure", None)]
+    assert item("<figure><img src=a><figure><img src=b><figcaption>In</figcaption></figure><figcaption>Out</figcaption></figure>") == [("image", "a", "Out"), ("image", "b", "In")]
+
+
+def test_interleaved_documents_against_brute_force(spark, docs_of):
+    """Pages of several texts and references in random order: every item keeps its place, and each reference gets its own payload's row."""
+    ship(spark)
+    rng = random.Random(4)
+    store = media.store_texts(docs_of([(i, f"text {i} " * (i + 1)) for i in range(20)]))
+    digest = {r.doc_id: r.digest for r in store.collect()}
+    expected, rows = [], []
+    for page_id in range(30):
+        page = ""
+        for position in range(rng.randrange(9)):
+            if rng.random() < 0.5:
+                page += f"<p>words {position}</p>"
+                expected.append((page_id, position, "text", f"words {position}", None, None))
+            else:
+                i = rng.randrange(25)
+                caption = f"<figcaption>about {i}</figcaption>"
+                before, after = (caption, "") if rng.random() < 0.5 else ("", caption)
+                page += f'<figure>{before}<img src="{media.SCHEME}{digest.get(i, "0" * 64)}">{after}</figure>'
+                payload = media.payload_of(f"text {i} " * (i + 1))[0]
+                expected.append((page_id, position, "image", None, f"about {i}", hashlib.sha256(payload).hexdigest() if i in digest else None))
+        rows.append((page_id, page))
+    got = media.resolve(media.sequences(spark.createDataFrame(rows, "page_id long, html string")), media.index_store(store)).collect()
+    assert sorted((r.page_id, r.position, r.kind, r.text, r.caption, r.payload_sha256) for r in got) == sorted(expected)
+
+
+def test_sequences_of_pages(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    ship(spark)
+    pages = spark.read.parquet(path)
+    rows = media.sequences(pages).collect()
+    assert len(rows) == pages.count() and all([x.position for x in r["items"]] == list(range(len(r["items"]))) for r in rows) and sum(len(r["items"]) for r in rows) > len(rows)
+
+
 def test_sequences_keep_order_and_captions(spark):
     ship(spark)
     a = "a" * 64
