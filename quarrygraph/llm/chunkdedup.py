@@ -166,7 +166,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = stored(plain.join(where, "doc_id"), "texts")
     released(where)
     twice = stored(_windows(texts).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h"), "twice")
-    released()
     hits = _windows(texts).join(twice, "h", "left_semi").select("doc_id", "start")
     order = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") > F.lag("start").over(order) + MIN_WORDS, 1).otherwise(F.when(F.lag("start").over(order).isNull(), 1).otherwise(0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -22,11 +21,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Only where that is unset, as in tests, a local folder is made and set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a local master, as in tests, gets a folder of its own; a cluster is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="quarrygraph-")
         spark.sparkContext.setCheckpointDir(found)
@@ -41,24 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _made:
         atexit.register(_clear)
     _made.append((spark, path))
-    # shuffle files of the plan just run are removed when the driver collects its garbage
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def released(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote and that nothing reads any more, and let the driver's cleaner remove the shuffle files of finished plans."""
+    """Delete tables that stored() wrote and that nothing reads any more. Shuffle files of finished plans go when the driver collects its garbage, which this asks for."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         spark._jvm.System.gc()
-    time.sleep(CLEANER_SECONDS)
-
-
-#: What the cleaner, a thread of its own, is given to act on a collection.
-CLEANER_SECONDS = 1.5
 
 
 def _clear() -> None:
