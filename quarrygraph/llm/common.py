@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarrygraph.runtime import ship as ship
 
 #: Bytes of text that a Python worker hashes at once; a single longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _made: list[tuple[SparkSession, str]] = []
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Bytes of the texts that one table is made of; a longer text makes a slice of its own.
-TABLE_BYTES = 4 << 20
+TABLE_BYTES = 3 << 20
 
 
 @dataclass
