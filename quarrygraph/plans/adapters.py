@@ -1,15 +1,11 @@
 """The canonical relations, derived from order and event tables, so that every operator runs on data of any scale.
 
-Suppliers stand for files, pairs of suppliers in an order for imports, orders for commits, parts for symbols, pages, documents and
-conversations for texts. CTES says the same in SQL.
+Suppliers stand for files, pairs of suppliers in an order for imports (where two lines of an order are of one brand and the later one's supplier is of the customer's nation: the number of
+edges grows with the orders), orders for commits, parts for symbols, pages, documents and conversations for texts. CTES says the same in SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,27 +53,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(outside)
 
 
-#: Whether imports and edges hold every ordered pair; otherwise the most frequent ones, as CTES has them.
-_ALL_PAIRS: ContextVar[bool] = ContextVar("all_pairs", default=False)
-
-
-@contextmanager
-def all_pairs() -> Iterator[None]:
-    """Within it, imports and edges hold every ordered pair of suppliers in an order."""
-    before = _ALL_PAIRS.set(True)
-    try:
-        yield
-    finally:
-        _ALL_PAIRS.reset(before)
-
-
-def _imports(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
+@once
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMPORTS_FROM edges: a supplier imports that of a later line of an order, if both lines' parts are of one brand and the customer is of the latter's nation; and external packages."""
     p = _paths(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    a, b = lines.toDF("o", "s", "x"), lines.toDF("o", "d", "y")
-    pairs = a.join(b, "o").filter("x < y AND s <> d").groupBy("s", "d").agg(F.count("*").alias("n"))
-    best = pairs if most is None else pairs.orderBy(F.col("n").desc(), "s", "d").limit(most)
-    named = best.join(p.select(F.col("k").alias("s"), F.col("path").alias("source")), "s").join(p.select(F.col("k").alias("d"), F.col("path").alias("target")), "d")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    a, b = lines.select("l_orderkey", "l_suppkey", "l_linenumber", "p_brand").toDF("o", "s", "x", "brand"), lines.select("l_orderkey", "l_suppkey", "l_linenumber", "p_brand").toDF("o", "d", "y", "brand")
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("cn")), "c")
+    pairs = a.join(b, ["o", "brand"]).filter("x < y AND s <> d").join(buyers, "o").join(p.select(F.col("k").alias("d"), F.col("nk").alias("cn"), F.col("path").alias("target")), ["d", "cn"])
+    named = pairs.select("s", "d", "target").distinct().join(p.select(F.col("k").alias("s"), F.col("path").alias("source")), "s")
     names = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("sym"), F.col("s") % 7), F.concat(F.lit("sym"), F.col("d") % 5))))
     inside = named.select("source", "target", names.alias("imported_names"))
     outside = p.filter("k % 4 = 0").select(F.col("path").alias("source"), F.concat(F.lit("external:pkg"), F.col("k") % 5).alias("target"), F.array(F.lit("*")).alias("imported_names"))
@@ -85,33 +69,8 @@ def _imports(spark: SparkSession, sf_dir: str, most: int | None) -> DataFrame:
 
 
 @once
-def frequent_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMPORTS_FROM edges: the three times as many most frequent ordered pairs of suppliers in an order as there are suppliers, and external packages."""
-    return _imports(spark, sf_dir, 3 * table(spark, sf_dir, "supplier").count())
-
-
-@once
-def all_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMPORTS_FROM edges: every ordered pair of suppliers in an order, and external packages."""
-    return _imports(spark, sf_dir, None)
-
-
-@once
-def frequent_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tested_by(frequent_imports(spark, sf_dir), nodes(spark, sf_dir))
-
-
-@once
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tested_by(all_imports(spark, sf_dir), nodes(spark, sf_dir))
-
-
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (all_imports if _ALL_PAIRS.get() else frequent_imports)(spark, sf_dir)
-
-
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (all_edges if _ALL_PAIRS.get() else frequent_edges)(spark, sf_dir)
+    return with_tested_by(imports(spark, sf_dir), nodes(spark, sf_dir))
 
 
 @once
@@ -186,12 +145,13 @@ nodes AS (
     (k < {PACKAGE_KEY} AND k % 25 = 1) AS is_entry_point, (k < {PACKAGE_KEY} AND k % 10 = 0) AS is_test, (k % 100) / 10000.0::DOUBLE AS pagerank, (k % 7) / 10.0::DOUBLE AS betweenness, sha256(path) AS content_hash
   FROM file_keys
   UNION ALL SELECT NULL, NULL, 'external:pkg' || i, 'external', 'external', 0, false, false, 0.0, 0.0, '' FROM range(5) t(i)),
-pair_counts AS (
-  SELECT a.l_suppkey AS s, b.l_suppkey AS d, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
-pair_ranks AS (SELECT s, d, row_number() OVER (ORDER BY n DESC, s, d) AS r FROM pair_counts),
+pairs AS (
+  SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey <> b.l_suppkey
+  JOIN part pa ON pa.p_partkey = a.l_partkey JOIN part pb ON pb.p_partkey = b.l_partkey AND pb.p_brand = pa.p_brand
+  JOIN orders ON o_orderkey = a.l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier t ON t.s_suppkey = b.l_suppkey AND t.s_nationkey = c_nationkey),
 import_edges AS (
   SELECT p.path AS source, q.path AS target, list_sort(list_distinct(['sym' || (s % 7), 'sym' || (d % 5)])) AS imported_names, 'IMPORTS_FROM' AS edge_type
-  FROM pair_ranks JOIN paths p ON p.k = s JOIN paths q ON q.k = d WHERE r <= 3 * (SELECT count(*) FROM supplier)
+  FROM pairs JOIN paths p ON p.k = s JOIN paths q ON q.k = d
   UNION ALL SELECT path, 'external:pkg' || (k % 5), ['*'], 'IMPORTS_FROM' FROM paths WHERE k % 4 = 0),
 tested_edges AS (
   SELECT e.target AS source, e.source AS target, e.imported_names, 'TESTED_BY' AS edge_type FROM import_edges e JOIN nodes a ON a.path = e.source AND a.is_test JOIN nodes b ON b.path = e.target AND NOT b.is_test
