@@ -67,13 +67,13 @@ def repeated_words(hashes: Column, window: int = 5) -> Column:
     if window != 5:
         raise ValueError("windows are of five words")
 
-    def windows(h: Column) -> Column:
-        # two words, twice two, and one: each step runs over two arrays side by side
-        n = F.size(h)
-        two = lambda x: F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-        four = lambda x: F.zip_with(F.slice(x, 1, n - 3), F.slice(x, 3, n - 3), lambda a, b: F.xxhash64(a, b))
-        five = lambda x: F.zip_with(F.slice(x, 1, n - 4), F.slice(h, 5, n - 4), lambda a, b: F.xxhash64(a, b))
-        return F.when(n > 4, _let(_let(two(h), four), five)).otherwise(F.array().cast("array<long>"))
+    def beside(x: Column, y: Column, first: int) -> Column:
+        """Hashes of x's elements with those of y, first - 1 places further on."""
+        n = F.size(y) - first + 1
+        return F.zip_with(F.slice(x, 1, n), F.slice(y, first, n), lambda a, b: F.xxhash64(a, b))
+
+    def unless_distinct(x: Column, body) -> Column:
+        return F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(body(x))
 
     def covered(w: Column) -> Column:
         def starts(s: Column) -> Column:
@@ -89,7 +89,12 @@ def repeated_words(hashes: Column, window: int = 5) -> Column:
         order = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return _let(_let(order, starts), length)
 
-    return _let(_let(hashes, windows), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(covered(w)))
+    # Two words, twice two, and one: each step runs over two arrays side by side. Five words found twice have four found twice in them, which few texts have.
+    def five(h: Column) -> Column:
+        longer = lambda four: _let(beside(four, h, 5), lambda w: unless_distinct(w, covered))
+        return _let(_let(beside(h, h, 2), lambda two: beside(two, two, 3)), lambda four: unless_distinct(four, longer))
+
+    return _let(hashes, lambda h: F.when(F.size(h) > 4, five(h)).otherwise(F.lit(0).cast("long")))
 
 
 def base(docs: DataFrame) -> DataFrame:
