@@ -86,7 +86,9 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = No
         out = out.join(found, keys, "left")
     else:
         out = out.withColumn("aliased", F.lit(None).cast("string"))
-    stems = _by_stem(tried.filter("stem is not null").select("path", "stem").distinct(), files).withColumnRenamed("resolved", "by_stem")
+    # only what is still open is looked up by stem: 'index' or 'utils' may name very many files
+    open_stems = out.filter("resolved IS NULL AND aliased IS NULL AND stem IS NOT NULL").select("path", "stem").distinct()
+    stems = _by_stem(open_stems, files).withColumnRenamed("resolved", "by_stem")
     out = out.join(stems, ["path", "stem"], "left")
     external = F.when(open_script, F.concat(F.lit(P.EXTERNAL), "module_path"))
     return out.select("path", "module_path", "imported_names", F.coalesce("resolved", "aliased", "by_stem", external).alias("resolved"))
@@ -109,14 +111,10 @@ def with_tested_by(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("source", "target", "imported_names", "edge_type").unionByName(fresh)
 
 
-def nodes(files: DataFrame, parsed: DataFrame, edges: DataFrame) -> DataFrame:
-    """A node for each file, and for each external package that an edge leads to."""
-    counts = parsed.select("path", F.size("symbols").alias("symbol_count"), (F.size("errors") > 0).alias("has_error"))
-    own = files.select("path", F.lit("file").alias("node_kind"), "language", "is_entry_point", "is_test", "content_hash").join(counts, "path", "left")
-    own = own.select("path", "node_kind", "language", F.coalesce("symbol_count", F.lit(0)).alias("symbol_count"), F.coalesce("has_error", F.lit(False)).alias("has_error"), "is_entry_point", "is_test", "content_hash")
+def external_nodes(edges: DataFrame) -> DataFrame:
+    """A node for each external package that an edge leads to."""
     outside = edges.filter(F.col("target").startswith(P.EXTERNAL)).select(F.col("target").alias("path")).distinct()
-    outside = outside.select("path", F.lit("external").alias("node_kind"), F.lit("external").alias("language"), F.lit(0).alias("symbol_count"), F.lit(False).alias("has_error"), F.lit(False).alias("is_entry_point"), F.lit(False).alias("is_test"), F.lit("").alias("content_hash"))
-    return own.unionByName(outside)
+    return outside.select("path", F.lit("external").alias("node_kind"), F.lit("external").alias("language"), F.lit(False).alias("is_entry_point"), F.lit(False).alias("is_test"), F.lit("").alias("content_hash"), F.lit(0).alias("symbol_count"), F.lit(False).alias("has_error"))
 
 
 def internal(edges: DataFrame) -> DataFrame:

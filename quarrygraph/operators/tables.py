@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors see. Where that is unset, a local master gets a folder of its own; a cluster is refused."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        held = context._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else None
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="quarrygraph-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder in spark.checkpoint.dir: cuts the lineage of an iteration, and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarrygraph-"))
+    """df checkpointed to the shared folder: cuts the lineage of an iteration, and survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

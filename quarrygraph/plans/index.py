@@ -16,6 +16,7 @@ from quarrygraph.operators.tables import pinned
 from quarrygraph.runtime import ship
 from quarrygraph.sources import files as source_files
 from quarrygraph.sources import parser, projects
+from quarrygraph.sources.history import code_files, newest
 from quarrygraph.sources.store import Store
 
 VERSION = "1"
@@ -36,8 +37,12 @@ def parse_changed(store: Store, found: DataFrame) -> tuple[DataFrame, DataFrame,
 
 def build(
     spark: SparkSession, root: str, store: Store, commits: DataFrame | None = None, as_of: datetime | None = None, name: str = "repository", excludes: list[str] | None = None, tsconfig: str | None = None, full: bool = False,
+    tracked: DataFrame | None = None,
 ) -> dict[str, str]:
-    """Index the files under root into store; returns the stored meta values. commits: the relation commits (without it, no history). full: parse everything again."""
+    """Index the files under root into store; returns the stored meta values. commits: the relation commits (without it, no history). full: parse everything again.
+
+    tracked (path): the files that may be co-change partners (by default those that were found). Co-change counts the newest commits of the whole repository.
+    """
     ship(spark)
     as_of = as_of or datetime.now(UTC)
     began = datetime.now(UTC)
@@ -61,16 +66,15 @@ def build(
     file_nodes = found.select("path", F.lit("file").alias("node_kind"), "language", "is_entry_point", "is_test", "content_hash").join(counts, "path", "left")
     plan = projects.framework_of(source_files.read_small(spark, f"{root.rstrip('/')}/package.json"), source_files.read_small(spark, f"{root.rstrip('/')}/pyproject.toml"))
     file_nodes = projects.mark_entries(file_nodes, plan["entry_patterns"])
-    outside = edges.filter(F.col("target").startswith("external:")).select(F.col("target").alias("path")).distinct()
-    external = outside.select("path", F.lit("external").alias("node_kind"), F.lit("external").alias("language"), F.lit(False).alias("is_entry_point"), F.lit(False).alias("is_test"), F.lit("").alias("content_hash"), F.lit(0).alias("symbol_count"), F.lit(False).alias("has_error"))
-    nodes = pinned(file_nodes.unionByName(external).fillna({"symbol_count": 0, "has_error": False}))
+    nodes = pinned(file_nodes.unionByName(resolve.external_nodes(edges)).fillna({"symbol_count": 0, "has_error": False}))
     edges = pinned(resolve.with_tested_by(edges, nodes))
 
     ranks = graph.pagerank(nodes, edges).join(graph.betweenness(nodes, edges), "path")
     members = pinned(communities.detect(nodes, edges))
     nodes = pinned(nodes.join(ranks, "path", "left").join(members, "path", "left").withColumn("indexed_file_at", F.lit(began)))
     file_members = members.filter(~F.col("path").startswith("external:"))
-    git = pinned(history.metadata(history_of(commits, found), as_of)) if commits is not None else spark.createDataFrame([], store.read("git_metadata").schema)
+    partners = found.select("path") if tracked is None else tracked
+    git = pinned(history.metadata(history_of(commits, found), as_of, tracked=partners, together=newest(commits, per_file=False))) if commits is not None else spark.createDataFrame([], store.read("git_metadata").schema)
     traced, traced_members = flows.trace(nodes, edges)
     findings = pinned(deadcode.analyze(nodes, edges, git, as_of).unionByName(deadcode.misplaced(nodes, edges, file_members, git)))
     keyed = symbols.withColumn("doc", F.concat_ws("#", "id", "start_line"))
@@ -91,6 +95,4 @@ def build(
 
 def history_of(commits: DataFrame, found: DataFrame) -> DataFrame:
     """The newest commits of each present code file."""
-    from quarrygraph.sources.history import code_files, newest
-
     return newest(code_files(commits).join(found.select(F.col("path").alias("file_path")), "file_path", "left_semi"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrygraph import params as P
+from quarrygraph.operators.tables import shared_folder
 
 LATE = "2 hours"
 
@@ -66,8 +66,7 @@ def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 
 def run_once(spark: SparkSession, path: str, schema: T.StructType, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A job over what is there now, as a table: the path is a file or a folder of files, read as a stream to its end."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrygraph-")
-    work = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     name = f"activity_{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     is_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
