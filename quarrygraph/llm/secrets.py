@@ -14,7 +14,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -104,7 +104,8 @@ def candidates(text: str | None, path: str | None = None) -> list[Finding]:
     out = []
     for s, e, kind in sorted(spans):
         value = text[s:e] if kind == "block" else text[s:e].rstrip(".-")
-        out.append(Finding(value, text[max(0, s - 48) : s], text[e : e + 24], path or "", kind, s))
+        if value:  # rules of dots or dashes are no candidates
+            out.append(Finding(value, text[max(0, s - 48) : s], text[e : e + 24], path or "", kind, s))
     return out
 
 
@@ -166,6 +167,18 @@ def _dictionary() -> ahocorasick.Automaton:
     return a
 
 
+def _characters(chars: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each character, and its letter: 0 to 25 of a-z, 26 of all others, -1 of what is no letter."""
+    both = [(_class(c), ord(c.lower()) - 97 if c.isascii() and c.isalpha() else 26 if c.isalpha() else -1) for c in chars]
+    kinds, letters = np.array(both).T
+    return kinds, letters
+
+
+@lru_cache(maxsize=1)
+def _ascii() -> tuple[np.ndarray, np.ndarray]:
+    return _characters(map(chr, range(128)))
+
+
 def coverage(text: str) -> float:
     """Share of the characters that the longest dictionary words cover, from the left."""
     return sum(n for _, n in _dictionary().iter_long(text.lower())) / max(1, len(text))
@@ -176,11 +189,15 @@ def features(f: Finding) -> list[float]:
     t = f.text
     n = len(t)
     # what a character is, is found once for each different one
-    each, place, counts = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
-    share = counts / n
-    chars = [chr(c) for c in each.tolist()]
-    kinds = np.array([_class(c) for c in chars])[place]
-    letter = np.array([ord(c.lower()) - 97 if c.isascii() and c.isalpha() else 26 if c.isalpha() else -1 for c in chars])[place]
+    if t.isascii():
+        place, (kind_of, letter_of) = np.frombuffer(t.encode(), np.uint8), _ascii()
+        counts = np.bincount(place, minlength=128)
+    else:
+        each, place, counts = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
+        kind_of, letter_of = _characters(map(chr, each.tolist()))
+    kinds, letter = kind_of[place], letter_of[place]
+    of_kind = (np.bincount(kind_of, counts, 4) / n).tolist()
+    share = counts[counts > 0] / n
     both = (letter[1:] >= 0) & (letter[:-1] >= 0)
     low = t.lower()
     near = _WORD.findall(f.before.lower())[-4:]
@@ -193,12 +210,12 @@ def features(f: Finding) -> list[float]:
         float(_pairs()[letter[:-1][both], letter[1:][both]].sum()) / max(1, int(both.sum())),
         coverage(t),
         float(-(share * np.log2(share)).sum()),
-        float((kinds == 2).mean()),
-        float((kinds == 1).mean()),
-        float((kinds == 3).mean()),
+        of_kind[2],
+        of_kind[1],
+        of_kind[3],
         float(bool(_HEX.fullmatch(t))),
         float(bool(_UUID.search(t))),
-        len(each) / n,
+        len(share) / n,
         float(bool(_KNOWN.match(t)) or f.kind == "block"),
         float(sum(w in FOR for w in near)),
         float(sum(w in AGAINST for w in near + following) + sum(w in low for w in ("example", "changeme", "placeholder", "your", "xxxx", "1234567890", "sha256", "sha512"))),

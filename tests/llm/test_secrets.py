@@ -158,3 +158,9 @@ def test_passwords_in_addresses(docs_of):
     rows = [(0, "DB=postgres://user:hunter2Xq9Lm2@host.org/db next"), (1, "see https://example.com:8080/a@b next"), (2, "mail me at ftp://h.org/x:y now")]
     clean = {r.doc_id: r.text for r in secrets.redact(docs_of(rows)).collect()}
     assert clean == {0: f"DB=postgres://user:{secrets.MASK}@host.org/db next", 1: rows[1][1], 2: rows[2][1]}
+
+
+def test_rules_of_dots_and_dashes_are_no_candidates():
+    forest = secrets.default_forest()
+    for text in ('token: "------"', "password=......", "secret = .-.-.-.-.-.-.-.-.-", "password=...... api_key=-------"):
+        assert secrets.candidates(text) == [] and secrets._found(forest, [text], [None]) == [[]]
