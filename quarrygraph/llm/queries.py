@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrygraph.llm import oracles
 from quarrygraph.llm.common import documents, pages
 from quarrygraph.runtime import shipped
 
@@ -77,9 +78,27 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("places")
 
 
+def op11_urlmarkov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import urlmarkov
+
+    return urlmarkov.judge(pages(spark, sf_dir))
+
+
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import filteraudit
+
+    return filteraudit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrygraph.llm import divergence
+
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: shipped(f) for f in (op1_secrets, op2_htmlcut, op3_chunkdedup, op4_sentencepiece, op5_media, op6_langid, op7_mixing, op8_quality, op9_neardup, op10_licenses)
+    f.__name__: shipped(f) for f in (op1_secrets, op2_htmlcut, op3_chunkdedup, op4_sentencepiece, op5_media, op6_langid, op7_mixing, op8_quality, op9_neardup, op10_licenses, op11_urlmarkov, op12_filteraudit, op13_divergence)
 }
 
-#: No SQL expresses these operators' rows; tests hold them against brute force, exact round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+#: No SQL expresses the other operators' rows; tests hold them against brute force, exact round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {"op12_filteraudit": oracles.AUDIT, "op13_divergence": oracles.DIVERGENCE}
