@@ -33,7 +33,7 @@ MASK = "[SECRET]"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_=.\-]{16,}")
 _NAME = re.compile(r"(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]++)[\"']?[ \t]{0,3}[:=][ \t]{0,3}")
-_NAMES = re.compile(r"passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential", re.IGNORECASE)
+_NAMES = re.compile(r"passw(?:or)?d|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credential|(?:^|[_-])pass(?:$|[_-])", re.IGNORECASE)
 _VALUE = re.compile(r"[\"']([^\s\"',;<>|]++)|((?:[^\s\"',;<>|&]|&(?![\w.\-]+=))++)")
 _USER = re.compile(r"[^\s/:@\"'<>]*+:([^\s/@\"'<>]++)@")
 _MARKER = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
@@ -46,7 +46,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _WORD = re.compile(r"[a-z]+")
 # Words that speak for a secret, and against one.
-FOR = frozenset("token password passwd pwd secret key apikey auth credential credentials bearer private access login".split())
+FOR = frozenset("pass passphrase token password passwd pwd secret key apikey auth credential credentials bearer private access login".split())
 AGAINST = frozenset("example sample dummy placeholder changeme test fake sha sha1 sha256 md5 commit checksum digest hash etag uuid guid id version revision integrity blob url path file".split())
 AGAINST_PATH = frozenset("test tests fixture fixtures example examples docs doc sample samples mock vendor lock".split())
 # A dictionary of words common in names and placeholders.
@@ -184,45 +184,67 @@ def coverage(text: str) -> float:
     return sum(n for _, n in _dictionary().iter_long(text.lower())) / max(1, len(text))
 
 
-def features(f: Finding) -> list[float]:
-    """All features see the whole candidate; neighbouring words are those of the 48 characters before it and the 24 after it."""
-    t = f.text
-    n = len(t)
-    # what a character is, is found once for each different one
-    if t.isascii():
-        place, (kind_of, letter_of) = np.frombuffer(t.encode(), np.uint8), _ascii()
-        counts = np.bincount(place, minlength=128)
-    else:
-        each, place, counts = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
-        kind_of, letter_of = _characters(map(chr, each.tolist()))
-    kinds, letter = kind_of[place], letter_of[place]
-    of_kind = (np.bincount(kind_of, counts, 4) / n).tolist()
-    share = counts[counts > 0] / n
-    both = (letter[1:] >= 0) & (letter[:-1] >= 0)
+def _character_features(texts: list[str]) -> np.ndarray:
+    """Of each text: changes of the class of character, mean logarithm of its pairs of letters, entropy, shares of digits, capitals and other characters, share of different
+    characters. All texts are one array; sums go by the text that a character belongs to."""
+    size = np.array([len(t) for t in texts])
+    point = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), size)
+    kinds, letters = np.empty(len(point), np.int64), np.empty(len(point), np.int64)
+    plain = point < 128
+    kinds[plain], letters[plain] = (x[point[plain]] for x in _ascii())
+    if not plain.all():
+        each, place = np.unique(point[~plain], return_inverse=True)
+        kinds[~plain], letters[~plain] = (x[place] for x in _characters(map(chr, each.tolist())))
+    n = np.maximum(size, 1)
+    of_kind = np.bincount(owner * 4 + kinds, minlength=4 * len(texts)).reshape(-1, 4) / n[:, None]
+    different, count = np.unique(owner << 21 | point, return_counts=True)
+    whose = different >> 21
+    share = count / n[whose]
+    inside = owner[1:] == owner[:-1]
+    changes = np.bincount(owner[1:][inside & (kinds[1:] != kinds[:-1])], minlength=len(texts))
+    pair = inside & (letters[1:] >= 0) & (letters[:-1] >= 0)
+    at = owner[1:][pair]
+    likely = np.bincount(at, _pairs()[letters[:-1][pair], letters[1:][pair]], len(texts)) / np.maximum(1, np.bincount(at, minlength=len(texts)))
+    entropy = np.bincount(whose, -share * np.log2(share), len(texts))
+    return np.column_stack([changes / np.maximum(1, size - 1), likely, entropy, of_kind[:, 2], of_kind[:, 1], of_kind[:, 3], np.bincount(whose, minlength=len(texts)) / n])
+
+
+_MARKS = ("example", "changeme", "placeholder", "your", "xxxx", "1234567890", "sha256", "sha512")
+_ASSIGNED = re.compile(r"[:=][ \t]*[\"']?$")
+
+
+def _value_features(t: str, kind: str) -> tuple[float, ...]:
     low = t.lower()
-    near = _WORD.findall(f.before.lower())[-4:]
-    following = _WORD.findall(f.after.lower())[:2]
+    known = float(bool(_KNOWN.match(t)) or kind == "block")
+    return min(len(t), 2000), coverage(t), float(bool(_HEX.fullmatch(t))), float(bool(_UUID.search(t))), known, float(sum(w in low for w in _MARKS)), (t.count(".") + t.count("/") + t.count("-")) / len(t)
+
+
+def _word_features(before: str, after: str) -> tuple[float, float, float]:
+    near, following = _WORD.findall(before.lower())[-4:], _WORD.findall(after.lower())[:2]
+    return float(sum(w in FOR for w in near)), float(sum(w in AGAINST for w in near + following)), float(bool(_ASSIGNED.search(before)))
+
+
+def _path_feature(path: str) -> float:
     # a name such as api_key counts through its parts
-    path = _WORD.findall(f.path.lower())
-    return [
-        min(n, 2000),
-        float((kinds[1:] != kinds[:-1]).sum()) / max(1, n - 1),
-        float(_pairs()[letter[:-1][both], letter[1:][both]].sum()) / max(1, int(both.sum())),
-        coverage(t),
-        float(-(share * np.log2(share)).sum()),
-        of_kind[2],
-        of_kind[1],
-        of_kind[3],
-        float(bool(_HEX.fullmatch(t))),
-        float(bool(_UUID.search(t))),
-        len(share) / n,
-        float(bool(_KNOWN.match(t)) or f.kind == "block"),
-        float(sum(w in FOR for w in near)),
-        float(sum(w in AGAINST for w in near + following) + sum(w in low for w in ("example", "changeme", "placeholder", "your", "xxxx", "1234567890", "sha256", "sha512"))),
-        float(bool(re.search(r"[:=][ \t]*[\"']?$", f.before))),
-        float(sum(w in AGAINST_PATH for w in path)),
-        float(t.count(".") + t.count("/") + t.count("-")) / n,
-    ]
+    return float(sum(w in AGAINST_PATH for w in _WORD.findall(path.lower())))
+
+
+def _of_each(of, wanted: list[tuple]) -> np.ndarray:
+    """Rows of `of` for the wanted arguments; each different one is computed once."""
+    known = {x: of(*x) for x in dict.fromkeys(wanted)}
+    return np.array([known[x] for x in wanted], float).reshape(len(wanted), -1)
+
+
+def features(findings: list[Finding]) -> np.ndarray:
+    """A row for each finding. All features see the whole candidate; neighbouring words are those of the 48 characters before it and the 24 after it."""
+    shape = _character_features([f.text for f in findings])
+    value = _of_each(_value_features, [(f.text, f.kind) for f in findings])
+    words = _of_each(_word_features, [(f.before, f.after) for f in findings])
+    path = _of_each(_path_feature, [(f.path,) for f in findings])
+    length, covered, hexed, uuid_, known, marks, dots = value.T
+    changes, likely, entropy, digits, capitals, others, variety = shape.T
+    return np.column_stack([length, changes, likely, covered, entropy, digits, capitals, others, hexed, uuid_, variety, known, words[:, 0], words[:, 1] + marks, words[:, 2], path[:, 0], dots])
 
 
 # ---- forest
@@ -283,7 +305,7 @@ def _tree(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
 
 def train(findings: list[Finding], secret: list[bool], seed: int = 7) -> Forest:
     """Grow a forest from labelled findings (a bounded sample)."""
-    x, y = np.array([features(f) for f in findings]), np.array(secret, float)
+    x, y = features(findings), np.array(secret, float)
     rng = np.random.default_rng(seed)
     return Forest(*(list(c) for c in zip(*(_tree(x, y, rng) for _ in range(TREES)), strict=True)))
 
@@ -323,6 +345,11 @@ def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
         after = f"{pick('', chr(34), '.')} {prose(2)}" if after is None else after
         return Finding(value, f"{prose(3)} {lead}", after, pick("src/app.py", "src12", "config/settings.yml", "web", "") if path is None else path, kind)
 
+    def human() -> str:
+        """A password as people make them: words, a number, maybe a sign."""
+        word = pick(*words)
+        return pick(word, word.title(), word + pick(*words).title()) + pick("", "_", "-", "@")[: int(rng.integers(2))] + str(rng.integers(1, 10 ** int(rng.integers(1, 5)))) + pick("", "", "!", "#")
+
     out: list[tuple[Finding, bool]] = []
     for _ in range(n):
         name = pick(*SECRET_NAMES)
@@ -330,6 +357,8 @@ def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
         k = int(rng.integers(20, 65))
         value, kind = [
             (chars(int(rng.choice([32, 40, 48, 64])), "0123456789abcdef"), "named"),
+            (chars(40, "0123456789abcdef"), "named"),
+            (human(), "named"),
             (chars(k), "named"),
             (base64.b64encode(rng.bytes(k)).decode(), "named"),
             (chars(int(rng.integers(10, 18)), alphabet + "!@#$%&*"), "named"),
@@ -339,7 +368,7 @@ def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
             ("xoxb-" + chars(12, "0123456789") + "-" + chars(24), "run"),
             ("eyJ" + chars(30) + "." + chars(60) + "." + chars(43), "run"),
             ("-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(rng.bytes(200)).decode() + "\n-----END RSA PRIVATE KEY-----", "block"),
-        ][rng.integers(10)]
+        ][rng.integers(12)]
         known = bool(_KNOWN.match(value)) or kind == "block"
         lead = pick("", f"{name}{sep}", "use ") if known and rng.random() < 0.5 else f"{name}{sep}"
         if rng.random() < 0.08:
@@ -357,12 +386,14 @@ def generated(n: int = 1400, seed: int = 3) -> tuple[list[Finding], list[bool]]:
             (pick("changeme", "placeholder", "xxxxxxxxxxxx", "1234567890123456", "********", "None", "process.env.TOKEN", "os.environ"), f"{name}{sep}", "named"),
             ("/".join(pick(*words) for _ in range(4)) + f"/{pick(*words)}{rng.integers(99)}.html", pick("", "url: ", "path "), "run"),
             ("-".join(pick(*words) for _ in range(3)) + f"-{rng.integers(9)}.{rng.integers(20)}.{rng.integers(20)}", pick("version ", "", "package "), "run"),
-            ("".join(pick(*words) for _ in range(4)) + str(rng.integers(100)), pick("", f"{name}{sep}"), "run"),
+            ("".join(pick(*words) for _ in range(4)) + str(rng.integers(100)), "", "run"),
+            (pick(*words) + pick("", "_") + pick(*words), f"{name}{sep}", "named"),
+            (human(), pick("", "see ", "version "), "run"),
             (f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(9)}T1{rng.integers(9)}:00:00", pick("date: ", ""), "run"),
             (chars(int(rng.integers(16, 24)), "0123456789"), pick("phone ", "id ", "", "account "), "run"),
             (f"{pick(*words)}.{pick(*words)}{rng.integers(100)}.example.com", pick("mail ", "host "), "run"),
             (hexed, f"{name}{sep}", "named"),
-        ][rng.integers(13)]
+        ][rng.integers(15)]
         fixture = lead.startswith(name) and value == hexed
         out.append((made(value, lead, kind, pick("tests/fixtures/a.json", "docs/example.md") if fixture else None), False))
     return [f for f, _ in out], [s for _, s in out]
@@ -380,18 +411,23 @@ def _found(forest: Forest, texts: list[str | None], paths: list[str | None]) ->
     each = [candidates(t, p) for t, p in zip(texts, paths, strict=True)]
     flat = [f for fs in each for f in fs]
     for i in range(0, len(flat), 4096):
-        for f, s in zip(flat[i : i + 4096], forest.score(np.array([features(f) for f in flat[i : i + 4096]])), strict=True):
+        for f, s in zip(flat[i : i + 4096], forest.score(features(flat[i : i + 4096])), strict=True):
             f.score = float(s)
     return each
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") -> DataFrame:
+def _forest(forest: Forest | None, findings: DataFrame | None) -> Forest:
+    return forest or (default_forest() if findings is None else train(*labelled(findings)))
+
+
+def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", findings: DataFrame | None = None) -> DataFrame:
     """Candidates of every whole text: doc_id, start, n_chars, kind, value_sha256, score, is_secret (score of CONFIRMED or more).
 
     start and n_chars count code points. Null and empty texts have no rows, nor has an empty table; repeated rows give equal rows; a docs without the
     path column, or a null in it, counts as no path; other columns are not read.
+    findings (see labelled): what the forest is trained on, in place of generated findings.
     """
-    held = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+    held = docs.sparkSession.sparkContext.broadcast(_forest(forest, findings))
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,9 +452,12 @@ def redact_text(text: str | None, found: list[Finding]) -> str | None:
     return text
 
 
-def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source") -> DataFrame:
-    """docs, all columns and rows, with every confirmed secret of text replaced by MASK; n_chars, if there and whole-numbered, follows the text."""
-    held = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source", findings: DataFrame | None = None) -> DataFrame:
+    """docs, all columns and rows, with every confirmed secret of text replaced by MASK; n_chars, if there and whole-numbered, follows the text.
+
+    Null and empty texts stay as they are, repeated rows stay repeated, an empty table stays empty; clashing extra columns are kept. findings: as for scan.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_forest(forest, findings))
     names = docs.columns
     text_at = names.index("text")
     path_at = names.index(path) if path in names and isinstance(docs.schema[path].dataType, T.StringType) else None
