@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import stored
 
-#: Buckets of the n-gram multinomials at least; and characters of a word, about, with the space after it.
-BUCKETS, CHARS_PER_WORD = 16384, 6
+#: Buckets of the n-gram multinomials at least and at most (a table of them is broadcast: 64 MB); and characters of a word, about, with the space after it.
+BUCKETS, MOST_BUCKETS, CHARS_PER_WORD = 16384, 1 << 22, 6
 #: Added to each bucket's count, as a share of the mean count. Texts with a lower mean log ratio go.
 SMOOTH, THRESHOLD = 0.01, -0.1
 #: Log ratios are held to this range: it bounds what one n-gram adds to a score.
@@ -45,9 +45,9 @@ def word_hashes(text: Column) -> Column:
 
 
 def buckets(docs: DataFrame) -> int:
-    """The least power of two, BUCKETS or more, that is at least twice the square root of the number of n-grams in docs' texts, as its characters tell it."""
+    """The least power of two, from BUCKETS to MOST_BUCKETS, that is at least twice the square root of the number of n-grams in docs' texts, as its characters tell it."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(BUCKETS, 1 << math.ceil(math.log2(max(1.0, 2 * math.sqrt(2 * chars / CHARS_PER_WORD)))))
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << math.ceil(math.log2(max(1.0, 2 * math.sqrt(2 * chars / CHARS_PER_WORD))))))
 
 
 def grams(hashes: Column, n_buckets: int = BUCKETS) -> Column:
@@ -98,12 +98,12 @@ def repeated_words(hashes: Column, window: int = 5) -> Column:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text with the base counts and the word hashes."""
+    """docs' doc_id (and row, if there) with the base counts and the word hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_SPACES)) != "")
     drop = lambda chars: F.length(_with_each(text, chars, ""))
     return docs.select(
-        "doc_id",
+        *(c for c in ("row", "doc_id") if c in docs.columns),
         F.size("h").cast("long").alias("n_words"),
         drop(_SPACES).cast("long").alias("word_chars"),
         (F.length(text) - drop("#*$%&|<>")).cast("long").alias("n_symbols"),
@@ -127,21 +127,17 @@ def multinomials(docs: DataFrame, trusted: DataFrame, n_buckets: int = BUCKETS)
 
 
 def ratios(counts: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
-    """One row, one array of n_buckets doubles: log(trusted / raw) of each bucket, within CLIP."""
-    spark = counts.sparkSession
-    all_buckets = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
-    filled = all_buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).cast("double").alias("raw"), F.coalesce("trusted", F.lit(0)).cast("double").alias("trusted"))
-    rows = filled.agg(F.sum("raw").alias("n_raw"), F.sum("trusted").alias("n_trusted"), F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("c"))
+    """bucket, ratio: log(trusted / raw) of each bucket that has n-grams, within CLIP; 0 without any trusted one."""
+    total = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n_raw"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("n_trusted")).first()
 
-    def log_share(x: Column, total: Column) -> Column:
-        add = F.greatest(total, F.lit(1.0)) / n_buckets * SMOOTH
-        return F.log((x + add) / (total + add * n_buckets))
+    def log_share(x: Column, total: int) -> Column:
+        add = max(total, 1) / n_buckets * SMOOTH
+        return F.log((x + F.lit(add)) / F.lit(total + add * n_buckets))
 
-    def one(c: Column) -> Column:
-        r = log_share(c["trusted"], F.col("n_trusted")) - log_share(c["raw"], F.col("n_raw"))
-        return F.when(F.col("n_trusted") > 0, F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), r))).otherwise(0.0)
-
-    return rows.select(F.transform("c", one).alias("ratio"))
+    if not total["n_trusted"]:
+        return counts.select("bucket", F.lit(0.0).alias("ratio"))
+    ratio = log_share(F.col("trusted").cast("double"), total["n_trusted"]) - log_share(F.col("raw").cast("double"), total["n_raw"])
+    return counts.select("bucket", F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), ratio)).alias("ratio"))
 
 
 def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,18 +146,17 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     Words are runs of characters other than 9-13 and 32. base_failed: fewer than 10 words, or more than a fifth of them in repeated windows of
     5 words. score: mean log ratio of the text's words and pairs (0 without any). kept: not base_failed, and score >= threshold. Null text
     counts as empty; without any trusted document every score is 0; repeated rows give equal rows; an empty table none; other columns aren't read.
+
+    The n-grams of a text meet the ratios, a broadcast table of at most MOST_BUCKETS rows, one by one; they are summed in the task that has the text, so one row of a text is shuffled.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = buckets(plain)
-    table = stored(ratios(multinomials(plain, trusted, n_buckets), n_buckets), "ratios")
-    # one row, 8 bytes for each bucket (2 MB at 30 GB of texts): a literal array for each task
-    ratio = table.first()["ratio"]
-    values = F.lit(ratio) if ratio else F.array().cast("array<double>")
-
-    def score(g: Column) -> Column:
-        return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(values, x)) / F.size(g)).otherwise(0.0)
-
-    out = base(plain.withColumn("h", word_hashes(F.col("text")))).withColumn("score", F.round(_let(grams(F.col("h"), n_buckets), score), 9)).drop("h")
+    counts = stored(multinomials(plain, trusted, n_buckets), "counts")
+    table = ratios(counts, n_buckets)
+    read = base(plain.withColumn("row", F.monotonically_increasing_id()).withColumn("h", word_hashes(F.col("text"))))
+    names = [c for c in read.columns if c != "h"]
+    each = read.select(*names, F.explode_outer(grams(F.col("h"), n_buckets)).alias("bucket")).join(F.broadcast(table), "bucket", "left")
+    out = each.groupBy(*names).agg(F.round(F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)), 9).alias("score")).drop("row")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
