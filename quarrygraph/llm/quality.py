@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import stored
 
-#: Buckets of the n-gram multinomials at least and at most (a table of them is broadcast: 64 MB); and characters of a word, about, with the space after it.
-BUCKETS, MOST_BUCKETS, CHARS_PER_WORD = 16384, 1 << 22, 6
+#: Buckets of the n-gram multinomials at least and at most; and characters of a word, about, with the space after it.
+BUCKETS, MOST_BUCKETS, CHARS_PER_WORD = 16384, 1 << 18, 6
 #: Added to each bucket's count, as a share of the mean count. Texts with a lower mean log ratio go.
 SMOOTH, THRESHOLD = 0.01, -0.1
 #: Log ratios are held to this range: it bounds what one n-gram adds to a score.
@@ -98,12 +98,12 @@ def repeated_words(hashes: Column, window: int = 5) -> Column:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """docs' doc_id (and row, if there) with the base counts and the word hashes."""
+    """docs' doc_id with the base counts and the word hashes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_SPACES)) != "")
     drop = lambda chars: F.length(_with_each(text, chars, ""))
     return docs.select(
-        *(c for c in ("row", "doc_id") if c in docs.columns),
+        "doc_id",
         F.size("h").cast("long").alias("n_words"),
         drop(_SPACES).cast("long").alias("word_chars"),
         (F.length(text) - drop("#*$%&|<>")).cast("long").alias("n_symbols"),
@@ -147,20 +147,27 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     5 words. score: mean log ratio of the text's words and pairs (0 without any). kept: not base_failed, and score >= threshold. Null text
     counts as empty; without any trusted document every score is 0; repeated rows give equal rows; an empty table none; other columns aren't read.
 
-    The n-grams of a text meet the ratios, a broadcast table of at most MOST_BUCKETS rows, one by one; they are summed in the task that has the text, so one row of a text is shuffled.
+    The ratios, at most MOST_BUCKETS numbers, go to the tasks as one array.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_buckets = buckets(plain)
     counts = stored(multinomials(plain, trusted, n_buckets), "counts")
-    table = ratios(counts, n_buckets)
-    read = base(plain.withColumn("row", F.monotonically_increasing_id()).withColumn("h", word_hashes(F.col("text"))))
-    names = [c for c in read.columns if c != "h"]
-    each = read.select(*names, F.explode_outer(grams(F.col("h"), n_buckets)).alias("bucket")).join(F.broadcast(table), "bucket", "left")
-    out = each.groupBy(*names).agg(F.round(F.coalesce(F.sum("ratio") / F.count("bucket"), F.lit(0.0)), 9).alias("score")).drop("row")
+    values = constant(ratios(counts, n_buckets), n_buckets)
+
+    def score(g: Column) -> Column:
+        return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(values, x)) / F.size(g)).otherwise(0.0)
+
+    out = base(plain.withColumn("h", word_hashes(F.col("text")))).withColumn("score", F.round(_let(grams(F.col("h"), n_buckets), score), 9)).drop("h")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
+def constant(table: DataFrame, n_buckets: int) -> Column:
+    """An array of the ratios of a table (bucket, ratio), 0 where a bucket has none: one text that the optimiser turns into an array once, not an expression for each number."""
+    given = {r["bucket"]: r["ratio"] for r in table.collect()}
+    return F.split(F.lit(",".join(repr(given.get(i, 0.0)) for i in range(n_buckets))), ",").cast("array<double>")
+
+
 def trusted_documents(labels: DataFrame) -> DataFrame:
     """Documents whose quality label is 1."""
     return labels.filter("quality = 1").select("doc_id")
