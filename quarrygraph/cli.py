@@ -6,8 +6,6 @@ import argparse
 import json
 import os
 import sys
-import tempfile
-import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +14,6 @@ from pyspark.sql import functions as F
 from quarrygraph import params as P
 from quarrygraph import render
 from quarrygraph.operators import communities, deadcode, flows, graph, impact, refactor, search
-from quarrygraph.operators.tables import shared_folder
 from quarrygraph.plans import index
 from quarrygraph.sources import history
 from quarrygraph.sources.store import Store
@@ -106,16 +103,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def init(spark: SparkSession, store: Store, root: str, a: argparse.Namespace) -> dict[str, str]:
-    commits = tracked = None
-    if history.top_level(root):
-        # git writes where the driver is; executors read from the shared folder
-        with tempfile.TemporaryDirectory(prefix="quarrygraph-") as here:
-            local = history.write_log(root, os.path.join(here, "log.txt"))
-            path = spark._jvm.org.apache.hadoop.fs.Path
-            log = path(f"{shared_folder(spark)}/logs/{uuid.uuid4().hex}.txt")
-            log.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(path(f"file://{local}"), log)
-        commits, tracked = history.read_log(spark, log.toString()), history.tracked(spark, root)
-    return index.build(spark, root, store, commits, tracked=tracked, name=history.repository_name(root), excludes=a.exclude, tsconfig=a.tsconfig, full=a.full)
+    log = history.GitLog(spark, root) if history.top_level(root) else None
+    return index.build(spark, root, store, log=log, name=history.repository_name(root), excludes=a.exclude, tsconfig=a.tsconfig, full=a.full)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -177,7 +166,7 @@ def main(argv: list[str] | None = None) -> int:
         show(out.orderBy(F.col("risk_score").desc(), "path"), as_json)
         show(impact.summary(out), as_json)
     elif a.command == "search":
-        show(search.search(read("symbols"), a.query, a.limit, a.kind, read("postings")), as_json)
+        show(search.search(read("symbols"), a.query, a.limit, a.kind, store), as_json)
     elif a.aid == "large":
         show(refactor.large_functions(read("symbols"), a.threshold).orderBy(F.col("line_count").desc(), "file_path", "start_line"), as_json)
     elif a.aid == "moves":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph import params as P
 from quarrygraph.functions import paths
-from quarrygraph.operators.graph import reach
+from quarrygraph.operators.graph import reach_sets
 from quarrygraph.operators.impact import security_sensitive
 from quarrygraph.operators.tables import pinned
 
@@ -22,10 +22,9 @@ def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def members(nodes: DataFrame, edges: DataFrame, max_depth: int = P.FLOW_DEPTH) -> DataFrame:
-    """entry_point, path, depth: what each entry point reaches through imports among files, itself at 0. All entry points are one traversal."""
+    """entry_point, path, depth: what each entry point reaches through imports among files, itself at 0. All entry points are one traversal, with bitmaps of entry points at the nodes."""
     imports = edges.filter((F.col("edge_type") == P.IMPORTS) & ~F.col("target").startswith(P.EXTERNAL))
-    starts = entry_points(nodes, edges).select(F.col("path").alias("seed"), F.col("path").alias("node"))
-    return reach(imports, starts, max_depth).select(F.col("seed").alias("entry_point"), F.col("node").alias("path"), "depth")
+    return reach_sets(imports, entry_points(nodes, edges), max_depth).select(F.col("seed").alias("entry_point"), F.col("node").alias("path"), "depth")
 
 
 def score(reached: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph import params as P
-from quarrygraph.operators.tables import pinned
+from quarrygraph.operators.tables import numbered, pinned
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -44,6 +44,46 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     return visited
 
 
+#: Seeds of one long word of a bitmap.
+WORD = 64
+
+
+def reach_sets(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """What reach gives, for many seeds at once: seeds (path) -> seed, node, depth.
+
+    A node holds the set of seeds that have reached it as bits of long words, one row for each word that has a bit: a round sends words along the edges, joins those that meet at
+    a node by a bitwise or, and goes on with the bits that are new there. So an edge carries 64 seeds at a time, and nodes and seeds are numbers; paths return at the end.
+    """
+    steps = edges.select("source", "target").distinct()
+    names = steps.select(F.col("source").alias("path")).unionByName(steps.select(F.col("target").alias("path"))).unionByName(seeds.select("path")).distinct()
+    ids = numbered(names, "id")
+    by = lambda c, to: ids.select(F.col("path").alias(c), F.col("id").alias(to))
+    steps = pinned(steps.join(by("source", "a"), "source").join(by("target", "b"), "target").select("a", "b"))
+    starts = numbered(seeds.select("path").distinct(), "seed").join(ids, "path")
+    starts = pinned(starts.select(F.col("path").alias("seed_path"), "seed", F.col("id").alias("node")))
+    bit = F.expr(f"shiftleft(1L, cast(seed % {WORD} AS int))")
+    state = pinned(starts.select("node", F.floor(F.col("seed") / WORD).alias("word"), bit.alias("bits")).select("*", F.col("bits").alias("fresh")))
+    rounds, depth = [state.filter("fresh <> 0").withColumn("depth", F.lit(0))], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        sent = state.filter("fresh <> 0").select(F.col("node").alias("a"), "word", "fresh").join(steps, "a")
+        met = sent.groupBy(F.col("b").alias("node"), "word").agg(F.bit_or("fresh").alias("got"))
+        both = state.select("node", "word", F.col("bits").alias("had")).join(met, ["node", "word"], "full_outer")
+        had, got = F.coalesce("had", F.lit(0).cast("long")), F.coalesce("got", F.lit(0).cast("long"))
+        state = pinned(both.select("node", "word", had.bitwiseOR(got).alias("bits"), got.bitwiseAND(F.bitwise_not(had)).alias("fresh")))
+        fresh = state.filter("fresh <> 0")
+        if fresh.isEmpty():
+            break
+        rounds.append(fresh.withColumn("depth", F.lit(depth)))
+    found = rounds[0]
+    for r in rounds[1:]:
+        found = found.unionByName(r)
+    places = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.call_function("shiftrightunsigned", F.col("fresh"), i).bitwiseAND(1) == 1)
+    each = found.select("node", "depth", "word", F.explode(places).alias("place")).select("node", "depth", (F.col("word") * WORD + F.col("place")).alias("seed"))
+    named = each.join(starts.select("seed", "seed_path"), "seed").join(ids.select(F.col("id").alias("node"), F.col("path").alias("node_path")), "node")
+    return named.select(F.col("seed_path").alias("seed"), F.col("node_path").alias("node"), "depth")
+
+
 def k_hops(edges: DataFrame, seeds: DataFrame, max_depth: int = P.IMPACT_DEPTH) -> DataFrame:
     """seeds (path) -> path, depth: files within max_depth forward or backward of any seed (directions aren't mixed), the seeds left out."""
     # both directions, and all seeds of each, are one traversal of an edge list with two kinds of nodes
@@ -56,9 +96,17 @@ def k_hops(edges: DataFrame, seeds: DataFrame, max_depth: int = P.IMPACT_DEPTH)
 
 
 def dependents(edges: DataFrame, changed: DataFrame, hops: int = 2) -> DataFrame:
-    """path of the files that lead to a changed path within so many hops; the changed ones are left out."""
-    start = changed.select(F.lit("c").alias("seed"), F.col("path").alias("node"))
-    return reach(reversed_edges(edges), start, hops).filter("depth > 0").select(F.col("node").alias("path")).distinct()
+    """path of the files that lead to a changed path within so many hops; the changed ones are left out. The few hops are one plan, without a checkpoint between them."""
+    back = edges.select(F.col("target").alias("path"), F.col("source").alias("next")).distinct()
+    frontier = changed.select("path").distinct()
+    found = []
+    for _ in range(hops):
+        frontier = frontier.join(back, "path").select(F.col("next").alias("path")).distinct()
+        found.append(frontier)
+    together = found[0]
+    for f in found[1:]:
+        together = together.unionByName(f)
+    return together.distinct().join(changed.select("path"), "path", "left_anti")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | None = None) -> DataFrame:
@@ -79,9 +127,11 @@ def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int | N
     return visited.filter(F.col("node") == target).select((F.size("path") - 1).alias("hops"), "path")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA, rounds: int = P.PAGERANK_ROUNDS, tolerance: float | None = P.PAGERANK_TOLERANCE) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA, rounds: int = P.PAGERANK_ROUNDS, tolerance: float | None = P.PAGERANK_TOLERANCE, start: DataFrame | None = None) -> DataFrame:
     """path, pagerank: power iteration with uniform teleport, dangling mass spread evenly, until the L1 change is below n * tolerance.
 
+    start (path, pagerank): ranks of a graph nearly the same, to begin from; it changes the number of rounds, and the ranks within the tolerance.
+
     tolerance None: exactly so many rounds. If the rounds don't suffice, every node gets 1 / n. A graph of at most TASK_EDGES edges and nodes is one
     task. Beyond that the edge table is partitioned by source once, and each round is a join and an aggregation; the dangling mass is one
     number, fetched with the change.
@@ -90,12 +140,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA
     if n == 0:
         return nodes.select("path", F.lit(0.0).alias("pagerank"))
     out = edges.select("source", "target").distinct()
+    known = nodes.select("path").join(start.select("path", F.col("pagerank").alias("start")), "path", "left") if start is not None else nodes.select("path", F.lit(None).cast("double").alias("start"))
+    known = known.select("path", F.coalesce("start", F.lit(1.0 / n)).alias("start"))
     if n <= TASK_EDGES and out.count() <= TASK_EDGES:
-        return in_one_task(nodes, out, lambda names, pairs: pagerank_kernel(names, pairs, alpha, rounds, tolerance), "path string, pagerank double", ["path", "pagerank"])
+        return in_one_task(known, out, lambda names, pairs, begin: pagerank_kernel(names, pairs, alpha, rounds, tolerance, begin), "path string, pagerank double", ["path", "pagerank"], "start")
     weighted = pinned(out.join(out.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", (1.0 / F.col("out")).alias("w")))
     dangling = nodes.select("path").join(out.select(F.col("source").alias("path")).distinct(), "path", "left_anti").withColumn("dangles", F.lit(True))
     base = nodes.select("path").distinct().join(dangling, "path", "left").select("path", F.coalesce("dangles", F.lit(False)).alias("dangles"))
-    rank = pinned(base.withColumn("pagerank", F.lit(1.0 / n)))
+    mass = known.agg(F.sum("start")).first()[0]
+    rank = pinned(base.join(known, "path").select("path", "dangles", (F.col("start") / F.lit(mass)).alias("pagerank")))
     lost = rank.filter("dangles").agg(F.sum("pagerank")).first()[0] or 0.0
     for _ in range(rounds):
         sent = weighted.join(rank.select(F.col("path").alias("source"), "pagerank"), "source").groupBy(F.col("target").alias("path")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
@@ -114,25 +167,28 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA
 TASK_EDGES = 1_000_000
 
 
-def in_one_task(nodes: DataFrame, edges: DataFrame, kernel: Callable, schema: str, columns: list[str]) -> DataFrame:
-    """kernel(names, pairs) -> a column of values for the names, over a graph whose size the caller has checked."""
-    rows = nodes.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("b")).distinct().unionByName(edges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+def in_one_task(nodes: DataFrame, edges: DataFrame, kernel: Callable, schema: str, columns: list[str], value: str | None = None) -> DataFrame:
+    """kernel(names, pairs) -> a column of values for the names, over a graph whose size the caller has checked. value: a column of nodes that the kernel gets too, in the order of the names."""
+    given = F.lit(None).cast("double") if value is None else F.col(value).cast("double")
+    rows = nodes.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("b"), given.alias("v")).dropDuplicates(["a"])
+    rows = rows.unionByName(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(None).cast("double").alias("v")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         alone = pdf["b"].isna()
         names = sorted(pdf.loc[alone, "a"])
         index = {x: i for i, x in enumerate(names)}
         pairs = np.array([(index[a], index[b]) for a, b in zip(pdf.loc[~alone, "a"], pdf.loc[~alone, "b"], strict=True) if a in index and b in index], np.int64).reshape(-1, 2)
-        return pd.DataFrame({columns[0]: names, columns[1]: kernel(names, pairs)})
+        more = () if value is None else (pdf.loc[alone].set_index("a")["v"].reindex(names).to_numpy(),)
+        return pd.DataFrame({columns[0]: names, columns[1]: kernel(names, pairs, *more)})
 
     return rows.groupBy(F.lit(0).alias("one")).applyInPandas(run, schema)
 
 
-def pagerank_kernel(names: list[str], pairs: np.ndarray, alpha: float, rounds: int, tolerance: float | None) -> np.ndarray:
+def pagerank_kernel(names: list[str], pairs: np.ndarray, alpha: float, rounds: int, tolerance: float | None, begin: np.ndarray | None = None) -> np.ndarray:
     """Power iteration over an edge array without repeats."""
     n = len(names)
     out = np.bincount(pairs[:, 0], minlength=n)
-    rank = np.full(n, 1.0 / n)
+    rank = np.full(n, 1.0 / n) if begin is None else begin / begin.sum()
     for _ in range(rounds):
         share = np.divide(rank, out, out=np.zeros(n), where=out > 0)
         fresh = alpha * (np.bincount(pairs[:, 1], weights=share[pairs[:, 0]], minlength=n) + rank[out == 0].sum() / n) + (1 - alpha) / n

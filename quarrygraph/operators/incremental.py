@@ -16,11 +16,16 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", kind.alias("change_type")).filter("change_type is not null")
 
 
+def near(edges: DataFrame, changed: DataFrame, present: DataFrame, hops: int = 2) -> DataFrame:
+    """path, change_type (dependent) of the present files (path) that lead to a changed one within so many hops."""
+    found = dependents(edges, changed, hops).join(present.select("path"), "path", "left_semi").join(changed.select("path"), "path", "left_anti")
+    return found.select("path", F.lit("dependent").alias("change_type"))
+
+
 def changes(old: DataFrame, new: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """diff, and the present files that lead to a changed one within so many hops, as dependent."""
     changed = diff(old, new)
-    near = dependents(edges, changed, hops).join(new.select("path"), "path", "left_semi").join(changed.select("path"), "path", "left_anti")
-    return changed.unionByName(near.select("path", F.lit("dependent").alias("change_type")))
+    return changed.unionByName(near(edges, changed, new, hops))
 
 
 def latest_wins(table: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

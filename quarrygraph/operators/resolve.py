@@ -42,18 +42,27 @@ def candidates(imports: DataFrame) -> DataFrame:
     return imports.filter(F.length("module_path") > 0).select("path", "language", "module_path", "imported_names", found.alias("candidates"), F.lower(last).alias("stem"))
 
 
-def _first_existing(tried: DataFrame, files: DataFrame) -> DataFrame:
+#: Imports whose side of a join may be broadcast.
+FEW = 10_000
+
+
+def _first_existing(tried: DataFrame, files: DataFrame, few: bool = False) -> DataFrame:
     """(path, module_path, language) -> resolved: the existing candidate of least rank."""
-    ranked = tried.select("path", "module_path", "language", F.posexplode("candidates").alias("rank", "candidate"))
+    ranked = _maybe(tried.select("path", "module_path", "language", F.posexplode("candidates").alias("rank", "candidate")), few)
     hit = ranked.join(files.select(F.col("path").alias("candidate")), "candidate")
     return hit.groupBy("path", "module_path", "language").agg(F.min_by("candidate", "rank").alias("resolved"))
 
 
-def _by_stem(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def _maybe(df: DataFrame, few: bool) -> DataFrame:
+    """df, to be broadcast if it is known to come from FEW imports."""
+    return F.broadcast(df) if few else df
+
+
+def _by_stem(wanted: DataFrame, files: DataFrame, few: bool = False) -> DataFrame:
     """(path, stem) -> resolved: of the files with that stem the one that shares most path parts, place by place, with the importer; then the least path."""
     stems = files.select(F.col("path").alias("candidate"), F.lower(paths.stem(F.col("path"))).alias("stem"))
     same = F.size(F.filter(F.zip_with(F.split("path", "/"), F.split("candidate", "/"), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-    scored = wanted.join(stems, "stem").select("path", "stem", "candidate", same.alias("shared"))
+    scored = _maybe(wanted, few).join(stems, "stem").select("path", "stem", "candidate", same.alias("shared"))
     return scored.groupBy("path", "stem").agg(F.min_by("candidate", F.struct(-F.col("shared"), "candidate")).alias("resolved"))
 
 
@@ -75,21 +84,24 @@ def _by_alias(wanted: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFr
     return hit.groupBy("path", "module_path", "language").agg(F.min_by("candidate", F.struct(-F.col("n"), "rank", "candidate")).alias("resolved"))
 
 
-def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """imports -> path, module_path, imported_names, resolved: a file, 'external:<module>' for other packages of scripts, or null."""
+def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """imports -> path, module_path, imported_names, resolved: a file, 'external:<module>' for other packages of scripts, or null.
+
+    few: the caller has counted at most FEW imports, so that they, and not the files, go to every task.
+    """
     tried = candidates(imports)
     keys = ["path", "module_path", "language"]
-    out = tried.join(_first_existing(tried, files), keys, "left")
+    out = tried.join(_maybe(_first_existing(tried, files, few), few), keys, "left")
     open_script = F.col("language").isin("typescript", "javascript") & ~F.col("module_path").startswith(".")
     if aliases is not None:
         found = _by_alias(tried.filter(open_script), aliases, files).withColumnRenamed("resolved", "aliased")
-        out = out.join(found, keys, "left")
+        out = out.join(_maybe(found, few), keys, "left")
     else:
         out = out.withColumn("aliased", F.lit(None).cast("string"))
     # only what is still open is looked up by stem: 'index' or 'utils' may name very many files
     open_stems = out.filter("resolved IS NULL AND aliased IS NULL AND stem IS NOT NULL").select("path", "stem").distinct()
-    stems = _by_stem(open_stems, files).withColumnRenamed("resolved", "by_stem")
-    out = out.join(stems, ["path", "stem"], "left")
+    stems = _by_stem(open_stems, files, few).withColumnRenamed("resolved", "by_stem")
+    out = out.join(_maybe(stems, few), ["path", "stem"], "left")
     external = F.when(open_script, F.concat(F.lit(P.EXTERNAL), "module_path"))
     return out.select("path", "module_path", "imported_names", F.coalesce("resolved", "aliased", "by_stem", external).alias("resolved"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from quarrygraph import params as P
 from quarrygraph.functions.stem import stem
 
+if TYPE_CHECKING:
+    from quarrygraph.sources.store import Store
+
 COLUMNS = ("qualified_name", "name", "kind", "path", "signature")
 
 
@@ -47,6 +51,19 @@ def postings(docs: DataFrame, key: str, columns: tuple[str, ...], stemmed: bool
     return counted.join(_stems(counted), "term").groupBy(F.col("stem").alias("term"), "doc").agg(F.sum("tf").alias("tf"))
 
 
+def indexed(symbols: DataFrame) -> DataFrame:
+    """The relation postings of symbols: term, doc, tf, dl (words of the doc) and path. A document's length stands in each of its postings, so that a query reads those of its terms only."""
+    keyed = symbols.withColumn("doc", F.concat_ws("#", "id", "start_line"))
+    words = keyed.select("doc", "path", F.size(tokens(F.concat_ws(" ", *COLUMNS))).cast("long").alias("dl")).groupBy("doc").agg(F.sum("dl").alias("dl"), F.min("path").alias("path"))
+    return postings(keyed, "doc", COLUMNS).join(words, "doc").select("term", "doc", "tf", "dl", "path")
+
+
+def statistics(index: DataFrame, symbols: DataFrame) -> dict[str, int]:
+    """search_docs and search_words, which ranking needs of all documents: kept with the index."""
+    got = index.agg(F.sum("tf").alias("n")).crossJoin(symbols.agg(F.count("*").alias("docs"))).first()
+    return {"search_docs": got["docs"], "search_words": got["n"] or 0}
+
+
 def lengths(index: DataFrame) -> DataFrame:
     """doc, dl: words of each document."""
     return index.groupBy("doc").agg(F.sum("tf").alias("dl"))
@@ -55,9 +72,13 @@ def lengths(index: DataFrame) -> DataFrame:
 def rank(index: DataFrame, docs: DataFrame, key: str, terms: list[str]) -> DataFrame:
     """doc, rank of the documents that hold every term; lower is better. All documents, also empty ones, count for the statistics."""
     stats = docs.agg(F.count("*").alias("n_docs")).first()
-    n_docs = stats["n_docs"] or 0
     length = lengths(index)
     total = length.agg(F.sum("dl")).first()[0] or 0
+    return score(index.join(length, "doc"), terms, stats["n_docs"] or 0, total)
+
+
+def score(index: DataFrame, terms: list[str], n_docs: int, total: int) -> DataFrame:
+    """doc, rank from postings with dl, of n_docs documents with total words; lower is better. Only postings of the terms are looked at."""
     if not terms or not n_docs:
         return index.select("doc", F.lit(0.0).alias("rank")).limit(0)
     mean = total / n_docs
@@ -68,7 +89,7 @@ def rank(index: DataFrame, docs: DataFrame, key: str, terms: list[str]) -> DataF
         idf = F.when(F.col("term") == t, F.greatest(F.log(F.lit((n_docs - found.get(t, 0) + 0.5) / (found.get(t, 0) + 0.5))), F.lit(P.BM25_LEAST_IDF))).otherwise(idf)
     k1, b = P.BM25_K1, P.BM25_B
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(mean)))
-    scored = hits.join(length, "doc").groupBy("doc").agg((-F.sum(part)).alias("rank"), F.count("*").alias("matched"))
+    scored = hits.groupBy("doc").agg((-F.sum(part)).alias("rank"), F.count("*").alias("matched"))
     return scored.filter(F.col("matched") == len(terms)).select("doc", "rank")
 
 
@@ -81,15 +102,25 @@ def boost(query: str) -> Column:
     return F.lit(1.0)
 
 
-def search(symbols: DataFrame, query: str, limit: int = 20, kind: str | None = None, index: DataFrame | None = None) -> DataFrame:
+def search(symbols: DataFrame, query: str, limit: int = 20, kind: str | None = None, store: Store | None = None) -> DataFrame:
     """qualified_name, name, kind, path, signature, rank of the best symbols, best first.
 
-    Of a kind, three times the limit is fetched before the filter; boosts apply to what was fetched.
+    Of a kind, three times the limit is fetched before the filter; boosts apply to what was fetched. With a store, its postings are read, only the buckets and row groups of the
+    query's terms, and then the symbols of the files of what was fetched (a few paths); without one, postings are made of symbols.
     """
-    keyed = symbols.withColumn("doc", F.concat_ws("#", "id", "start_line"))
-    index = postings(keyed, "doc", COLUMNS) if index is None else index
-    fetched = rank(index, keyed, "doc", query_terms(query)).orderBy("rank", "doc").limit(limit * 3 if kind else limit)
-    rows = keyed.join(fetched, "doc")
+    terms, most = query_terms(query), limit * 3 if kind else limit
+    if store is None:
+        keyed = symbols.withColumn("doc", F.concat_ws("#", "id", "start_line"))
+        fetched = rank(postings(keyed, "doc", COLUMNS), keyed, "doc", terms).orderBy("rank", "doc").limit(most)
+    else:
+        meta = store.meta()
+        index = store.read_keys("postings", terms)
+        best = score(index, terms, int(meta.get("search_docs", 0)), int(meta.get("search_words", 0))).orderBy("rank", "doc").limit(most)
+        rows = best.collect()
+        fetched = symbols.sparkSession.createDataFrame(rows, best.schema)
+        files = sorted({r["doc"].split("::", 1)[0] for r in rows})
+        keyed = store.read_keys("symbols", files).withColumn("doc", F.concat_ws("#", "id", "start_line"))
+    rows = keyed.join(F.broadcast(fetched), "doc")
     if kind:
         rows = rows.filter(F.col("kind") == kind)
     return rows.withColumn("rank", F.col("rank") * boost(query)).orderBy("rank", "doc").limit(limit).select("qualified_name", "name", "kind", "path", "signature", "rank")

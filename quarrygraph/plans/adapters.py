@@ -6,6 +6,10 @@ edges grows with the orders), orders for commits, parts for symbols, pages, docu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,15 +57,33 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(outside)
 
 
-@once
+_every_pair: ContextVar[bool] = ContextVar("every_pair", default=False)
+
+
+@contextmanager
+def all_pairs() -> Iterator[None]:
+    """Inside, imports and edges are those of every ordered pair of suppliers in an order."""
+    token = _every_pair.set(True)
+    try:
+        yield
+    finally:
+        _every_pair.reset(token)
+
+
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IMPORTS_FROM edges: a supplier imports that of a later line of an order, if both lines' parts are of one brand and the customer is of the latter's nation; and external packages."""
-    p = _paths(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    a, b = lines.select("l_orderkey", "l_suppkey", "l_linenumber", "p_brand").toDF("o", "s", "x", "brand"), lines.select("l_orderkey", "l_suppkey", "l_linenumber", "p_brand").toDF("o", "d", "y", "brand")
-    buyers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("cn")), "c")
-    pairs = a.join(b, ["o", "brand"]).filter("x < y AND s <> d").join(buyers, "o").join(p.select(F.col("k").alias("d"), F.col("nk").alias("cn"), F.col("path").alias("target")), ["d", "cn"])
-    named = pairs.select("s", "d", "target").distinct().join(p.select(F.col("k").alias("s"), F.col("path").alias("source")), "s")
+    """IMPORTS_FROM edges, of the rule or, inside all_pairs, of every pair."""
+    return _imports_of_all(spark, sf_dir) if _every_pair.get() else _imports_by_rule(spark, sf_dir)
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """imports and their TESTED_BY edges."""
+    return _edges_of_all(spark, sf_dir) if _every_pair.get() else _edges_by_rule(spark, sf_dir)
+
+
+def _named(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """Edges of distinct pairs (s, d) of supplier keys, and those to external packages."""
+    of = lambda key, name: p.select(F.col("k").alias(key), F.col("path").alias(name))
+    named = pairs.distinct().join(of("s", "source"), "s").join(of("d", "target"), "d")
     names = F.array_sort(F.array_distinct(F.array(F.concat(F.lit("sym"), F.col("s") % 7), F.concat(F.lit("sym"), F.col("d") % 5))))
     inside = named.select("source", "target", names.alias("imported_names"))
     outside = p.filter("k % 4 = 0").select(F.col("path").alias("source"), F.concat(F.lit("external:pkg"), F.col("k") % 5).alias("target"), F.array(F.lit("*")).alias("imported_names"))
@@ -69,8 +91,32 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @once
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_tested_by(imports(spark, sf_dir), nodes(spark, sf_dir))
+def _imports_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier imports that of every later line of an order. The pairs of an order are made in its row, as a few lines each are."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct("l_linenumber", "l_suppkey")).alias("lines"))
+    one = lines.select(F.explode("lines").alias("a"), "lines").select("a", F.explode("lines").alias("b")).filter("a.l_linenumber < b.l_linenumber AND a.l_suppkey <> b.l_suppkey")
+    return _named(one.select(F.col("a.l_suppkey").alias("s"), F.col("b.l_suppkey").alias("d")), _paths(spark, sf_dir))
+
+
+@once
+def _imports_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier imports that of a later line of an order, if both lines' parts are of one brand and the customer is of the latter's nation."""
+    p = _paths(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    a, b = lines.select("l_orderkey", "l_suppkey", "l_linenumber", "p_brand").toDF("o", "s", "x", "brand"), lines.select("l_orderkey", "l_suppkey", "l_linenumber", "p_brand").toDF("o", "d", "y", "brand")
+    buyers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c")).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("cn")), "c")
+    pairs = a.join(b, ["o", "brand"]).filter("x < y AND s <> d").join(buyers, "o").join(p.select(F.col("k").alias("d"), F.col("nk").alias("cn")), ["d", "cn"])
+    return _named(pairs.select("s", "d"), p)
+
+
+@once
+def _edges_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tested_by(_imports_by_rule(spark, sf_dir), nodes(spark, sf_dir))
+
+
+@once
+def _edges_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tested_by(_imports_of_all(spark, sf_dir), nodes(spark, sf_dir))
 
 
 @once
@@ -129,6 +175,10 @@ def sql_list(items: list[str]) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
 
 
+_EVERY_PAIR = "SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey <> b.l_suppkey"
+_RULE = """
+  JOIN part pa ON pa.p_partkey = a.l_partkey JOIN part pb ON pb.p_partkey = b.l_partkey AND pb.p_brand = pa.p_brand
+  JOIN orders ON o_orderkey = a.l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier t ON t.s_suppkey = b.l_suppkey AND t.s_nationkey = c_nationkey"""
 CTES = f"""
 paths AS (
   SELECT s_suppkey AS k, s_nationkey AS nk,
@@ -145,10 +195,7 @@ nodes AS (
     (k < {PACKAGE_KEY} AND k % 25 = 1) AS is_entry_point, (k < {PACKAGE_KEY} AND k % 10 = 0) AS is_test, (k % 100) / 10000.0::DOUBLE AS pagerank, (k % 7) / 10.0::DOUBLE AS betweenness, sha256(path) AS content_hash
   FROM file_keys
   UNION ALL SELECT NULL, NULL, 'external:pkg' || i, 'external', 'external', 0, false, false, 0.0, 0.0, '' FROM range(5) t(i)),
-pairs AS (
-  SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey <> b.l_suppkey
-  JOIN part pa ON pa.p_partkey = a.l_partkey JOIN part pb ON pb.p_partkey = b.l_partkey AND pb.p_brand = pa.p_brand
-  JOIN orders ON o_orderkey = a.l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier t ON t.s_suppkey = b.l_suppkey AND t.s_nationkey = c_nationkey),
+pairs AS ({_EVERY_PAIR}{_RULE}),
 import_edges AS (
   SELECT p.path AS source, q.path AS target, list_sort(list_distinct(['sym' || (s % 7), 'sym' || (d % 5)])) AS imported_names, 'IMPORTS_FROM' AS edge_type
   FROM pairs JOIN paths p ON p.k = s JOIN paths q ON q.k = d
@@ -185,3 +232,5 @@ symbols AS (
 old_files AS (SELECT path, content_hash FROM nodes WHERE node_kind = 'file' AND k % 23 <> 0),
 new_files AS (SELECT path, CASE WHEN k % 29 = 0 THEN 'changed' || content_hash ELSE content_hash END AS content_hash FROM nodes WHERE node_kind = 'file' AND k % 19 <> 0)
 """
+#: The same, with every pair as an edge.
+ALL_PAIRS_CTES = CTES.replace(_RULE, "")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import wraps
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -44,6 +46,12 @@ def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return query
 
 
+def together(*jobs: Callable[[], object]) -> list:
+    """Results of jobs that do not need one another, run at once: many small jobs of one driver would leave the executors idle one after another. The first error is raised."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """f's table, checkpointed when it is first asked for in an application, and shared from then on: as an index is built once and queried often."""
     from quarrygraph.operators.tables import pinned

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import types as T
 
 
@@ -27,11 +29,19 @@ DDL = {
     "communities": "community_id int, name string, member_count long, cohesion double, top_files array<string>",
     "community_members": "path string, community_id int",
     "refactor_previews": "preview_id string, created_at timestamp, target_name string, new_name string, kind string, edits array<struct<file:string,kind:string,old_text:string,new_text:string,source_file:string>>",
-    "postings": "term string, doc string, tf long",
+    "postings": "term string, doc string, tf long, dl long, path string",
     "meta": "key string, value string",
 }
 
+#: Version of the schemas and of the layout of a store.
+VERSION = 2
+#: The column that a table is dealt to buckets by.
+KEYS = {"files": "path", "symbols": "path", "imports": "path", "nodes": "path", "edges": "source", "commits": "sha", "git_metadata": "file_path", "dead_code": "file_path", "flows": "flow_id", "flow_members": "flow_id", "community_members": "path", "postings": "term"}
+#: Columns whose names have changed, by table and version: old name -> present name.
+RENAMED = {("flow_members", 1): {"node_qualified_name": "path"}, ("community_members", 1): {"file_path": "path"}}
+
 
+@cache
 def schema(name: str) -> T.StructType:
     """The schema of a stored relation."""
     return _schema(DDL[name])

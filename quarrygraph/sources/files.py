@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -14,41 +13,26 @@ from pyspark.sql import types as T
 
 from quarrygraph import params as P
 from quarrygraph.functions import globs, paths
+from quarrygraph.schemas import DDL
+from quarrygraph.sources.tree import file_system
+from quarrygraph.sources.tree import files as list_tree
 
-
+FILES = DDL["files"]
 RAW = "path string, abs_path string, length long, modificationTime timestamp, content binary"
 #: Bytes of one reading task, about.
 TASK_BYTES = 32 << 20
 
 
-def _file_system(root: str) -> tuple[pafs.FileSystem, str]:
-    """A file system that also sees names with a leading dot or underscore, which Spark's own sources skip; and the root in it."""
-    if "://" in root or root.startswith("file:"):
-        return pafs.FileSystem.from_uri(root)
-    return pafs.LocalFileSystem(), root
-
-
-def listing(root: str) -> list[tuple[str, str, int, datetime | None]]:
-    """(path, absolute path, bytes, time) of every file under root, blocked directories not entered."""
-    fs, base = _file_system(root.rstrip("/"))
-    out, folders = [], [base]
-    while folders:
-        for info in fs.get_file_info(pafs.FileSelector(folders.pop())):
-            if info.type == pafs.FileType.Directory:
-                if info.base_name not in P.BLOCKED_DIRS:
-                    folders.append(info.path)
-            elif info.type == pafs.FileType.File:
-                out.append((info.path[len(base) :].lstrip("/"), info.path, info.size, info.mtime.replace(tzinfo=None) if info.mtime else None))
-    return sorted(out)
+def tree(spark: SparkSession, root: str, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
+    """path, abs_path, length, modificationTime of every file under root that is small enough, listed by tasks. root: a path that the executors see too, or a URI."""
+    return list_tree(spark, root).filter(F.col("length") <= max_bytes)
 
 
-def read_raw(spark: SparkSession, root: str, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
-    """Every file under root that is small enough. The driver lists; tasks read. root: a path that the executors see too, or a URI."""
-    found = [x for x in listing(root) if x[2] <= max_bytes]
-    names = spark.createDataFrame(found, "path string, abs_path string, length long, modificationTime timestamp")
+def read_content(listed: DataFrame, root: str) -> DataFrame:
+    """Raw files of listed ones. Tasks read files of about TASK_BYTES together (small files weigh TASK_BYTES / 1000)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = _file_system(root)
+        fs, _ = file_system(root)
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
@@ -59,14 +43,19 @@ def read_raw(spark: SparkSession, root: str, max_bytes: int = P.MAX_FILE_BYTES)
                 yield pa.record_batch([*part.columns, pa.array(content, pa.binary())], schema.names)
 
     schema = T._parse_datatype_string(RAW)
-    tasks = max(1, min(len(found), sum(x[2] for x in found) // TASK_BYTES + spark.sparkContext.defaultParallelism))
-    return names.repartition(tasks).mapInArrow(run, schema)
+    names = listed.select("path", "abs_path", "length", "modificationTime")
+    size = names.agg(F.sum(F.greatest("length", F.lit(TASK_BYTES // 1000)))).first()[0] or 0
+    return names.repartition(max(1, -(-size // TASK_BYTES))).mapInArrow(run, schema)
+
+
+def read_raw(spark: SparkSession, root: str, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
+    """Every file under root that is small enough, with its content."""
+    return read_content(tree(spark, root, max_bytes), root)
 
 
 def language_of(path: Column) -> Column:
     """Language by special name, then by extension; null if neither tells."""
-    table = F.create_map(*(F.lit(x) for kv in P.EXTENSION_LANGUAGE.items() for x in kv))
-    special = F.create_map(*(F.lit(x) for kv in P.SPECIAL_NAMES.items() for x in kv))
+    table, special = (F.expr("map(" + ", ".join(f"'{x}'" for kv in known.items() for x in kv) + ")") for known in (P.EXTENSION_LANGUAGE, P.SPECIAL_NAMES))
     return F.coalesce(F.get(F.transform(F.array(paths.name(path)), lambda n: special[n]), 0), F.get(F.transform(F.array(paths.suffix(path)), lambda s: table[s]), 0))
 
 
@@ -111,18 +100,24 @@ def in_skipped_directory(path: Column, ignore: list[tuple[bool, str]] = [], extr
     return blocked | above
 
 
+def worth_reading(listed: DataFrame, ignore_lines: list[str] | None = None, extra_excludes: list[str] | None = None) -> DataFrame:
+    """Of listed files those that no rule on paths leaves out: their content isn't looked at."""
+    ignore, extra = globs.ignore_rules(ignore_lines or []), globs.ignore_rules(extra_excludes or [])
+    path = F.col("path")
+    kept = listed.filter(~F.coalesce(paths.suffix(path).isin(P.BLOCKED_EXTENSIONS), F.lit(False))).filter(~in_skipped_directory(path, ignore, extra))
+    return kept.filter(~globs.ignored(path, ignore) & ~globs.ignored(path, extra) & ~globs.ignored(path, globs.ignore_rules(P.BLOCKED_NAMES)))
+
+
 def classify(raw: DataFrame, ignore_lines: list[str] | None = None, extra_excludes: list[str] | None = None, max_bytes: int = P.MAX_FILE_BYTES) -> DataFrame:
     """Of raw files (path, content and, if there, abs_path, length, modificationTime) those worth indexing, as the relation files, with text.
 
     Cheap tests on path and size come first; only files that pass have their content looked at.
     """
-    ignore, extra = globs.ignore_rules(ignore_lines or []), globs.ignore_rules(extra_excludes or [])
     path = F.col("path")
     length = F.col("length") if "length" in raw.columns else F.length("content").cast("long")
     modified = F.col("modificationTime") if "modificationTime" in raw.columns else F.lit(None).cast("timestamp")
     where = F.col("abs_path") if "abs_path" in raw.columns else path
-    kept = raw.filter(length <= max_bytes).filter(~F.coalesce(paths.suffix(path).isin(P.BLOCKED_EXTENSIONS), F.lit(False))).filter(~in_skipped_directory(path, ignore, extra))
-    kept = kept.filter(~globs.ignored(path, ignore) & ~globs.ignored(path, extra) & ~globs.ignored(path, globs.ignore_rules(P.BLOCKED_NAMES)))
+    kept = worth_reading(raw.filter(length <= max_bytes), ignore_lines, extra_excludes)
     typed = kept.select(path, where.alias("abs_path"), length.alias("size_bytes"), modified.alias("last_modified"), "content", F.decode("content", "UTF-8").alias("text"), language_of(path).alias("known"))
     typed = typed.withColumn("language", F.coalesce("known", F.when(~is_binary(F.col("content")), shebang_language(F.col("text"))))).filter("language is not null")
     typed = typed.filter(F.col("language").isin(P.NO_GENERATED_CHECK) | ~is_generated(path, F.col("text")))
@@ -146,7 +141,7 @@ def ignore_file(spark: SparkSession, root: str) -> list[str]:
 def read_small(spark: SparkSession, path: str) -> str:
     """Text of one small configuration file; empty if it isn't there."""
     folder, _, name = path.rpartition("/")
-    fs, base = _file_system(folder)
+    fs, base = file_system(folder)
     if fs.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
         return ""
     with fs.open_input_stream(f"{base}/{name}") as f:

@@ -3,22 +3,44 @@
 from __future__ import annotations
 
 import subprocess
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph import params as P
+from quarrygraph.sources import tree
 
-#: One call for the whole repository: records are separated by NUL, fields by unit separators, files follow one a line.
-LOG_FORMAT = "%x00%H%x1f%an%x1f%ae%x1f%ct%x1f%P%x1f%s"
 
+class GitLog:
+    """A repository's history, read by tasks in ranges of commits."""
 
-def write_log(repo: str, to: str, limit: int | None = None) -> str:
-    """Write the repository's log with line counts to a text file, for parse_log."""
-    call = ["git", "-C", repo, "log", "--numstat", f"--format={LOG_FORMAT}"] + ([f"-{limit}"] if limit else [])
-    with open(to, "wb") as f:
-        subprocess.run(call, stdout=f, check=True, timeout=3600)
-    return to
+    def __init__(self, spark: SparkSession, repo: str):
+        self.spark, self.repo = spark, repo
+
+    @cached_property
+    def head(self) -> str:
+        """The commit that HEAD is; empty in a repository without commits."""
+        found = _lines(self.repo, "rev-parse", "--verify", "-q", "HEAD")
+        return found[0] if found else ""
+
+    def reaches(self, sha: str) -> bool:
+        """Whether HEAD has the commit among its ancestors (it has not after a rewrite)."""
+        return bool(sha and self.head) and _lines(self.repo, "merge-base", "--is-ancestor", sha, self.head) is not None
+
+    def _read(self, **options: str) -> DataFrame:
+        tree.register(self.spark)
+        return self.spark.read.format("repository_log").option("path", self.repo).options(**options).load()
+
+    def commits(self, since: str | None = None) -> DataFrame:
+        """The relation commits, of HEAD without what `since` reaches."""
+        if not self.head:
+            return parse_log(self.spark.createDataFrame([], "value string"))
+        return parse_log(self._read(head=self.head, **({"since": since} if since else {})))
+
+    def tracked(self) -> DataFrame:
+        """path of every tracked file. What git can't tell raises an error; nothing is left out."""
+        return self._read(tracked="true").select(F.col("value").alias("path"))
 
 
 def new_path(path: Column) -> Column:
@@ -32,11 +54,6 @@ def old_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(inside, r" => .*$", ""), "//", "/")
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The relation commits from a written log, one record a commit split on NUL."""
-    return parse_log(spark.read.option("lineSep", "\0").text(path))
-
-
 def parse_log(records: DataFrame) -> DataFrame:
     """commits from records (value) of LOG_FORMAT without the NUL. Binary files count no lines; a merge has more than one parent."""
     lines = records.filter(F.length(F.trim("value")) > 0).select(F.split("value", "\n").alias("l"))
@@ -78,11 +95,6 @@ def _lines(repo: str, *args: str) -> list[str] | None:
     return [x.strip().replace("\\", "/") for x in done.stdout.splitlines() if x.strip()] if done.returncode == 0 else None
 
 
-def tracked(spark: SparkSession, repo: str) -> DataFrame:
-    """path of every tracked file."""
-    return spark.createDataFrame([(x,) for x in _lines(repo, "ls-files") or []], "path string")
-
-
 def changed(repo: str) -> list[str]:
     """Paths that differ from HEAD, else those that are staged."""
     return _lines(repo, "diff", "--name-only", "HEAD") or _lines(repo, "diff", "--name-only", "--cached") or []
