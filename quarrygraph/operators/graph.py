@@ -44,6 +44,13 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> D
     return visited
 
 
+def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (source, target), each once, with reached: whether edges lead from source to target (a node reaches itself). All pairs are one traversal with bitmaps of the sources."""
+    wanted = pairs.select("source", "target").distinct()
+    found = reach_sets(edges, wanted.select(F.col("source").alias("path"))).select(F.col("seed").alias("source"), F.col("node").alias("target"), F.lit(True).alias("reached"))
+    return wanted.join(found, ["source", "target"], "left").select("source", "target", F.coalesce("reached", F.lit(False)).alias("reached"))
+
+
 #: Seeds of one long word of a bitmap.
 WORD = 64
 
@@ -248,8 +255,9 @@ def components_kernel(names: list[str], pairs: np.ndarray) -> list[str]:
 def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None, slices: int | None = None) -> DataFrame:
     """path, betweenness: normalised shortest-path betweenness of a directed graph.
 
-    From BETWEENNESS_EXACT_BELOW nodes on, BETWEENNESS_SAMPLE sources are taken, the first by a hash. Sources are dealt to tasks, each with the adjacency as a broadcast,
-    which BETWEENNESS_EDGES bounds; partial sums are added by node. Beyond that bound the accumulation runs as joins, one source after another.
+    From BETWEENNESS_EXACT_BELOW nodes on, BETWEENNESS_SAMPLE sources are taken, the first by a hash (a feature, as in the tool whose results these are). Nodes are numbers. Sources are
+    dealt to tasks, each with the adjacency as two broadcast arrays (4 bytes an edge and a node, which BETWEENNESS_EDGES bounds), and a task follows many sources at once; partial
+    sums are added by node. Beyond that bound the accumulation runs as joins.
     """
     n = nodes.count()
     spark = nodes.sparkSession
@@ -261,48 +269,63 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sample: int | None = None, s
     sources = names if sample is None else names.orderBy(F.xxhash64("path"), "path").limit(sample)
     unique = edges.select("source", "target").distinct().filter("source <> target")
     scale = 1.0 / ((n - 1) * (n - 2)) * (1.0 if sample is None else n / min(n, sample))
-    if unique.count() > BETWEENNESS_EDGES:
+    if unique.count() > BETWEENNESS_EDGES or n > BETWEENNESS_EDGES:
         return _betweenness_joins(names, unique, sources, scale)
-    adjacency: dict[str, list[str]] = {}
-    for r in unique.orderBy("source", "target").toLocalIterator():
-        adjacency.setdefault(r.source, []).append(r.target)
-    held = spark.sparkContext.broadcast(adjacency)
+    ids = numbered(names, "id")
+    of = lambda c, to: ids.select(F.col("path").alias(c), F.col("id").cast("int").alias(to))
+    pairs = unique.join(of("source", "a"), "source").join(of("target", "b"), "target").select("a", "b").toPandas().to_numpy(np.int32).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    held = spark.sparkContext.broadcast((np.searchsorted(pairs[:, 0], np.arange(n + 1)).astype(np.int32), np.ascontiguousarray(pairs[:, 1])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
+        start, to = held.value
+        total = np.zeros(len(start) - 1)
+        together = max(1, min(64, SOURCE_CELLS // max(len(total), len(to), 1)))
         for pdf in batches:
-            for s in pdf["path"]:
-                for node, value in _dependencies(held.value, s).items():
-                    total[node] = total.get(node, 0.0) + value
-        yield pd.DataFrame({"path": list(total), "part": list(total.values())})
-
-    dealt = sources.repartition(slices or spark.sparkContext.defaultParallelism, "path")
-    parts = dealt.mapInPandas(run, "path string, part double").groupBy("path").agg(F.sum("part").alias("total"))
-    return names.join(parts, "path", "left").select("path", (F.coalesce("total", F.lit(0.0)) * scale).alias("betweenness"))
-
-
-#: Edges that betweenness may broadcast.
-BETWEENNESS_EDGES = 5_000_000
-
-
-def _dependencies(adjacency: dict[str, list[str]], source: str) -> dict[str, float]:
-    """Dependency of one source on every other node it reaches: path counts forward, shares backward."""
-    paths, depth, order, before = {source: 1}, {source: 0}, [source], {}
-    for u in order:
-        for v in adjacency.get(u, ()):
-            if v not in depth:
-                depth[v] = depth[u] + 1
-                paths[v] = 0
-                order.append(v)
-            if depth[v] == depth[u] + 1:
-                paths[v] += paths[u]
-                before.setdefault(v, []).append(u)
-    share = dict.fromkeys(order, 0.0)
-    for v in reversed(order):
-        for u in before.get(v, ()):
-            share[u] += paths[u] / paths[v] * (1 + share[v])
-    del share[source]
-    return share
+            each = pdf["id"].to_numpy(np.int64)
+            for i in range(0, len(each), together):
+                total += dependencies(start, to, each[i : i + together])
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"id": some, "part": total[some]})
+
+    dealt = sources.join(ids, "path").select("id").repartition(slices or spark.sparkContext.defaultParallelism, "id")
+    parts = dealt.mapInPandas(run, "id long, part double").groupBy("id").agg(F.sum("part").alias("total"))
+    return ids.join(parts, "id", "left").select("path", (F.coalesce("total", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+#: Edges, and nodes, that betweenness may broadcast; nodes or edges times sources that a task follows at once.
+BETWEENNESS_EDGES, SOURCE_CELLS = 5_000_000, 1 << 21
+
+
+def dependencies(start: np.ndarray, to: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """Of each node, the sum of the sources' dependencies on it. to[start[u] : start[u + 1]] are the targets of u.
+
+    Breadth first from all sources together: a cell is a node of one source's search. Path counts go forward level by level, shares come back over the same steps.
+    """
+    n, k = len(start) - 1, len(sources)
+    depth, paths = np.full(k * n, -1, np.int32), np.zeros(k * n)
+    frontier = np.arange(k) * n + sources
+    depth[frontier], paths[frontier] = 0, 1.0
+    steps = []
+    while len(frontier):
+        u = frontier % n
+        size = (start[u + 1] - start[u]).astype(np.int64)
+        a = np.repeat(frontier, size)
+        at = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[u], size)
+        b = a - a % n + to[at]
+        fresh = depth[b] < 0
+        depth[b[fresh]] = len(steps) + 1
+        onward = depth[b] == len(steps) + 1
+        a, b = a[onward], b[onward]
+        frontier = np.unique(b)
+        np.add.at(paths, b, paths[a])
+        steps.append((a, b))
+    share = np.zeros(k * n)
+    for a, b in reversed(steps):
+        part = paths[a] / paths[b] * (1 + share[b])
+        np.add.at(share, a, part)
+    share[np.arange(k) * n + sources] = 0
+    return share.reshape(k, n).sum(0)
 
 
 def _betweenness_joins(names: DataFrame, edges: DataFrame, sources: DataFrame, scale: float) -> DataFrame:

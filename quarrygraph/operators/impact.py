@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph import params as P
-from quarrygraph.operators.graph import k_hops
+from quarrygraph.operators.graph import k_hops, reach_sets, reversed_edges
 
 
 def security_sensitive(path: Column) -> Column:
@@ -46,6 +46,22 @@ def impact(nodes: DataFrame, edges: DataFrame, git: DataFrame, members: DataFram
     return hit.join(scored, "path").select("path", "depth", F.col("risk").alias("risk_score"), risk_level(F.col("risk")).alias("risk_level"), "has_tests", "is_test", "community_id")
 
 
+def directions(edges: DataFrame, impacted: DataFrame, seeds: DataFrame) -> DataFrame:
+    """path, direction of impacted files (path), by the first seed in the order of paths that tells: dependency (the file has an edge to the seed), dependent (the seed has one to the file),
+    upstream (edges lead from the file to the seed over others), else unknown.
+    """
+    near = seeds.select("path").distinct()
+    files = impacted.select("path").distinct()
+    steps = edges.select("source", "target").distinct()
+    # what leads to a seed: a traversal of the reversed edges, all seeds at once
+    above = reach_sets(reversed_edges(steps), near).select(F.col("node").alias("path"), F.col("seed"), F.lit(2).alias("kind"))
+    to = steps.join(near.withColumnRenamed("path", "target"), "target").select(F.col("source").alias("path"), F.col("target").alias("seed"), F.lit(0).alias("kind"))
+    of = steps.join(near.withColumnRenamed("path", "source"), "source").select(F.col("target").alias("path"), F.col("source").alias("seed"), F.lit(1).alias("kind"))
+    told = to.unionByName(of).unionByName(above).filter("path <> seed").join(files, "path", "left_semi").groupBy("path").agg(F.min(F.struct("seed", "kind")).alias("told"))
+    names = F.array(*(F.lit(x) for x in ("dependency", "dependent", "upstream")))
+    return files.join(told, "path", "left").select("path", F.coalesce(F.get(names, F.col("told.kind")), F.lit("unknown")).alias("direction"))
+
+
 def summary(impacted: DataFrame) -> DataFrame:
     """One row: total_impacted, max_risk, risk_level, tested_files (tests among the impacted, sorted)."""
     worst = F.coalesce(F.max("risk_score"), F.lit(0.0))

@@ -104,6 +104,30 @@ bwd(path, depth) AS (SELECT path, 0 FROM ({seed}) UNION SELECT e.source, f.depth
 hops AS (SELECT path, min(depth)::INT AS depth FROM (SELECT * FROM fwd UNION ALL SELECT * FROM bwd) WHERE path NOT LIKE 'external:%' AND path NOT IN ({seed}) GROUP BY 1)"""
 
 
+@query(f"""
+, ends AS (SELECT a.path AS source, b.path AS target FROM nodes a JOIN nodes b ON a.k % 7 = 1 AND b.k % 5 = 2 AND a.node_kind = 'file' AND b.node_kind = 'file'),
+walked(source, node) AS (SELECT DISTINCT source, source FROM ends UNION SELECT w.source, e.target FROM walked w JOIN edges e ON e.source = w.node)
+SELECT source, target, w.node IS NOT NULL AS reached FROM ends LEFT JOIN walked w USING (source) WHERE w.node = target
+UNION ALL SELECT source, target, false FROM ends WHERE NOT EXISTS (SELECT 1 FROM walked w WHERE w.source = ends.source AND w.node = ends.target)""")
+def g15_reachability(spark: SparkSession, d: str) -> DataFrame:
+    """From every seventh supplier's file to every file of a fifth of the suppliers."""
+    files = A.nodes(spark, d).filter("node_kind = 'file'")
+    ends = files.filter("k % 7 = 1").select(F.col("path").alias("source"), F.explode(F.array(F.lit(2))).alias("m")).join(files.select(F.col("path").alias("target"), (F.col("k") % 5).alias("m")), "m")
+    return graph.reachable(A.edges(spark, d), ends)
+
+
+@query(_HOPS.format(seed=SEED_SQL, n=3) + f"""
+, above(seed, node) AS (SELECT path, path FROM ({SEED_SQL}) UNION SELECT a.seed, e.source FROM above a JOIN edges e ON e.target = a.node),
+told AS (
+  SELECT source AS path, target AS seed, 0 AS kind FROM edges WHERE target IN ({SEED_SQL}) UNION ALL SELECT target, source, 1 FROM edges WHERE source IN ({SEED_SQL}) UNION ALL SELECT node, seed, 2 FROM above),
+best AS (SELECT path, kind, row_number() OVER (PARTITION BY path ORDER BY seed, kind) AS r FROM told WHERE path <> seed)
+SELECT h.path, CASE b.kind WHEN 0 THEN 'dependency' WHEN 1 THEN 'dependent' WHEN 2 THEN 'upstream' ELSE 'unknown' END AS direction FROM hops h LEFT JOIN best b ON b.path = h.path AND b.r = 1""")
+def g15_directions(spark: SparkSession, d: str) -> DataFrame:
+    """How each file that a change of the seeds reaches is related to them."""
+    e, seeds = A.edges(spark, d), _seed(spark, d)
+    return impact.directions(e, graph.k_hops(e, seeds, 3), seeds)
+
+
 @query(_HOPS.format(seed=SEED_SQL, n=3) + " SELECT path, depth FROM hops")
 def g11_k_hops(spark: SparkSession, d: str) -> DataFrame:
     return graph.k_hops(A.edges(spark, d), _seed(spark, d), 3)
@@ -157,7 +181,14 @@ def g1_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(A.nodes(spark, d), A.edges(spark, d)).select("path", *_six("pagerank"))
 
 
-@query()
+@query("""
+, step AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE source <> target),
+far(s, v, d) AS (SELECT path, path, 0 FROM nodes UNION SELECT f.s, step.b, f.d + 1 FROM far f JOIN step ON step.a = f.v WHERE f.d < 40),
+dist AS (SELECT s, v, min(d) AS d FROM far GROUP BY 1, 2),
+trail(s, v, d) AS (SELECT path, path, 0 FROM nodes UNION ALL SELECT t.s, step.b, t.d + 1 FROM trail t JOIN step ON step.a = t.v JOIN dist x ON x.s = t.s AND x.v = step.b AND x.d = t.d + 1),
+counted AS (SELECT s, v, d, count(*)::DOUBLE AS n FROM trail GROUP BY 1, 2, 3),
+through AS (SELECT x.v AS path, sum(x.n * y.n / z.n) AS b FROM counted x JOIN counted y ON y.s = x.v JOIN counted z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY 1)
+SELECT n.path, round(coalesce(b, 0) / ((SELECT count(*) - 1 FROM nodes) * (SELECT count(*) - 2 FROM nodes)), 6) AS betweenness FROM nodes n LEFT JOIN through USING (path)""")
 def g2_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return graph.betweenness(A.nodes(spark, d), A.edges(spark, d)).select("path", *_six("betweenness"))
 
@@ -501,7 +532,7 @@ def k3_unique_findings(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- files and texts
 
-_LANGUAGE_SQL = "CASE " + " ".join(f"WHEN suffix IN ({', '.join(repr(e) for e in es.split())}) THEN '{lang}'" for lang, es in P.LANGUAGE_EXTENSIONS.items()) + " END"
+_LANGUAGE_SQL = "CASE suffix " + " ".join(f"WHEN '{e}' THEN '{language}'" for e, language in P.EXTENSION_LANGUAGE.items()) + " END"
 
 
 def _files_sql() -> str:
@@ -742,7 +773,7 @@ def _over_all_pairs(f: Query) -> Query:
 
 #: Queries on edges that run on every ordered pair too, under a name of their own.
 EDGE_QUERIES = """
-r10_tested_by g2_betweenness g3_strong_components g5_communities g7_cohesion g9_coupling g10_shortest_path g11_k_hops g13_dependents g14_degrees g1_pagerank_rounds g1_pagerank q1_impact q2_risk_scores q3_impact_summary q4_file_report
+r10_tested_by g2_betweenness g3_strong_components g5_communities g7_cohesion g9_coupling g10_shortest_path g11_k_hops g15_reachability g15_directions g13_dependents g14_degrees g1_pagerank_rounds g1_pagerank q1_impact q2_risk_scores q3_impact_summary q4_file_report
 q5_entry_points q6_flows q6_flow_members q9_flow_detail q19_rename_file q22_cycles q23_diagram_edges q26_changes""".split()
 #: Of these, SQL's recursion can't manage: paths as arrays, and walks of so many rows. They are tested against brute force.
 WITHOUT_SQL = {"g10_shortest_path"}

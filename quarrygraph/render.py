@@ -114,11 +114,16 @@ def wiki(communities: DataFrame, members: DataFrame, flows: DataFrame, stats: di
     """Pages by file name: index, one for each community, flows."""
     cs = communities.orderBy(F.col("member_count").desc(), "community_id").collect()
     listed = {r.community_id: r.members for r in members.groupBy("community_id").agg(F.array_sort(F.collect_list("path")).alias("members")).collect()}
+    # communities whose names have one slug get pages of their own
+    page: dict[int, str] = {}
+    for c in cs:
+        name = f"community-{slug(c.name)}.md"
+        page[c.community_id] = name if name not in page.values() else f"community-{slug(c.name)}-{c.community_id}.md"
     counts = [["Files", "file_count"], ["Internal Edges", "edge_count"], ["Hotspots", "hotspot_count"], ["Dead Code Findings", "dead_code_count"], ["Execution Flows", "flow_count"]]
     pages = {
         "index.md": "\n".join([
             f"# {stats.get('repo_name', 'Project')} - Architecture Wiki", "", "## Overview", "", *_table(["Metric", "Value"], [[a, stats.get(k, "N/A")] for a, k in counts] + [["Communities", len(cs)]]), "", "## Communities", "",
-            *_table(["ID", "Name", "Members", "Cohesion"], [[c.community_id, f"[{c.name}](community-{slug(c.name)}.md)", c.member_count, f"{c.cohesion:.3f}"] for c in cs]), "", "## Flows", "", "See [flows.md](flows.md) for execution flow details.", "",
+            *_table(["ID", "Name", "Members", "Cohesion"], [[c.community_id, f"[{c.name}]({page[c.community_id]})", c.member_count, f"{c.cohesion:.3f}"] for c in cs]), "", "## Flows", "", "See [flows.md](flows.md) for execution flow details.", "",
         ])
     }
     for c in cs:
@@ -126,7 +131,7 @@ def wiki(communities: DataFrame, members: DataFrame, flows: DataFrame, stats: di
         lines = [f"# Community: {c.name}", "", f"**ID:** {c.community_id}  ", f"**Members:** {len(own)}  ", f"**Cohesion:** {c.cohesion:.3f}  ", ""]
         lines += ["## Key Files", "", *(f"- `{f}`" for f in c.top_files), ""] if c.top_files else []
         lines += ["## All Members", "", *(f"- `{m}`" for m in own), ""] if own else []
-        pages[f"community-{slug(c.name)}.md"] = "\n".join([*lines, "[Back to index](index.md)", ""])
+        pages[page[c.community_id]] = "\n".join([*lines, "[Back to index](index.md)", ""])
     fs = flows.orderBy(F.col("criticality").desc(), "entry_point").collect()
     if fs:
         rows = [[f.flow_id[:8], f"`{f.entry_point}`", f.node_count, f.file_spread, f"{f.criticality:.3f}", "Yes" if f.has_test_coverage else "No"] for f in fs]

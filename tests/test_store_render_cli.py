@@ -47,6 +47,15 @@ def test_wiki(spark):
     assert set(pages) == {"index.md", "community-src-a-b.md", "community-unknown.md", "flows.md"} and "| 0 | [src/a + b](community-src-a-b.md) | 2 | 0.250 |" in pages["index.md"] and "- `a.py`\n- `x.py`" in pages["community-src-a-b.md"] and "| abcdefgh | `main.py` | 3 | 2 | 0.500 | Yes |" in pages["flows.md"]
 
 
+def test_wiki_keeps_pages_of_one_slug_apart(spark):
+    communities = spark.createDataFrame([(0, "a b", 3, 0.5, []), (1, "a-b", 2, 0.5, []), (2, "A B", 1, 0.5, [])], schema("communities"))
+    members = spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], schema("community_members"))
+    pages = render.wiki(communities, members, spark.createDataFrame([], schema("flows")), {})
+    own = {n: t for n, t in pages.items() if n.startswith("community-")}
+    assert set(own) == {"community-a-b.md", "community-a-b-1.md", "community-a-b-2.md"} and all(n in pages["index.md"] for n in own)
+    assert "`x`" in own["community-a-b.md"] and "`y`" in own["community-a-b-1.md"] and "`z`" in own["community-a-b-2.md"]
+
+
 @pytest.fixture(scope="module")
 def repository(tmp_path_factory):
     root = tmp_path_factory.mktemp("repo")

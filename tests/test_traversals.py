@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from quarrygraph.operators import flows, graph, history
+from quarrygraph.operators import flows, graph, history, impact
 from quarrygraph.operators.tables import numbered
 from quarrygraph.plans import adapters as A
 from quarrygraph.plans.queries import EDGE_QUERIES, ORACLE_SQL, QUERIES
@@ -58,6 +58,35 @@ def test_flow_members_of_many_entries(spark):
     assert got == {(s, v, d) for s in starts for v, d in walk(out, s, 4).items()}
 
 
+def test_reachable_and_directions(spark):
+    rng = random.Random(11)
+    pairs = {(f"v{rng.randrange(60)}", f"v{rng.randrange(60)}") for _ in range(75)}
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    edges = spark.createDataFrame([(a, b, [], "x") for a, b in pairs], EDGES)
+    wanted = [(f"v{rng.randrange(62)}", f"v{rng.randrange(62)}") for _ in range(300)]
+    got = {(r.source, r.target): r.reached for r in graph.reachable(edges, spark.createDataFrame(wanted, "source string, target string")).collect()}
+    assert got == {(a, b): b in walk(out, a) for a, b in wanted} and len(set(got.values())) == 2
+    seeds, files = ["v3", "v20", "v41"], [f"v{i}" for i in range(61)]
+    want = {}
+    for f in files:
+        want[f] = "unknown"
+        for s in sorted(seeds):
+            if s == f:
+                continue
+            if s in out[f]:
+                want[f] = "dependency"
+            elif f in out[s]:
+                want[f] = "dependent"
+            elif s in walk(out, f):
+                want[f] = "upstream"
+            if want[f] != "unknown":
+                break
+    frame = lambda x: spark.createDataFrame([(y,) for y in x], "path string")
+    assert {r.path: r.direction for r in impact.directions(edges, frame(files), frame(seeds)).collect()} == want and len(set(want.values())) == 4
+
+
 def test_numbered_has_no_gaps(spark):
     df = spark.range(1000).selectExpr("id % 37 AS x").repartition(7).filter("x <> 5")
     got = numbered(df).collect()
