@@ -81,7 +81,10 @@ def name_evidence(value: str) -> tuple[float, float]:
 class Element:
     """An open element. Where it is a container, also what is known of it once the page is read."""
 
-    __slots__ = ("against", "bad", "box", "chars", "direct", "favour", "good", "hidden", "holds_main", "key", "link", "linked", "number", "parent", "sentences", "tag", "up")
+    __slots__ = (
+        "against", "bad", "beside", "box", "chars", "direct", "favour", "good", "hidden", "holds_main", "in_largest", "key", "largest", "link", "linked", "number", "over_largest", "parent", "part", "prose", "sentences", "tag", "up",
+    )
+
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag = tag
@@ -101,8 +104,9 @@ class Element:
         if self.parent is None or tag in CONTAINERS or tag in CONTROLS or tag in BLOCKS and (bad == 1 or good == 1):
             self.box = self
             self.bad, self.good, self.key = bad, good, (tag, names)
-            self.direct = self.chars = self.linked = self.sentences = 0
-            self.holds_main = False
+            self.direct = self.chars = self.linked = self.sentences = self.prose = 0
+            self.holds_main = self.largest = self.in_largest = self.over_largest = self.beside = False
+            self.part = 0.0
 
 
 class Block:
@@ -263,7 +267,7 @@ def blocks(page: str | None) -> list[Block]:
     return parse(page)[0]
 
 
-TEXT_FEATURES, BOX_FEATURES = 8, 10
+TEXT_FEATURES, BOX_FEATURES = 8, 16
 #: Text between tags of a page of one kind: above this share of the page's text, names say nothing about a container.
 MOST_SHARE = 0.9
 
@@ -286,7 +290,10 @@ def read_boxes(found: list[Block], boxes: list[Element]) -> None:
         e.direct += 1
         e.chars += len(b.text)
         e.linked += b.linked
-        e.sentences += len(_SENTENCE.findall(b.text))
+        ends = len(_SENTENCE.findall(b.text))
+        e.sentences += ends
+        if ends:
+            e.prose += len(b.text) - b.linked
     for e in reversed(boxes[1:]):
         p = e.parent
         p.chars += e.chars
@@ -308,6 +315,22 @@ def read_boxes(found: list[Block], boxes: list[Element]) -> None:
         e.against = e.tag in BAD_TAGS or e.tag == "form" and not whole or e.tag == "header" and not inside or named
         e.favour = good and not e.against and not bad_up
         e.up = (bad_up or e.against, good_up or e.favour)
+    # the container in favour with most text, else the one with most prose of its own; and what stands in it, beside it and above it
+    favoured = [e for e in boxes if e.favour and not e.up[0]]
+    largest = max(favoured, key=lambda e: e.chars) if favoured else max(boxes, key=lambda e: (not e.up[0], e.prose, e.chars * (e.direct > 0)))
+    most = 1
+    for e in boxes:
+        e.largest = e is largest
+        e.in_largest = e.parent is not None and (e.parent.largest or e.parent.in_largest)
+        e.beside = e.parent is largest.parent and e is not largest
+        if e.largest or e.in_largest:
+            most = max(most, e.prose)
+    for e in boxes:
+        e.part = min(1.0, e.prose / most)
+    p = largest.parent
+    while p is not None:
+        p.over_largest = True
+        p = p.parent
 
 
 def box_features(boxes: list[Element]) -> np.ndarray:
@@ -318,6 +341,7 @@ def box_features(boxes: list[Element]) -> np.ndarray:
         bad_up, good_up = e.parent.up if e.parent else (False, False)
         x[i] = (
             1.0, e.against, bad_up, e.bad if e.bad < 1 else 0.0, e.favour, good_up, marked and not e.up[1], 0.0 if e.up[1] else e.linked / max(1, e.chars), math.log1p(e.chars / max(1, e.direct)) / 4, min(1.0, 60 * e.sentences / max(60, e.chars)),
+            e.largest, e.in_largest, e.over_largest, e.beside, e.part, math.log1p(e.prose) / 8,
         )
     return x
 
@@ -334,7 +358,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def classifier() -> tuple[np.ndarray, np.ndarray]:
     """Weights for blocks and for containers, fitted to generated pages."""
     tx, ty, bx, by = [], [], [], []
-    for page, wanted in generated_pages():
+    made = generated_pages()
+    # half of what is learned has no telling name, so that texts and structure have to tell
+    for page, wanted in made + [(nameless(page), wanted) for page, wanted in made]:
         found, boxes = parse(page)
         read_boxes(found, boxes)
         tx.append(text_features(found))
@@ -348,6 +374,15 @@ def classifier() -> tuple[np.ndarray, np.ndarray]:
     return fit(np.concatenate(tx), np.array(ty, float)), fit(np.concatenate(bx), np.array(by, float))
 
 
+_NAMES_OF = re.compile(r"""\s(?:class|id|role)=(?:"[^"]*"|'[^']*')""")
+_NAMED_TAG = re.compile(r"<(/?)(?:nav|footer|aside|header|article|main|section)\b")
+
+
+def nameless(page: str) -> str:
+    """A page without class, id and role, whose elements with a meaning are plain ones."""
+    return _NAMED_TAG.sub(r"<\1div", _NAMES_OF.sub("", page))
+
+
 def generated_pages(n: int = 160, seed: int = 9) -> list[tuple[str, set[str]]]:
     """Pages of several layouts with the blocks that are content."""
     rng = np.random.default_rng(seed)
