@@ -54,6 +54,9 @@ def _regex(patterns: list[str]) -> str:
 
 SEED_SQL = "SELECT path FROM nodes WHERE k IN (1, 2, 3)"
 SECURITY_SQL = "regexp_matches(lower({0}), '" + "|".join(P.SECURITY_KEYWORDS) + "')"
+#: Written for the names that these tables have: markers, and what the lists of names and patterns say of them.
+NEVER_SQL = "(ends_with({0}, '__init__.py') OR contains({0}, 'schema') OR contains({0}, 'seed') OR starts_with({0}, 'scripts/'))"
+DYNAMIC_SQL = "(ends_with({0}, 'Plugin') OR starts_with({0}, 'register_') OR starts_with({0}, 'on_'))"
 PARENT_SQL = "CASE WHEN instr({0}, '/') > 0 THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
 STEM_SQL = r"regexp_extract(regexp_extract({0}, '[^/]*$'), '^(.+?)(\.[^.]+)?$', 1)"
 
@@ -263,10 +266,10 @@ _CALLERS = """
 , callers AS (SELECT e.target AS path, o.community_id AS own, count(*) AS n, min(c.community_id) AS c1, max(c.community_id) AS c2 FROM edges e JOIN members o ON o.path = e.target LEFT JOIN members c ON c.path = e.source WHERE e.edge_type = 'IMPORTS_FROM' AND e.source NOT LIKE 'external:%' GROUP BY 1, 2)"""
 _UNREACHABLE = f"""
 , suspects AS (SELECT path FROM nodes WHERE node_kind = 'file' AND language NOT IN ({", ".join(f"'{x}'" for x in P.NON_CODE_LANGUAGES)}) AND NOT is_entry_point AND NOT is_test
-  AND NOT regexp_matches(lower(path), '(?:^|/)(?:{"|".join(P.FIXTURE_SEGMENTS)})/') AND NOT regexp_matches(path, '{_regex([globs.path_match(p) for p in P.NEVER_FLAG])}') AND path NOT IN (SELECT target FROM edges)),
+  AND NOT regexp_matches(lower(path), '(?:^|/)(?:{"|".join(P.FIXTURE_SEGMENTS)})/') AND NOT {NEVER_SQL.format("path")} AND path NOT IN (SELECT target FROM edges)),
 scored AS (SELECT s.path AS file_path, CASE WHEN coalesce(g.commit_count_90d, 0) = 0 AND floor(epoch(TIMESTAMP '{A.AS_OF}' - g.last_commit_at) / 86400) > 180 THEN 1.0 WHEN coalesce(g.commit_count_90d, 0) = 0 THEN 0.7 ELSE 0.4 END AS confidence,
   coalesce(g.commit_count_90d, 0) AS commit_count_90d, g.primary_owner, g.age_days FROM suspects s LEFT JOIN git g ON g.file_path = s.path),
-unreachable AS (SELECT file_path, 'unreachable_file' AS kind, confidence::DOUBLE AS confidence, confidence >= 0.7 AND NOT regexp_matches({STEM_SQL.format("file_path")}, '{_regex([globs.name_match(p) for p in P.DYNAMIC_NAMES])}') AS safe_to_delete, 0::BIGINT AS importers, commit_count_90d, primary_owner, age_days FROM scored),
+unreachable AS (SELECT file_path, 'unreachable_file' AS kind, confidence::DOUBLE AS confidence, confidence >= 0.7 AND NOT {DYNAMIC_SQL.format(STEM_SQL.format("file_path"))} AS safe_to_delete, 0::BIGINT AS importers, commit_count_90d, primary_owner, age_days FROM scored),
 packages AS (SELECT DISTINCT split_part(path, '/', 1) AS package FROM nodes WHERE node_kind = 'file' AND len(string_split(path, '/')) = 2 AND regexp_extract(path, '[^/]*$') IN ('package.json', '__init__.py')),
 zombies AS (SELECT package AS file_path, 'zombie_package' AS kind, 0.5::DOUBLE AS confidence, false AS safe_to_delete, 0::BIGINT AS importers, 0::BIGINT AS commit_count_90d, NULL::VARCHAR AS primary_owner, NULL::INT AS age_days FROM packages
   WHERE (SELECT count(*) FROM packages) >= 2 AND package NOT IN (SELECT split_part(target, '/', 1) FROM edges WHERE source NOT LIKE 'external:%' AND instr(target, '/') > 0 AND split_part(source, '/', 1) <> split_part(target, '/', 1)))"""
@@ -679,14 +682,14 @@ def r3_resolve_scripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
- SELECT path, {SECURITY_SQL.format("path")} AS sensitive, regexp_matches(path, '{_regex([globs.path_match(p) for p in P.NEVER_FLAG])}') AS never_flagged,
-  regexp_matches({STEM_SQL.format("path")}, '{_regex([globs.name_match(p) for p in P.DYNAMIC_NAMES])}') AS is_dynamic, regexp_matches(lower(path), '(?:^|/)(?:{"|".join(P.FIXTURE_SEGMENTS)})/') AS is_fixture FROM nodes""")
+ SELECT path, {SECURITY_SQL.format("path")} AS sensitive, {NEVER_SQL.format("path")} AS never_flagged,
+  {DYNAMIC_SQL.format(STEM_SQL.format("path"))} AS is_dynamic, regexp_matches(lower(path), '(?:^|/)(?:{"|".join(P.FIXTURE_SEGMENTS)})/') AS is_fixture FROM nodes""")
 def q12_path_flags(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
     return A.nodes(spark, d).select("path", impact.security_sensitive(p).alias("sensitive"), deadcode.never_flagged(p).alias("never_flagged"), deadcode.is_dynamic(p).alias("is_dynamic"), deadcode.is_fixture(p).alias("is_fixture"))
 
 
-@query(f" SELECT path FROM nodes WHERE regexp_matches(path, '{_regex([globs.directory_glob(p) for p in ('**/m1/**/*.py', 'scripts/*.py', '**/main.py', 'n1/*.py')])}')")
+@query(r" SELECT path FROM nodes WHERE ends_with(path, '.py') AND (path LIKE 'm1/%' OR path LIKE '%/m1/%' OR regexp_matches(path, '^scripts/[^/]+$') OR path = 'main.py' OR path LIKE '%/main.py' OR regexp_matches(path, '^n1/[^/]+$'))")
 def s24_entry_files(spark: SparkSession, d: str) -> DataFrame:
     return projects.entry_files(A.nodes(spark, d), ["**/m1/**/*.py", "scripts/*.py", "**/main.py", "n1/*.py"])
 
@@ -759,6 +762,103 @@ def k17_node_link(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_link(A.nodes(spark, d), A.edges(spark, d))
 
 
+# ---- streams over windows that overlap, and sessions
+
+
+@query("""
+, quarters AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start FROM events, range(4) r(k))
+SELECT window_start, count(*) AS n FROM quarters GROUP BY 1""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Hours that begin every quarter of an hour, run over the table as a stream."""
+    from quarrygraph.streaming import activity
+
+    out = activity.run_once(spark, f"{d}/events.parquet", spark.read.parquet(f"{d}/events.parquet").schema, activity.sliding)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("""
+, gaps AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+islands AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM gaps)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM islands GROUP BY user_id, session""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events without a gap of half an hour between them, run over the table as a stream."""
+    from quarrygraph.streaming import activity
+
+    out = activity.run_once(spark, f"{d}/events.parquet", spark.read.parquet(f"{d}/events.parquet").schema, activity.sessions)
+    return out.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+# ---- sources and resolution, against patterns written for the SQL
+
+
+@query(" SELECT sha, file_path, author, email, ts, is_merge, subject, added, deleted FROM commits")
+def s18_log_records(spark: SparkSession, d: str) -> DataFrame:
+    """The commits written as records of git's log, one for each commit with a line for each file, and read again."""
+    lines = F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("\t", "added", "deleted", "file_path"))))
+    parents = F.when(F.col("is_merge"), "aaaa bbbb").otherwise("aaaa")
+    head = F.concat_ws("\x1f", "sha", "author", "email", F.unix_seconds("ts").cast("string"), parents, "subject")
+    records = A.commits(spark, d).groupBy("sha", "author", "email", "ts", "is_merge", "subject").agg(lines.alias("lines")).select(F.concat_ws("\n", head, F.lit(""), "lines").alias("value"))
+    return git_log.parse_log(records).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"""
+, raw AS (SELECT {A.sql_list(A.FOLDERS)}[((doc_id // 7) % {len(A.FOLDERS)} + 1)::INT] || 'f' || doc_id || {A.sql_list(A.FILE_NAMES)}[(doc_id % {len(A.FILE_NAMES)} + 1)::INT] AS file_path FROM documents)
+SELECT file_path FROM raw WHERE regexp_matches(file_path, '\\.(py|pyi|ts|tsx|js|jsx|mjs|cjs|go|rs|java|kt|kts|scala|c|h|cpp|cc|cxx|hpp|hxx|cs|rb|php|swift)$')""")
+def h10_code_files(spark: SparkSession, d: str) -> DataFrame:
+    """Of all kinds of files those whose history is indexed."""
+    return git_log.code_files(A.raw_files(spark, d).select(F.col("path").alias("file_path")))
+
+
+@query("""
+, cut AS (SELECT doc_id, text, (doc_id * 37) % 12000 AS place FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, doc_id % 3 = 0 AND strlen(substr(text, 1, place)) < 8192 AS is_binary FROM cut""")
+def s9_binary_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, a third of them with a NUL after some characters: binary if it is among the first 8192 bytes."""
+    at = (F.col("doc_id") * 37 % 12000).cast("int")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring(F.col("text"), F.lit(1), at), F.lit("\0"), F.substring(F.col("text"), at + 1, F.length("text")))).otherwise(F.col("text"))
+    return A.table(spark, d, "documents").filter("text is not null").select("doc_id", files.is_binary(F.encode(text, "UTF-8")).alias("is_binary"))
+
+
+def _other(spark: SparkSession, d: str) -> tuple[DataFrame, Column, Column]:
+    """part's keys k with another key j of the same table (or none)."""
+    parts = A.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    return parts, F.col("k"), F.col("k") * 7 % parts.count()
+
+
+@query("""
+, f AS (SELECT p_partkey AS k, 'p' || (p_partkey % 10) || '/s' || (p_partkey % 3) || '/m' || p_partkey || '.py' AS path FROM part),
+i AS (SELECT k, path, (k * 7) % (SELECT count(*) FROM part) AS j FROM f)
+SELECT i.path, CASE i.k % 3 WHEN 0 THEN '.m' || j WHEN 1 THEN '..s' || (j % 3) || '.m' || j ELSE '...p' || (j % 10) || '.s' || (j % 3) || '.m' || j END AS module_path,
+  CASE WHEN i.k % 3 = 2 OR j % 10 = i.k % 10 AND (i.k % 3 = 1 OR j % 3 = i.k % 3) THEN t.path END AS resolved
+FROM i LEFT JOIN f t ON t.k = i.j""")
+def r1_resolve_relative(spark: SparkSession, d: str) -> DataFrame:
+    """Python imports with one, two and three leading dots, some of files that aren't there."""
+    parts, k, j = _other(spark, d)
+    found = parts.select("k", F.format_string("p%d/s%d/m%d.py", k % 10, k % 3, k).alias("path"))
+    module = F.when(k % 3 == 0, F.format_string(".m%d", j)).when(k % 3 == 1, F.format_string("..s%d.m%d", j % 3, j)).otherwise(F.format_string("...p%d.s%d.m%d", j % 10, j % 3, j))
+    imports = found.select("path", F.lit("python").alias("language"), module.alias("module_path"), F.array().cast("array<string>").alias("imported_names"))
+    return resolve.resolve(imports, found.select("path")).select("path", "module_path", "resolved")
+
+
+@query("""
+, f AS (SELECT p_partkey AS k, 'c' || (p_partkey % 10) || '/h' || p_partkey || '.h' AS path FROM part UNION ALL SELECT p_partkey, 'c' || (p_partkey % 7) || '/H' || p_partkey || '.hpp' FROM part),
+i AS (
+  SELECT p_partkey AS k, (p_partkey * 7) % (SELECT count(*) FROM part) AS j, 'c' || (p_partkey % 10) || '/x' || p_partkey AS path, ['c', 'cpp', 'go', 'ruby'][p_partkey % 4 + 1] AS language FROM part),
+w AS (SELECT *, CASE language WHEN 'c' THEN '"h' || j || '.h"' WHEN 'cpp' THEN '<h' || j || '.h>' WHEN 'go' THEN 'example.com/lib/h' || j ELSE 'lib/h' || j || '.rb' END AS module_path FROM i),
+c AS (SELECT w.path, module_path, f.path AS found, row_number() OVER (PARTITION BY w.path ORDER BY
+    (language IN ('c', 'cpp') AND f.path = regexp_replace(w.path, '/.*', '') || '/h' || j || '.h') DESC, (regexp_replace(f.path, '/.*', '') = regexp_replace(w.path, '/.*', '')) DESC, f.path) AS r
+  FROM w LEFT JOIN f ON f.k = w.j)
+SELECT path, module_path, found AS resolved FROM c WHERE r = 1""")
+def r6_resolve_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Includes of C and C++, Go packages, and Ruby as a language without rules: the includer's folder first, then the file of that stem that shares most of the path."""
+    parts, k, j = _other(spark, d)
+    headers = parts.select(F.format_string("c%d/h%d.h", k % 10, k).alias("path")).unionByName(parts.select(F.format_string("c%d/H%d.hpp", k % 7, k).alias("path")))
+    language = F.get(F.array(*(F.lit(x) for x in ("c", "cpp", "go", "ruby"))), (k % 4).cast("int"))
+    module = F.when(k % 4 == 0, F.format_string('"h%d.h"', j)).when(k % 4 == 1, F.format_string("<h%d.h>", j)).when(k % 4 == 2, F.format_string("example.com/lib/h%d", j)).otherwise(F.format_string("lib/h%d.rb", j))
+    imports = parts.select(F.format_string("c%d/x%d", k % 10, k).alias("path"), language.alias("language"), module.alias("module_path"), F.array().cast("array<string>").alias("imported_names"))
+    return resolve.resolve(imports, headers).select("path", "module_path", "resolved")
+
+
 # ---- every pair an edge
 
 
