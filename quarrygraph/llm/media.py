@@ -179,15 +179,38 @@ def sequences(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), column: st
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields[1:], T.StructField("items", T._parse_datatype_string(SEQUENCE))]))
 
 
-def resolve(seqs: DataFrame, index: DataFrame) -> DataFrame:
+#: A digest is frequent from so many rows on, and from this share of all rows: at most MOST_FREQUENT digests are.
+FREQUENT_ROWS, MOST_FREQUENT = 1000, 10_000
+
+
+def frequent(digests: DataFrame) -> DataFrame:
+    """digest of those that very many rows (digest) have, such as that of a third of all texts; MOST_FREQUENT at most."""
+    least = max(FREQUENT_ROWS, digests.count() // MOST_FREQUENT)
+    return digests.groupBy("digest").agg(F.count("*").alias("n")).filter((F.col("n") > least) & F.col("digest").isNotNull()).select("digest")
+
+
+def resolve(seqs: DataFrame, index: DataFrame, often: DataFrame | None = None) -> DataFrame:
     """One row for each item of each sequence: the key columns, position, kind, text, ref, caption, and the index's columns where ref's digest is known (else null).
 
-    index: digest and what is known of each payload, one row for each digest. The join is on the digest alone; payloads don't move.
+    index: digest and what is known of each payload, one row for each digest. The join is on the digest alone; payloads don't move. often (see frequent): digests whose few
+    index rows are broadcast, so that no task gets all their rows; items without a known digest and those are dealt by their own place.
     """
     keys = [c for c in seqs.columns if c != "items"]
+    known = [c for c in index.columns if c != "digest"]
     items = seqs.select(*keys, F.explode("items").alias("i")).select(*keys, "i.*")
     digest = F.when(F.col("ref").startswith(SCHEME), F.substring("ref", len(SCHEME) + 1, 64))
-    return items.withColumn("digest", digest).join(index, "digest", "left").drop("digest")
+    items = items.withColumn("digest", digest)
+    if often is None:
+        hot = F.lit(None)
+    else:
+        few = index.join(F.broadcast(often), "digest", "left_semi").select("digest", F.struct(*known).alias("hot"))
+        items, hot = items.join(F.broadcast(few), "digest", "left"), F.col("hot")
+    # nothing in the index begins with a dash
+    place = F.concat(F.lit("-"), F.xxhash64(*keys, "position", "ref").cast("string"))
+    dealt = items.withColumn("at", F.when(hot.isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(place))
+    joined = dealt.join(index.select(F.col("digest").alias("at"), F.struct(*known).alias("cold")), "at", "left")
+    found = F.coalesce(F.col("hot"), F.col("cold")) if often is not None else F.col("cold")
+    return joined.select(*keys, "position", "kind", "text", "ref", "caption", *(found[c].alias(c) for c in known))
 
 
 # ---- store
@@ -245,12 +268,14 @@ def index_store(store: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption: one row for each row of docs.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption, n_items: one row for each row of docs; the last three are
+    the picture's place in its page, its caption, and the items of the page.
 
     Null text counts as empty: its payload is ROW spaces. Equal texts give equal values; repeated rows give equal rows, a null doc_id stays null,
     an empty table gives none; other columns are not read.
     """
     store = store_texts(docs)
-    seqs = sequences(store.select("doc_id", "n_bytes", "html"), ("doc_id", "n_bytes"))
-    found = resolve(seqs, index_store(store)).filter("kind = 'image'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    index = stored(index_store(store), "index")
+    seqs = sequences(store.select("doc_id", "n_bytes", "html"), ("doc_id", "n_bytes")).withColumn("n_items", F.size("items"))
+    found = resolve(seqs, index, frequent(store.select("digest"))).filter("kind = 'image'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")

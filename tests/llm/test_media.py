@@ -111,3 +111,27 @@ def test_sequences_keep_order_and_captions(spark):
     pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
     got = media.resolve(media.sequences(pages), index).orderBy("position").collect()
     assert [(r.page_id, r.position, r.payload_bytes) for r in got] == [(1, k, 7 if k == 2 else None) for k in range(7)]
+
+
+def test_frequent_digests_are_joined_by_broadcast(docs_of, monkeypatch):
+    """Half of the texts are one text, some are null: with every digest frequent, with the usual bound and with none, the rows are the same."""
+    rows = [(i, "the hot text\nof many" if i % 2 else None if i % 10 == 0 else f"text {i % 7}\nlast") for i in range(90)]
+    docs = docs_of(rows)
+    got = []
+    for least in (0, 20, 10**9):
+        monkeypatch.setattr(media, "FREQUENT_ROWS", least)
+        got.append(sorted(map(tuple, media.text_media(docs).collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 90 and all(r[2] for r in got[0])
+    store = media.store_texts(docs)
+    monkeypatch.setattr(media, "FREQUENT_ROWS", 20)
+    assert media.frequent(store.select("digest")).count() == 1
+
+
+def test_items_without_a_payload_stay(spark):
+    """Text items and references that the index does not know keep their place, with nulls."""
+    pages = spark.createDataFrame([(1, f'<p>a</p><img src="{media.SCHEME}{"0" * 64}"><p>b</p><img src="http://x/y.png"><img src="{media.SCHEME}{"1" * 64}">')], "page_id long, html string")
+    index = spark.createDataFrame([("0" * 64, 7)], "digest string, payload_bytes long")
+    often = spark.createDataFrame([("0" * 64,)], "digest string")
+    for o in (None, often, often.limit(0)):
+        got = [(r.position, r.kind, r.payload_bytes) for r in media.resolve(media.sequences(pages), index, o).orderBy("position").collect()]
+        assert got == [(0, "text", None), (1, "image", 7), (2, "text", None), (3, "image", None), (4, "image", None)]
