@@ -22,10 +22,13 @@ def risk_scores(nodes: DataFrame, edges: DataFrame, git: DataFrame, members: Dat
     """path, is_test, has_tests, community_id, risk: seven added factors, at most 1. only (path): the files wanted."""
     files = nodes if only is None else nodes.join(only.select("path"), "path", "left_semi")
     files = files.select("path", "is_test", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
-    incoming = edges.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("in_degree"))
-    tested = edges.filter(F.col("edge_type") == P.TESTED_BY).select(F.col("source").alias("path")).distinct().withColumn("tested", F.lit(True))
+    # of few files, only their edges are counted
+    at = lambda end: edges if only is None else edges.join(only.select(F.col("path").alias(end)), end, "left_semi")
+    into = at("target")
+    incoming = into.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("in_degree"))
+    tested = at("source").filter(F.col("edge_type") == P.TESTED_BY).select(F.col("source").alias("path")).distinct().withColumn("tested", F.lit(True))
     c1, c2 = members.select(F.col("path").alias("source"), F.col("community_id").alias("from_community")), members.select(F.col("path").alias("target"), F.col("community_id").alias("own"))
-    crossing = edges.select("source", "target").join(c1, "source").join(c2, "target").filter("from_community <> own").groupBy(F.col("target").alias("path")).agg(F.count("*").alias("crossing"))
+    crossing = into.select("source", "target").join(c1, "source").join(c2, "target").filter("from_community <> own").groupBy(F.col("target").alias("path")).agg(F.count("*").alias("crossing"))
     churn = git.select(F.col("file_path").alias("path"), "is_hotspot", "hotspot_score", "bus_factor")
     j = files.join(incoming, "path", "left").join(tested, "path", "left").join(crossing, "path", "left").join(churn, "path", "left").join(members.select("path", "community_id"), "path", "left")
     has_tests = F.coalesce("tested", F.lit(False))
