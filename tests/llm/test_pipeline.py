@@ -55,7 +55,7 @@ def test_odd_and_empty(spark, odd, docs_of, tmp_path):
 
 
 def test_registered():
-    assert [n for n in queries.QUERIES] == ["op1_secrets", "op2_htmlcut", "op3_chunkdedup", "op4_sentencepiece", "op5_media", "op6_langid", "op7_mixing", "op8_quality", "op9_neardup", "op10_licenses"]
+    assert [n for n in queries.QUERIES] == ["op1_secrets", "op2_htmlcut", "op3_chunkdedup", "op4_sentencepiece", "op5_media", "op6_langid", "op7_mixing", "op8_quality", "op9_neardup", "op10_licenses", "op11_urlmarkov", "op12_filteraudit", "op13_divergence"]
     import __spark_entry__ as e
 
-    assert set(queries.QUERIES) | {"pipeline"} <= set(e.queries())
+    assert set(queries.QUERIES) | {"pipeline"} <= set(e.queries()) and set(queries.ORACLE_SQL) == {"op12_filteraudit", "op13_divergence"}
