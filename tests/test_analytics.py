@@ -159,3 +159,19 @@ def test_search(spark):
     words = {r[1]: len([w for t in r for w in __import__("re").findall(r"[^\W_]+", t)]) for r in rows}
     dl, mean, tf = words["create_users"], sum(words.values()) / n, 3
     assert abs(plain["create_users"] + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) < 1e-9
+
+
+def test_facts_and_the_partners_of_one_file_are_those_of_metadata_without_its_pairs(spark, monkeypatch):
+    """The relation of all files needs no pairs; one file's partners need the commits that touch it only."""
+    rows = [(str(i), f, f"w{i % 3}", i % 50, i % 11 == 0, ("Fix crash", "Add parser", "x")[i % 3], i % 7, 1) for i in range(200) for f in (f"f{i % 4}", f"g{i % 3}", "h")]
+    given = commits(spark, rows)
+    whole = {r.file_path: r.asDict(True) for r in history.metadata(given, NOW).collect()}
+    for path in whole:
+        got = [r.co_change_partners for r in history.partners_of(given, NOW, path).collect()]
+        assert [[p.asDict() for p in x] for x in got] == ([whole[path]["co_change_partners"]] if whole[path]["co_change_partners"] else [])
+    counts, bus, owner = ({r.file_path: r.asDict(True) for r in df.collect()} for df in (history.counts(given, NOW), history.bus_factor(given), history.primary_owner(given)))
+    monkeypatch.setattr(history, "co_changes", lambda *a: pytest.fail("pairs were made"))
+    for r in history.facts(given, NOW).collect():
+        path, row = r.file_path, r.asDict(True)
+        assert all(row[k] == (pytest.approx(v) if isinstance(v, float) else v) for k, v in (counts[path] | bus[path] | owner[path]).items())
+        assert row["commit_categories"] == whole[path]["commit_categories"] and row["primary_email"] == whole[path]["primary_email"]
