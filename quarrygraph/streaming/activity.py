@@ -67,12 +67,14 @@ def upserts(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 def run_once(spark: SparkSession, path: str, schema: T.StructType, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A job over what is there now, as a table: the path is a file or a folder of files, read as a stream to its end."""
     work = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    name = f"activity_{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     is_file = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
     reader = spark.readStream.schema(schema)
     # a stream watches a folder: of a single file's folder, that file alone
     source = reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString()) if is_file else reader.parquet(path)
-    started = job(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", work).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+    result = job(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    # each batch gives the whole result so far, which tasks write: none of it comes to the driver
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{work}/result")
+    spark.createDataFrame([], result.schema).write.parquet(f"{work}/result")
+    result.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{work}/result")

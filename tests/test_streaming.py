@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from quarrygraph.operators.incremental import latest_wins
 from quarrygraph.streaming import activity
 
@@ -54,3 +56,15 @@ def test_upserts(spark, tmp_path):
 
     activity.upserts(activity.events(spark, str(tmp_path / "e"), spark.createDataFrame([], SCHEMA).schema), apply, str(tmp_path / "c")).awaitTermination()
     assert {r["user_id"]: r["count"] for r in kept["t"].collect()} == {0: 2, 1: 1}
+
+
+def test_a_table_run_once_is_written_by_tasks(spark, tmp_path):
+    """The result is files in the shared folder, not rows in the driver; none for no events."""
+    rows = [(i, i % 5, i * 1000) for i in range(500)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"))
+    for name, table in (("some", made), ("none", made.limit(0))):
+        path = str(tmp_path / name)
+        table.write.parquet(path)
+        got = activity.run_once(spark, path, table.schema, activity.sessions)
+        assert got.inputFiles() and all("/streams/" in f for f in got.inputFiles())
+        assert sum(r.n for r in got.collect()) == table.count()
