@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrygraph.operators import flows, graph, history, impact
 from quarrygraph.operators.tables import numbered
@@ -186,3 +187,20 @@ def test_shortest_path_over_every_pair(spark):
     row = QUERIES["g10_shortest_path_all_pairs"](spark, DATA).first()
     trail = row.trail.split(" > ") if " > " in row.trail else row.trail.split(",")
     assert walk(out, trail[0])[trail[-1]] == row.hops == len(trail) - 1 and all(e in pairs for e in zip(trail, trail[1:], strict=False))
+
+
+def test_joins_with_edges_leave_the_edges_where_they_are(spark, monkeypatch):
+    """Rounds, and counts of edges, bring the few rows of nodes to the edges: no plan shuffles an edge before it is aggregated."""
+    edges = graph.pinned(spark.createDataFrame([(f"a{i}", f"a{i * 7 % 50}") for i in range(50)], "source string, target string").withColumn("edge_type", F.lit("IMPORTS_FROM")))
+    seeds = graph.pinned(spark.createDataFrame([("s", "a1")], "seed string, node string"))
+    plans = []
+    monkeypatch.setattr(graph, "pinned", lambda df, f=graph.pinned: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    found = {(r.node, r.depth) for r in graph.reach(edges, seeds).collect()}
+    at, want = 1, {}
+    while f"a{at}" not in want:
+        want[f"a{at}"] = len(want)
+        at = at * 7 % 50
+    assert found == set(want.items()) and sum("rightHint=(strategy=broadcast)" in p for p in plans) == len(want)
+    assert {r.path for r in graph.dependents(edges, spark.createDataFrame([("a7",)], "path string"), 2).collect()} == {"a1", "a43"}
+    monkeypatch.setattr("quarrygraph.operators.tables.BROADCAST_ROWS", 0)
+    assert {(r.node, r.depth) for r in graph.reach(edges, seeds).collect()} == found
