@@ -204,3 +204,27 @@ def test_joins_with_edges_leave_the_edges_where_they_are(spark, monkeypatch):
     assert {r.path for r in graph.dependents(edges, spark.createDataFrame([("a7",)], "path string"), 2).collect()} == {"a1", "a43"}
     monkeypatch.setattr("quarrygraph.operators.tables.BROADCAST_ROWS", 0)
     assert {(r.node, r.depth) for r in graph.reach(edges, seeds).collect()} == found
+
+
+def test_pairs_of_two_sets_are_not_shuffled(spark):
+    """All pairs of 150 sources and 100 targets, some of them nodes of no edge, as a brute force gives them; no exchange stands above what makes the pairs."""
+    r = random.Random(5)
+    steps = {(f"n{r.randrange(200)}", f"n{r.randrange(200)}") for _ in range(260)}
+    sources, targets = [f"n{i}" for i in range(0, 300, 2)], [f"n{i}" for i in range(0, 300, 3)]
+    path = lambda names: spark.createDataFrame([(n,) for n in names], "path string")
+    got = graph.reachable_between(spark.createDataFrame(sorted(steps), "source string, target string"), path(sources), path(targets))
+    want = set()
+    for s in sources:
+        seen, work = {s}, [s]
+        while work:
+            at = work.pop()
+            for a, b in steps:
+                if a == at and b not in seen:
+                    seen.add(b)
+                    work.append(b)
+        want |= {(s, t, t in seen) for t in targets}
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate posexplode")] and "Join" not in plan[: plan.index("Generate posexplode")]
+    assert graph.reachable_between(spark.createDataFrame(sorted(steps), "source string, target string"), path([]), path(targets)).count() == 0
