@@ -228,3 +228,38 @@ def test_pairs_of_two_sets_are_not_shuffled(spark):
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "Exchange" not in plan[: plan.index("Generate posexplode")] and "Join" not in plan[: plan.index("Generate posexplode")]
     assert graph.reachable_between(spark.createDataFrame(sorted(steps), "source string, target string"), path([]), path(targets)).count() == 0
+
+
+def test_parts_are_followed_one_by_one(spark, monkeypatch):
+    """Forty parts with more seeds than a word has bits: no round of joins over all edges is made, but of a part too large for a task."""
+    rng = random.Random(11)
+    pairs = {(f"p{k}/v{rng.randrange(9)}", f"p{k}/v{rng.randrange(9)}") for k in range(40) for _ in range(14)}
+    pairs |= {(f"big/v{i}", f"big/v{(i + 1) % 50}") for i in range(50)}
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    seeds = [f"p{k}/v{i}" for k in range(40) for i in range(4)] + ["big/v1", "big/v2"]
+    edges = spark.createDataFrame([(a, b, [], "IMPORTS_FROM") for a, b in sorted(pairs)], EDGES)
+    start = spark.createDataFrame([(s,) for s in seeds], "path string")
+    want = {(s, v, d) for s in seeds for v, d in walk(out, s, 15).items()}
+    by_joins = []
+    monkeypatch.setattr(graph, "_bits", lambda steps, starts, most, f=graph._bits: by_joins.append(starts.count()) or f(steps, starts, most))
+    assert {tuple(r) for r in graph.reach_sets(edges, start, 15).collect()} == want and not by_joins
+    monkeypatch.setattr(graph, "TASK_EDGES", 30)
+    assert {tuple(r) for r in graph.reach_sets(edges, start, 15).collect()} == want and by_joins == [2]
+
+
+def test_components_and_cycles_of_parts(spark, monkeypatch):
+    """A graph beyond TASK_EDGES whose parts are not: each part is one task's search, and the colours are left to larger parts."""
+    pairs = [(f"p{k}/{a}", f"p{k}/{b}") for k in range(12) for a, b in ("ab", "bc", "ca", "cd", "de", "ed")]
+    long = [(f"q{i:02}", f"q{(i + 1) % 20:02}") for i in range(20)]
+    names = sorted({x for p in [*pairs, *long] for x in p}) + ["alone"]
+    nodes = spark.createDataFrame([(x,) for x in names], "path string")
+    edges = lambda rows: spark.createDataFrame([(a, b, [], "IMPORTS_FROM") for a, b in rows for _ in range(2)], EDGES)
+    want = {x: x for x in names} | {f"p{k}/{x}": f"p{k}/{y}" for k in range(12) for x, y in ("aa", "ba", "ca", "dd", "ed")}
+    monkeypatch.setattr(graph, "TASK_EDGES", 15)
+    rounds = []
+    monkeypatch.setattr(graph, "_strong_rounds", lambda left, e, f=graph._strong_rounds: rounds.append(left.count()) or f(left, e))
+    assert {r.path: r.component for r in graph.strong_components(nodes, edges(pairs)).collect()} == want and not rounds
+    got = {r.component: (r.size, r.cycle_path) for r in graph.cycles(nodes, edges([*pairs, *long])).collect()}
+    assert rounds == [20] and got == {f"p{k}/{x}": (n, [f"p{k}/{y}" for y in ring]) for k in range(12) for x, n, ring in (("a", 3, "abca"), ("d", 2, "ded"))} | {"q00": (20, [f"q{i % 20:02}" for i in range(21)])}
