@@ -175,3 +175,19 @@ def test_facts_and_the_partners_of_one_file_are_those_of_metadata_without_its_pa
         path, row = r.file_path, r.asDict(True)
         assert all(row[k] == (pytest.approx(v) if isinstance(v, float) else v) for k, v in (counts[path] | bus[path] | owner[path]).items())
         assert row["commit_categories"] == whole[path]["commit_categories"] and row["primary_email"] == whole[path]["primary_email"]
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_a_query_makes_no_postings_of_other_terms(spark, monkeypatch, stemmed):
+    """Ranks of a query without an index are those of all postings; repeated and empty documents, and words of one stem, count. Only hits are aggregated."""
+    from quarrygraph.operators import search
+
+    rows = [("a", "large rings ring"), ("a", "other words"), ("b", "Large, larger ring"), ("c", ""), ("d", None), ("e", "ring"), ("f", "LARGE ringing rings rings")] + [(f"x{i}", f"word{i} text") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc string, text string")
+    terms = search.query_terms("large rings", stemmed)
+    want = {r.doc: round(r["rank"], 9) for r in search.rank(search.postings(docs, "doc", ("text",), stemmed), docs, "doc", terms).collect()}
+    sizes = []
+    monkeypatch.setattr(search, "pinned", lambda df, f=search.pinned: (out := f(df), sizes.append(out.count()))[0])
+    got = {r.doc: round(r["rank"], 9) for r in search.ranked(docs, "doc", ("text",), terms, stemmed).collect()}
+    assert got == want and want and max(sizes) < 10
+    assert search.ranked(docs, "doc", ("text",), [], stemmed).count() == 0 and search.ranked(docs.limit(0), "doc", ("text",), terms, stemmed).count() == 0
