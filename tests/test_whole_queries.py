@@ -4,8 +4,10 @@ import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrygraph.plans import adapters as A
+from quarrygraph.plans import queries
 from quarrygraph.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -70,3 +72,12 @@ def test_renames_of_all_lines(spark):
         want.add([(f"src/{{old => new}}/f{s}.py", f"src/new/f{s}.py"), (f"a{p}.py => b/c{p}.py", f"b/c{p}.py"), ("src/{ => sub}/g.py", "src/sub/g.py"), (f"plain/p{s}.go", f"plain/p{s}.go")][r.l_linenumber % 4])
     got = [(r.p, r.new_path) for r in QUERIES["h9_rename_paths"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("name", ["p3_imports", "p5_exports", "p1_symbols"])
+def test_generated_files_are_dealt_to_tasks(spark, tmp_path, monkeypatch, name):
+    """A Parquet file of keys is one task's; the files made of them are many tasks'."""
+    monkeypatch.setattr(queries, "FILES_A_TASK", 40, raising=False)
+    spark.range(1, 401).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path)).select("path", F.spark_partition_id().alias("task"))
+    assert got.select("path").distinct().count() == 400 and got.select("task").distinct().count() == 10
