@@ -100,6 +100,17 @@ def test_betweenness(spark, wild, monkeypatch):
     assert all(abs(got[v] - expected[v] / k) < 1e-9 for v in names)
 
 
+def test_betweenness_in_pieces(spark, wild, monkeypatch):
+    """Edges beyond the bound are read in pieces, nodes' edges apart from one another, a few sources at once; the same sums."""
+    _, _, n, e = wild
+    want = {r.path: r.betweenness for r in graph.betweenness(n, e).collect()}
+    monkeypatch.setattr(graph, "BETWEENNESS_EDGES", 0)
+    for name, value in (("PIECE_EDGES", 2), ("FILE_PIECES", 8), ("PIECE_CELLS", 3 * len(want))):
+        monkeypatch.setattr(graph, name, value)
+    got = {r.path: r.betweenness for r in graph.betweenness(n, e.unionByName(e)).collect()}
+    assert set(got) == set(want) and any(want.values()) and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_strong_components_and_cycles(spark, wild, monkeypatch, most):
     monkeypatch.setattr(graph, "TASK_EDGES", most)
