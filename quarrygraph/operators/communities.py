@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph import params as P
 from quarrygraph.functions import paths
 from quarrygraph.operators import graph
-from quarrygraph.operators.tables import pinned
+from quarrygraph.operators.tables import beside_edges, numbered, pinned, swept
 
 RESOLUTION, GAIN = 1.0, 1e-7
 #: Edges of a component up to which Louvain runs in one task; larger components are coarsened by distributed moves first.
 TASK_EDGES = 2_000_000
 #: Edges of a whole graph up to which its components aren't told apart.
 SMALL_EDGES = 100_000
+#: Nodes whose communities distributed moves broadcast, as arrays; beyond that the moves go by joins.
+MOVE_NODES = 1_000_000
 
 
 def undirected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,84 +79,141 @@ def louvain(neighbours: list[dict[int, float]], loops: np.ndarray, total: float,
         adjacency, own = merged, loop
 
 
-def _components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """path, part: connected components by least label, labels passed along edges and then along labels."""
-    both = pinned(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-    label = pinned(nodes.select("path", F.col("path").alias("part")))
-    while True:
-        seen = both.join(label.withColumnRenamed("path", "v"), "v").groupBy(F.col("u").alias("path")).agg(F.min("part").alias("seen"))
-        step = label.join(seen, "path", "left").select("path", F.col("part").alias("was"), F.least("part", F.coalesce("seen", "part")).alias("part"))
-        jump = label.select(F.col("path").alias("part"), F.col("part").alias("up"))
-        fresh = pinned(step.join(jump, "part", "left").select("path", "was", F.least("part", F.coalesce("up", "part")).alias("part")))
-        label = fresh.select("path", "part")
-        if fresh.filter("was <> part").isEmpty():
-            return label
+def _adjacent(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """u, near: each node's neighbours in the undirected graph, sorted, without repeats and itself; pinned. Names go to the edges, and one shuffle of numbers, gathered by node in each task first, makes the lists."""
+    a, b = F.col("a").cast("int"), F.col("b").cast("int")
+    one = graph.between(edges, ids).filter("a <> b").select(F.explode(F.array(F.struct(a.alias("u"), b.alias("v")), F.struct(b.alias("u"), a.alias("v")))).alias("x")).select("x.*")
+    return pinned(one.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("near")))
+
+
+def _forward(adjacent: DataFrame) -> DataFrame:
+    """a, b, a < b: each pair of neighbours once."""
+    return adjacent.select(F.col("u").cast("long").alias("a"), F.explode(F.filter("near", lambda v: v > F.col("u")).cast("array<long>")).alias("b"))
+
 
+def _flat(lists: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all lists one after another, and their offsets."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
 
-def _coarsened(pairs: DataFrame, nodes: DataFrame, total: float, rounds: int = 8) -> DataFrame:
-    """path, part: distributed Louvain moves for graphs too large for one task. Each round a hash lets half of the nodes move to the neighbouring community with the best gain."""
-    both = pinned(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
-    degree = pinned(both.groupBy(F.col("u").alias("path")).agg(F.sum("w").alias("d")))
-    label = pinned(nodes.select("path", F.col("path").alias("part")).join(degree, "path", "left").select("path", "part", F.coalesce("d", F.lit(0.0)).alias("d")))
+
+def _moved(adjacent: DataFrame, inside: DataFrame, n: int, total: float, rounds: int) -> DataFrame:
+    """id, part: distributed Louvain moves. Each round a hash lets half of the nodes move to the neighbouring community with the best gain (of several, its own, then the last).
+
+    inside: the nodes (id, path) that take part, of n. The lists stay where they are: a round brings every node's community and every community's weight to them as arrays, and only those that move come back.
+    """
+    context = adjacent.sparkSession.sparkContext
+    turn = sum((F.when(F.pmod(F.xxhash64("path", F.lit(k)), F.lit(2)) == 0, F.lit(1 << k)).otherwise(0) for k in range(rounds)), F.lit(0))
+    some = inside.join(adjacent.select(F.col("u").cast("long").alias("id"), F.size("near").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"), turn.alias("turn")).toPandas()
+    label, degree, turns = np.arange(n), np.zeros(n), np.zeros(n, np.int64)
+    degree[some["id"]], turns[some["id"]] = some["d"], some["turn"]
+    for k in range(rounds):
+        weight = np.bincount(label, weights=degree, minlength=n)
+        held = context.broadcast((label, weight, degree, (turns >> k & 1) == 1))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            label, weight, degree, moves = held.value
+            for batch in batches:
+                us = batch.column(0).to_numpy()
+                flat, at = _flat(batch.column(1))
+                moved, to = [], []
+                for i in np.flatnonzero(moves[us]):
+                    u = us[i]
+                    here, d = label[u], degree[u]
+                    part, w = np.unique(label[flat[at[i] : at[i + 1]]], return_counts=True)
+                    gain = w - RESOLUTION * (weight[part] - np.where(part == here, d, 0.0)) * d / (2 * total)
+                    best = part[gain == gain.max()]
+                    if here not in best:
+                        moved.append(u)
+                        to.append(best[-1])
+                yield pa.record_batch([pa.array(moved, pa.int64()), pa.array(to, pa.int64())], ["id", "part"])
+
+        found = adjacent.mapInArrow(run, "id long, part long").toPandas()
+        held.unpersist()
+        label = label.copy()
+        label[found["id"]] = found["part"]
+    kept = context.broadcast(label)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array(kept.value[batch.column(0).to_numpy()], pa.int64())], ["id", "part"])
+
+    return inside.select("id").mapInArrow(labelled, "id long, part long")
+
+
+def _coarsened(adjacent: DataFrame, inside: DataFrame, total: float, rounds: int) -> DataFrame:
+    """id, part: the same moves by joins, where the nodes are too many for arrays."""
+    both = pinned(adjacent.select(F.col("u").cast("long").alias("u"), F.explode(F.col("near").cast("array<long>")).alias("v")))
+    label = pinned(inside.join(adjacent.select(F.col("u").cast("long").alias("id"), F.size("near").cast("double").alias("d")), "id", "left").select("id", "path", F.col("id").alias("part"), F.coalesce("d", F.lit(0.0)).alias("d")))
     for k in range(rounds):
         weight = label.groupBy("part").agg(F.sum("d").alias("sum"))
-        to = both.join(label.select(F.col("path").alias("v"), "part"), "v").groupBy(F.col("u").alias("path"), "part").agg(F.sum("w").alias("w"))
-        own = label.select("path", F.col("part").alias("here"), "d")
-        scored = to.join(own, "path").join(weight, "part")
+        to = both.join(label.select(F.col("id").alias("v"), "part"), "v").groupBy(F.col("u").alias("id"), "part").agg(F.count("*").cast("double").alias("w"))
+        own = label.select("id", F.col("part").alias("here"), "d")
+        scored = to.join(own, "id").join(weight, "part")
         others = F.col("sum") - F.when(F.col("part") == F.col("here"), F.col("d")).otherwise(0.0)
         scored = scored.withColumn("gain", F.col("w") - RESOLUTION * others * F.col("d") / (2 * total))
-        best = scored.groupBy("path").agg(F.max(F.struct("gain", (F.col("part") == F.col("here")).alias("stay"), "part")).alias("b"))
+        best = scored.groupBy("id").agg(F.max(F.struct("gain", (F.col("part") == F.col("here")).alias("stay"), "part")).alias("b"))
         turn = F.pmod(F.xxhash64("path", F.lit(k)), F.lit(2)) == 0
-        label = pinned(label.join(best, "path", "left").select("path", F.when(turn & F.col("b").isNotNull(), F.col("b.part")).otherwise(F.col("part")).alias("part"), "d"))
-    return label.select("path", "part")
+        label = pinned(label.join(best, "id", "left").select("id", "path", F.when(turn & F.col("b").isNotNull(), F.col("b.part")).otherwise(F.col("part")).alias("part"), "d"))
+    return label.select("id", "part")
 
 
-def detect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """path, community_id: Louvain communities of the undirected graph over all nodes and edges; ids count communities by size, then least path.
+def detect(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """path, community_id: Louvain communities of the undirected graph of all nodes and the edges among them; ids count communities by size, then least path.
 
-    Components are independent but for the total weight, so each is one group of a task; a component of more than TASK_EDGES edges is coarsened by
-    distributed moves first, and its communities take the place of its nodes.
+    Nodes are numbers in the order of their paths, edges lists of neighbours that stay where they are. Components are independent but for the total weight, so each is one group of a
+    task; a component of more than TASK_EDGES edges is coarsened by so many rounds of distributed moves first, and its communities take the place of its nodes.
     """
-    nodes = nodes.select("path").distinct()
-    pairs = pinned(undirected(nodes, edges))
-    total = float(pairs.count())
+    swept(nodes)  # what the edges' own shuffles left
+    ids = numbered(nodes.select("path").distinct().orderBy("path"), "id")
+    n = ids.count()
+    adjacent = _adjacent(edges, ids)
+    swept(nodes)
+    total = (adjacent.agg(F.sum(F.size("near").cast("long"))).first()[0] or 0) / 2
     # few edges: all components in one task, with the same result
-    part = nodes.select("path", F.lit("").alias("part")) if total <= min(SMALL_EDGES, TASK_EDGES) else _components(pairs, nodes)
-    sized = pairs.join(part.withColumnRenamed("path", "a"), "a")
-    large = sized.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > TASK_EDGES).select("part")
+    part = ids.select("id", F.lit(0).cast("long").alias("part")) if total <= min(SMALL_EDGES, TASK_EDGES) else graph.parts(ids.select("id"), _forward(adjacent))
+    lists = adjacent.join(beside_edges(part.withColumnRenamed("id", "u")), "u")
+    large = lists.groupBy("part").agg((F.sum(F.size("near").cast("long")) / 2).alias("n")).filter(F.col("n") > TASK_EDGES).select("part")
+    large = pinned(large)
+    alone = lists.join(F.broadcast(large), "part", "left_anti").select("part", F.col("u").cast("long").alias("x"), F.filter("near", lambda v: v > F.col("u")).cast("array<long>").alias("y"), F.lit(None).cast("array<double>").alias("w"))
+    name = part.select("id", "part", F.col("id").alias("super"))
     if not large.isEmpty():
-        inside = sized.join(large, "part", "left_semi")
-        merged = pinned(_coarsened(inside.select("a", "b", "w"), part.join(large, "part", "left_semi").select("path"), total))
-        name = part.join(merged.withColumnRenamed("part", "super"), "path", "left").select("path", "part", F.coalesce("super", "path").alias("super"))
-    else:
-        name = part.select("path", "part", F.col("path").alias("super"))
-    joined = pairs.join(name.select(F.col("path").alias("a"), "part", F.col("super").alias("x")), "a").join(name.select(F.col("path").alias("b"), F.col("super").alias("y")), "b")
-    weights = joined.groupBy("part", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum("w").alias("w"))
-    rows = weights.unionByName(name.select("part", F.col("super").alias("x"), F.col("super").alias("y"), F.lit(0.0).alias("w")).distinct())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["x"]) | set(pdf["y"]))
-        index = {x: i for i, x in enumerate(names)}
+        inside = ids.join(part.join(F.broadcast(large), "part", "left_semi"), "id").select("id", "path")
+        near = lists.join(F.broadcast(large), "part", "left_semi").select("u", "near")
+        merged = pinned(_moved(near, inside, n, total, rounds) if n <= MOVE_NODES else _coarsened(near, inside, total, rounds))
+        name = pinned(name.select("id", "part").join(merged.withColumnRenamed("part", "super"), "id", "left").select("id", "part", F.coalesce("super", "id").alias("super")))
+        of = lambda end, to: beside_edges(name).select(F.col("id").alias(end), F.col("super").alias(to))
+        joined = _forward(near).join(of("a", "x"), "a").join(of("b", "y"), "b")
+        weights = joined.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").cast("double").alias("w"))
+        held = weights.join(name.select(F.col("id").alias("x"), "part"), "x").select("part", "x", F.array("y").alias("y"), F.array("w").alias("w"))
+        alone = alone.unionByName(held)
+    rows = alone.unionByName(name.select("part", F.col("super").alias("x"), F.array().cast("array<long>").alias("y"), F.lit(None).cast("array<double>").alias("w")).distinct())
+
+    def run(table: pa.Table) -> pa.Table:
+        each = table.column("x").to_numpy()
+        y, at = _flat(table.column("y"))
+        x = np.repeat(each, np.diff(at))
+        names = np.unique(np.concatenate([each, y]))
+        weight = np.ones(len(y))
+        given = np.repeat(table.column("w").is_valid().to_numpy(), np.diff(at))
+        weight[given] = _flat(table.column("w"))[0]
         neighbours: list[dict[int, float]] = [{} for _ in names]
         loops = np.zeros(len(names))
-        for x, y, w in zip(pdf["x"], pdf["y"], pdf["w"], strict=True):
-            i, j = index[x], index[y]
+        for i, j, w in zip(np.searchsorted(names, x).tolist(), np.searchsorted(names, y).tolist(), weight.tolist(), strict=True):
             if i == j:
                 loops[i] += w
-            elif w:
+            else:
                 neighbours[i][j] = neighbours[i].get(j, 0.0) + w
                 neighbours[j][i] = neighbours[j].get(i, 0.0) + w
-        label = louvain(neighbours, loops, total)
-        first: dict[int, str] = {}
-        for i, c in enumerate(label):
-            first.setdefault(c, names[i])
-        return pd.DataFrame({"super": names, "community": [first[c] for c in label]})
-
-    found = pinned(rows.groupBy("part").applyInPandas(run, "super string, community string"))
-    member = name.join(found, "super").select("path", "community")
+        _, first, label = np.unique(louvain(neighbours, loops, total), return_index=True, return_inverse=True)
+        return pa.table({"super": names, "community": names[first[label]]})
+
+    found = pinned(rows.groupBy("part").applyInArrow(run, "super long, community long"))
+    member = name.join(found, "super").join(ids, "id").select("path", "community")
     order = member.groupBy("community").agg(F.count("*").alias("n"), F.min("path").alias("least"))
-    ids = order.withColumn("community_id", F.row_number().over(Window.orderBy(F.col("n").desc(), "least")) - 1)
-    return member.join(ids.select("community", "community_id"), "community").select("path", "community_id")
+    numbers = order.withColumn("community_id", F.row_number().over(Window.orderBy(F.col("n").desc(), "least")) - 1)
+    return member.join(numbers.select("community", "community_id"), "community").select("path", "community_id")
 
 
 def modularity(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -171,7 +232,8 @@ def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
 
     An edge counts once for each community that holds an end of it.
     """
-    m1, m2 = members.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), members.select(F.col("path").alias("target"), F.col("community_id").alias("c2"))
+    held = beside_edges(members)
+    m1, m2 = held.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), held.select(F.col("path").alias("target"), F.col("community_id").alias("c2"))
     ends = edges.select("source", "target").join(m1, "source", "left").join(m2, "target", "left")
     touched = ends.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("community_id"), F.coalesce(F.col("c1") == F.col("c2"), F.lit(False)).alias("internal")).filter("community_id is not null")
     sums = touched.groupBy("community_id").agg(F.count_if("internal").alias("internal_edges"), F.count_if(~F.col("internal")).alias("external_edges"))
@@ -202,7 +264,8 @@ def top_files(members: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
 
     The subgraphs don't meet, so one PageRank over their union, with shares taken per community, ranks all of them at once.
     """
-    inner = edges.join(members.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), "source").join(members.select(F.col("path").alias("target"), F.col("community_id").alias("c2")), "target").filter("c1 = c2")
+    held = beside_edges(members)
+    inner = edges.join(held.select(F.col("path").alias("source"), F.col("community_id").alias("c1")), "source").join(held.select(F.col("path").alias("target"), F.col("community_id").alias("c2")), "target").filter("c1 = c2")
     rank = pagerank_by(members, inner.select("source", "target"))
     order = Window.partitionBy("community_id").orderBy(F.col("pagerank").desc(), "path")
     best = rank.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= k)
@@ -212,39 +275,52 @@ def top_files(members: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
 def pagerank_by(members: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_ALPHA, rounds: int = P.PAGERANK_ROUNDS, tolerance: float | None = P.PAGERANK_TOLERANCE) -> DataFrame:
     """path, community_id, pagerank: PageRank of each community's own subgraph, all at once; teleport and dangling mass stay in the community.
 
-    Communities of at most TASK_EDGES edges and nodes are a group of a task each; beyond that all take their rounds together as joins.
+    Nodes are numbers, and edges lists of the sources of each target, made by one shuffle. Communities of at most TASK_EDGES edges and nodes are a group of a task each; larger ones take
+    their rounds together: a round brings the nodes' shares to the lists and adds up where they stand.
     """
-    size = members.groupBy("community_id").agg(F.count("*").alias("n"))
-    out = edges.select("source", "target").distinct()
-    own = out.join(members.select(F.col("path").alias("source"), "community_id"), "source")
-    most = own.groupBy("community_id").agg(F.count("*").alias("n")).unionByName(size).agg(F.max("n")).first()[0]
-    if (most or 0) <= graph.TASK_EDGES:
-        rows = members.select("community_id", F.col("path").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(own.select("community_id", F.col("source").alias("a"), F.col("target").alias("b")))
-
-        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            alone = pdf["b"].isna()
-            names = sorted(pdf.loc[alone, "a"])
-            index = {x: i for i, x in enumerate(names)}
-            pairs = np.array([(index[a], index[b]) for a, b in zip(pdf.loc[~alone, "a"], pdf.loc[~alone, "b"], strict=True) if b in index], np.int64).reshape(-1, 2)
-            rank = graph.pagerank_kernel(names, pairs, alpha, rounds, tolerance)
-            return pd.DataFrame({"path": names, "community_id": key[0], "pagerank": rank})
-
-        return rows.groupBy("community_id").applyInPandas(run, "path string, community_id int, pagerank double")
-    weighted = pinned(out.join(out.groupBy("source").agg(F.count("*").alias("out")), "source").select("source", "target", (1.0 / F.col("out")).alias("w")))
-    dangling = out.select(F.col("source").alias("path")).distinct().withColumn("leads", F.lit(True))
-    rank = pinned(members.join(size, "community_id").join(dangling, "path", "left").select("path", "community_id", "n", F.col("leads").isNull().alias("dangles"), (1.0 / F.col("n")).alias("pagerank")))
+    ids = numbered(members.select("path").distinct().orderBy("path"), "id")
+    a, b = F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")
+    lists = pinned(graph.between(edges, ids).select(a, b).groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("from")))
+    swept(members)
+    own = pinned(members.join(ids, "path").select("path", "id", "community_id"))
+    size = own.groupBy("community_id").agg(F.count("*").alias("n"))
+    into = lists.select(F.col("b").cast("long").alias("id"), "from").join(beside_edges(own.select("id", "community_id")), "id")
+    most = into.groupBy("community_id").agg(F.sum(F.size("from").cast("long")).alias("n")).unionByName(size).groupBy("community_id").agg(F.max("n").alias("n"))
+    large = pinned(most.filter(F.col("n") > graph.TASK_EDGES).select("community_id"))
+    small = lambda df: df.join(F.broadcast(large), "community_id", "left_anti")
+    rows = small(own).select("community_id", "id", F.lit(None).cast("array<int>").alias("from")).unionByName(small(into).select("community_id", "id", "from"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        names = np.unique(table.column("id").to_numpy())
+        source, at = _flat(table.column("from"))
+        target = np.repeat(table.column("id").to_numpy(), np.diff(at))
+        here = np.isin(source, names)
+        pairs = np.stack([np.searchsorted(names, source[here]), np.searchsorted(names, target[here])], axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
+        rank = graph.pagerank_kernel(names, pairs, alpha, rounds, tolerance)
+        return pa.table({"id": names, "pagerank": rank})
+
+    named = lambda df: own.join(df, "id").select("path", "community_id", "pagerank")
+    done = named(rows.groupBy("community_id").applyInArrow(run, "id long, pagerank double"))
+    if large.isEmpty():
+        return done
+    some = F.broadcast(large)
+    pairs = into.join(some, "community_id", "left_semi").select(F.col("id").alias("b"), F.explode(F.col("from").cast("array<long>")).alias("a"))
+    out = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("out"))
+    rank = pinned(own.join(some, "community_id", "left_semi").join(size, "community_id").join(out, "id", "left").select("id", "community_id", "n", F.coalesce("out", F.lit(0)).alias("out"), (1.0 / F.col("n")).alias("pagerank")))
     for _ in range(rounds):
-        lost = rank.filter("dangles").groupBy("community_id").agg(F.sum("pagerank").alias("lost"))
-        sent = weighted.join(rank.select(F.col("path").alias("source"), "pagerank"), "source").groupBy(F.col("target").alias("path")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("got"))
+        lost = rank.filter("out = 0").groupBy("community_id").agg(F.sum("pagerank").alias("lost"))
+        shares = rank.filter("out > 0").select(F.col("id").alias("a"), (F.col("pagerank") / F.col("out")).alias("share"))
+        sent = pairs.join(beside_edges(shares), "a").groupBy(F.col("b").alias("id")).agg(F.sum("share").alias("got"))
         fresh = alpha * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n")) + (1 - alpha) / F.col("n")
-        step = pinned(rank.join(sent, "path", "left").join(lost, "community_id", "left").select("path", "community_id", "n", "dangles", fresh.alias("pagerank"), F.abs(fresh - F.col("pagerank")).alias("change")))
+        step = pinned(rank.join(sent, "id", "left").join(lost, "community_id", "left").select("id", "community_id", "n", "out", fresh.alias("pagerank"), F.abs(fresh - F.col("pagerank")).alias("change")))
         rank = step.drop("change")
         if tolerance is None:
             continue
         moving = step.groupBy("community_id", "n").agg(F.sum("change").alias("change")).filter(F.col("change") >= F.col("n") * tolerance)
         if moving.isEmpty():
             break
-    return rank.select("path", "community_id", "pagerank")
+    return done.unionByName(named(rank.select("id", "pagerank")))
 
 
 def summary(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -157,6 +157,36 @@ def test_louvain_after_distributed_moves(spark, monkeypatch):
     assert got.count() == 12 and communities.modularity(got, e).first().modularity > 0.3
 
 
+def test_moves_by_arrays_and_by_joins(spark, monkeypatch):
+    """Moves of a graph beyond one task: as by the definition, on numbers, and the same by joins."""
+    rng = random.Random(5)
+    groups = {f"{'cab'[g]}{i}": g for g in range(3) for i in range(9)}
+    names = sorted(groups)
+    pairs = {(a, b) for a in names for b in names if a != b and rng.random() < (0.5 if groups[a] == groups[b] else 0.05)}
+    n, e = nodes_of(spark, [*names, "lone"]), edges_of(spark, [*pairs, *list(pairs)[:9]])
+    monkeypatch.setattr(communities, "TASK_EDGES", 3)
+    held = communities.detect(n, e, 3).collect()
+    with monkeypatch.context() as m:
+        m.setattr(communities, "MOVE_NODES", 0)
+        assert sorted(held) == sorted(communities.detect(n, e, 3).collect())
+    ids = communities.numbered(n.orderBy("path"), "id").select("path", "id")
+    near = communities._adjacent(e, ids)
+    total = near.selectExpr("sum(size(near)) / 2 n").first().n
+    got = {r.id: r.part for r in communities._moved(near, ids, ids.count(), total, 4).collect()}
+    at = {r.path: r.id for r in ids.collect()}
+    turn = {r.id: r.t for r in ids.selectExpr("id", "transform(sequence(0, 3), k -> pmod(xxhash64(path, k), 2) = 0) t").collect()}
+    edge = {u: {at[b] for a, b in pairs if at[a] == u} | {at[a] for a, b in pairs if at[b] == u} for u in got}
+    label = {u: u for u in got}
+    for k in range(4):
+        weight = {c: sum(len(edge[u]) for u in got if label[u] == c) for c in got}
+        best = {}
+        for u in got:
+            gains = [(sum(label[v] == c for v in edge[u]) - (weight[c] - (len(edge[u]) if c == label[u] else 0)) * len(edge[u]) / (2 * total), c == label[u], c) for c in {label[v] for v in edge[u]}]
+            best[u] = max(gains)[2] if gains and turn[u][k] else label[u]
+        label = best
+    assert got == label and len(set(label.values())) < len(label)
+
+
 def test_community_pagerank_both_ways(spark, wild, monkeypatch):
     names, pairs, _, e = wild
     m = spark.createDataFrame([(n, int(n[1])) for n in names], "path string, community_id int")
