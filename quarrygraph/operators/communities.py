@@ -282,12 +282,12 @@ def pagerank_by(members: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_
     a, b = F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")
     lists = pinned(graph.between(edges, ids).select(a, b).groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("from")))
     swept(members)
-    own = pinned(members.join(ids, "path").select("path", "id", "community_id"))
+    own = members.join(ids, "path").select("path", "id", "community_id")
     size = own.groupBy("community_id").agg(F.count("*").alias("n"))
     into = lists.select(F.col("b").cast("long").alias("id"), "from").join(beside_edges(own.select("id", "community_id")), "id")
     most = into.groupBy("community_id").agg(F.sum(F.size("from").cast("long")).alias("n")).unionByName(size).groupBy("community_id").agg(F.max("n").alias("n"))
-    large = pinned(most.filter(F.col("n") > graph.TASK_EDGES).select("community_id"))
-    small = lambda df: df.join(F.broadcast(large), "community_id", "left_anti")
+    large = [row.community_id for row in most.filter(F.col("n") > graph.TASK_EDGES).collect()]
+    small = lambda df: df.filter(~F.col("community_id").isin(large))
     rows = small(own).select("community_id", "id", F.lit(None).cast("array<int>").alias("from")).unionByName(small(into).select("community_id", "id", "from"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -302,12 +302,12 @@ def pagerank_by(members: DataFrame, edges: DataFrame, alpha: float = P.PAGERANK_
 
     named = lambda df: own.join(df, "id").select("path", "community_id", "pagerank")
     done = named(rows.groupBy("community_id").applyInArrow(run, "id long, pagerank double"))
-    if large.isEmpty():
+    if not large:
         return done
-    some = F.broadcast(large)
-    pairs = into.join(some, "community_id", "left_semi").select(F.col("id").alias("b"), F.explode(F.col("from").cast("array<long>")).alias("a"))
+    some = F.col("community_id").isin(large)
+    pairs = into.filter(some).select(F.col("id").alias("b"), F.explode(F.col("from").cast("array<long>")).alias("a"))
     out = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("out"))
-    rank = pinned(own.join(some, "community_id", "left_semi").join(size, "community_id").join(out, "id", "left").select("id", "community_id", "n", F.coalesce("out", F.lit(0)).alias("out"), (1.0 / F.col("n")).alias("pagerank")))
+    rank = pinned(own.filter(some).join(size, "community_id").join(out, "id", "left").select("id", "community_id", "n", F.coalesce("out", F.lit(0)).alias("out"), (1.0 / F.col("n")).alias("pagerank")))
     for _ in range(rounds):
         lost = rank.filter("out = 0").groupBy("community_id").agg(F.sum("pagerank").alias("lost"))
         shares = rank.filter("out > 0").select(F.col("id").alias("a"), (F.col("pagerank") / F.col("out")).alias("share"))
