@@ -263,3 +263,37 @@ def test_components_and_cycles_of_parts(spark, monkeypatch):
     assert {r.path: r.component for r in graph.strong_components(nodes, edges(pairs)).collect()} == want and not rounds
     got = {r.component: (r.size, r.cycle_path) for r in graph.cycles(nodes, edges([*pairs, *long])).collect()}
     assert rounds == [20] and got == {f"p{k}/{x}": (n, [f"p{k}/{y}" for y in ring]) for k in range(12) for x, n, ring in (("a", 3, "abca"), ("d", 2, "ded"))} | {"q00": (20, [f"q{i % 20:02}" for i in range(21)])}
+
+
+def test_pairs_of_orders_on_own_tables(spark, tmp_path, monkeypatch):
+    """Both edge relations on rows with repeated and null keys against a brute force; lists of an order's lines are made after the lines are dealt, and the rule makes none."""
+    rng = random.Random(2)
+    suppliers = [(k, rng.randrange(3)) for k in range(1, 31)] + [(7, 1), (8, None), (3, 0)]
+    customers, parts = [(c, c % 3) for c in range(9)] + [(4, 2)], [(p, f"b{p % 3}") for p in range(12)] + [(5, "b0")]
+    orders = [(o, rng.randrange(10)) for o in range(60)] + [(5, 2)]
+    lines = [(rng.choice([*range(60), None]), n, rng.choice([*range(1, 32), None]), rng.randrange(13)) for n in range(6) for _ in range(60)]
+    tables = {
+        "supplier": (suppliers, "s_suppkey long, s_nationkey int"), "customer": (customers, "c_custkey long, c_nationkey int"), "part": (parts, "p_partkey long, p_brand string"),
+        "orders": (orders, "o_orderkey long, o_custkey long"), "lineitem": (lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    of = lambda rows, key: [v for k, v in rows if k == key and k is not None]
+    every, ruled = set(), set()
+    for o, x, s, p in lines:
+        for o2, y, d, q in lines:
+            if o == o2 and x < y and s != d:
+                for sn in of(suppliers, s):
+                    for dn in of(suppliers, d):
+                        every.add((s, sn, d, dn))
+                        if dn is not None and dn in {n for c in of(orders, o) for n in of(customers, c)} and set(of(parts, p)) & set(of(parts, q)):
+                            ruled.add((s, sn, d, dn))
+    keys = {r.i: (r.k, r.nk) for r in A._keys(spark, str(tmp_path)).collect()}
+    for f, want in ((A._joined_of_all, every), (A._joined_by_rule, ruled)):
+        got = set()
+        for r in f.__wrapped__(spark, str(tmp_path)).collect():
+            a, b = keys[r.ab >> 32], keys[r.ab & (1 << 32) - 1]
+            got |= {(*a, *b)} if r.way & 1 else set()
+            got |= {(*b, *a)} if r.way & 2 else set()
+        assert got == want and want
+    assert "collect_list" not in A._joined_by_rule.__wrapped__(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
