@@ -265,6 +265,47 @@ def test_components_and_cycles_of_parts(spark, monkeypatch):
     assert rounds == [20] and got == {f"p{k}/{x}": (n, [f"p{k}/{y}" for y in ring]) for k in range(12) for x, n, ring in (("a", 3, "abca"), ("d", 2, "ded"))} | {"q00": (20, [f"q{i % 20:02}" for i in range(21)])}
 
 
+def test_seeds_of_a_large_part_are_dealt_to_tasks(spark, monkeypatch):
+    """One part whose seeds reach more rows than a task may hold: no round of joins is made, and what is held or read in pieces, with repeated edges, is what a brute force gives."""
+    rng = random.Random(3)
+    names = [f"v{i:03}" for i in range(260)]
+    pairs = {(a, rng.choice(names)) for a in names for _ in range(2)} | {("small/a", "small/b")}
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    seeds = names[::2] + ["small/a", "alone"]
+    edges = spark.createDataFrame([(a, b, [], "x") for a, b in sorted(pairs) for _ in range(2)], EDGES).repartition(3)
+    path = lambda names: spark.createDataFrame([(s,) for s in names], "path string")
+    monkeypatch.setattr(graph, "TASK_CELLS", 200)
+    monkeypatch.setattr(graph, "_bits", lambda *_: pytest.fail("joins over all edges"))
+    ends = names[::3] + ["small/b", "nowhere"]
+    for held, cells in ((graph.HELD_EDGES, graph.PIECE_CELLS), (0, 300)):
+        monkeypatch.setattr(graph, "HELD_EDGES", held)
+        monkeypatch.setattr(graph, "PIECE_CELLS", cells)
+        for most in (2, None):
+            got = [tuple(r) for r in graph.reach_sets(edges, path(seeds), most).collect()]
+            want = {(s, v, d) for s in seeds for v, d in walk(out, s, most).items()}
+            assert len(got) == len(want) and set(got) == want
+        pairs_of_sets = [tuple(r) for r in graph.reachable_between(edges, path(seeds), path(ends), path(names)).collect()]
+        assert len(pairs_of_sets) == len(seeds) * len(ends) and set(pairs_of_sets) == {(s, t, t in walk(out, s)) for s in seeds for t in ends}
+
+
+def test_pieces_hold_every_edge(monkeypatch):
+    """Edges in any order come as pieces by target; edges picked from a piece are a piece."""
+    monkeypatch.setattr(graph, "PIECE_EDGES", 7)
+    rng = random.Random(1)
+    pairs = [(rng.randrange(20), rng.randrange(20)) for _ in range(100)]
+    batches = [graph.pa.record_batch([graph.pa.array(x) for x in zip(*pairs[i : i + 10], strict=True)], ["a", "b"]) for i in range(0, 100, 10)]
+    told = lambda nodes, starts, others: [(a, v) for v, x in zip(nodes, graph.np.split(others, starts[1:]), strict=True) for a in x]
+    pieces = [tuple(graph.np.frombuffer(c[0].as_py(), "int32") for c in p.columns) for p in graph._pieces_by_target(iter(batches))]
+    assert len(pieces) >= 100 / 7 and Counter(x for p in pieces for x in told(*p)) == Counter(pairs)
+    at = graph.np.array([1, 2, 5])
+    assert told(*graph._some_edges(*pieces[0], at)) == [told(*pieces[0])[i] for i in at]
+    joined = next(graph._joined_nodes(iter(batches[:1])))
+    label = dict(zip(*(c.to_pylist() for c in joined.columns), strict=True))
+    assert all(label.get(a, a) == label.get(b, b) for a, b in pairs[:10]) and all(v < k for k, v in label.items())
+
+
 def test_pairs_of_orders_on_own_tables(spark, tmp_path, monkeypatch):
     """Both edge relations on rows with repeated and null keys against a brute force; lists of an order's lines are made after the lines are dealt, and the rule makes none."""
     rng = random.Random(2)
