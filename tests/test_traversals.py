@@ -306,6 +306,35 @@ def test_pieces_hold_every_edge(monkeypatch):
     assert all(label.get(a, a) == label.get(b, b) for a, b in pairs[:10]) and all(v < k for k, v in label.items())
 
 
+def test_flows_are_traced_in_numbers(spark, monkeypatch):
+    """What entry points reach is dealt to several tasks, however few edges there are, and members and scores are those of a brute force: with a path that is no node, repeated nodes and equal depths."""
+    rng = random.Random(9)
+    names = [f"d{i % 5}/m{i}.py" for i in range(120)]
+    pairs = {(rng.choice(names), rng.choice(names[60:])) for _ in range(300)} | {(names[0], "gone/auth.py"), ("gone/auth.py", names[70])}
+    outside = {(rng.choice(names), f"external:{rng.randrange(4)}") for _ in range(60)}
+    tested = {(b, a) for a, b in sorted(pairs)[:40]}
+    nodes = spark.createDataFrame([(x, i % 2 == 0, i % 9 == 0) for i, x in enumerate(names)] + [(names[4], True, False)], "path string, is_entry_point boolean, is_test boolean")
+    edges = spark.createDataFrame([(a, b, [], "IMPORTS_FROM") for a, b in sorted(pairs | outside)] + [(a, b, [], "TESTED_BY") for a, b in sorted(tested)], EDGES)
+    dealt = []
+    monkeypatch.setattr(graph, "_followed", lambda *x, f=graph._followed: dealt.append(f(*x)) or dealt[-1])
+    found, rows = flows.trace(nodes, edges, 4)
+    assert dealt[0][0].rdd.getNumPartitions() >= 8
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    entries = {r.path for r in flows.entry_points(nodes, edges).collect()}
+    reached = {s: walk(out, s, 4) for s in entries}
+    ids = {r.entry_point: r.flow_id for r in found.collect()}
+    # a node that comes twice counts twice
+    size = {s: sum(2 if p == names[4] else 1 for p in reached[s]) for s in entries}
+    assert {r.entry_point: r.node_count for r in found.collect()} == {s: n for s, n in size.items() if n >= 2}
+    assert {r.entry_point: r.file_spread for r in found.collect()} == {s: len({p.rsplit("/", 1)[0] for p in reached[s]}) for s in ids}
+    covers = {a for a, _ in tested} & set(names)
+    assert {r.entry_point for r in found.collect() if r.has_test_coverage} == {s for s in ids if covers & set(reached[s])}
+    want = {(ids[s], p, d, i) for s in ids for i, (d, p) in enumerate(sorted((d, p) for p, d in reached[s].items()))}
+    assert {tuple(r) for r in rows.collect()} == want
+
+
 def test_pairs_of_orders_on_own_tables(spark, tmp_path, monkeypatch):
     """Both edge relations on rows with repeated and null keys against a brute force; lists of an order's lines are made after the lines are dealt, and the rule makes none."""
     rng = random.Random(2)
